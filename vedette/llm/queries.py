@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Module of each query.
 MODULES = {
+    "op5_template_compiler": "chat",
     "op6_concatenate_and_cut": "packing",
 }
 
