@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Module of each query.
 MODULES = {
     "op5_template_compiler": "chat",
+    "op8_minhash_star": "minhash",
     "op6_concatenate_and_cut": "packing",
 }
 
