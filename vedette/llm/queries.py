@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Module of each query.
 MODULES = {
+    "op2_bm25_wand": "decontaminate",
     "op5_template_compiler": "chat",
     "op8_minhash_star": "minhash",
     "op10_bradley_terry": "quality",

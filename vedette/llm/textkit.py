@@ -23,7 +23,9 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
-LOWER_CODE = BYTE_CODE[LOWER]
+#: Bytes of letters, digits and characters beyond ASCII.
+SOLID = np.zeros(256, bool)
+SOLID[48:58] = SOLID[65:91] = SOLID[97:123] = SOLID[128:] = True
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -77,7 +79,7 @@ def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 class Words:
     """The words of all rows of a string column: byte spans, row numbers and hashes."""
 
-    def __init__(self, column: pa.Array, lower: bool = True) -> None:
+    def __init__(self, column: pa.Array, lower: bool = True, strip: bool = False) -> None:
         data, self.offsets = text_bytes(column)
         self.n_docs, n = len(self.offsets) - 1, len(data)
         self.data = LOWER[data] if lower else data
@@ -95,6 +97,13 @@ class Words:
             self.ends = np.flatnonzero(inside & ~after) + 1
         else:
             self.starts = self.ends = np.zeros(0, np.int64)
+        if strip and n:  # punctuation at either end goes, and words of nothing else
+            solid = np.where(SOLID[self.data], np.arange(n), n)
+            after = np.minimum.accumulate(solid[::-1])[::-1]
+            before = np.maximum.accumulate(np.where(SOLID[self.data], np.arange(n), -1))
+            starts, ends = after[self.starts], before[self.ends - 1] + 1
+            keep = starts < ends
+            self.starts, self.ends = starts[keep], ends[keep]
         self.doc = np.searchsorted(self.offsets, self.starts, "right") - 1
         self.count = np.bincount(self.doc, minlength=self.n_docs)
         self.prefix = prefix_hash(BYTE_CODE[self.data])
