@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 MODULES = {
     "op2_bm25_wand": "decontaminate",
     "op5_template_compiler": "chat",
+    "op7_character_network": "secrets",
     "op8_minhash_star": "minhash",
     "op10_bradley_terry": "quality",
     "op6_concatenate_and_cut": "packing",
