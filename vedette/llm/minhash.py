@@ -9,10 +9,12 @@
    Candidates are linear in the members.
 3. Each candidate is confirmed on both full sets. A centre's set goes to its members in salted groups of at most
    SALT rows, however many it has.
-4. Components of the confirmed links. A bucket whose members are then still in several components is open: in the
-   next rounds its other members take their turn as centres, against members of other components only, until no
-   bucket is open or every member has been the centre. So no pair that shares a bucket is lost; stars only save
-   the comparisons that could not change a component.
+4. Components of the confirmed links. What stars can miss is a pair (x, y) of one bucket whose member y failed
+   against the centre c. Let D(m) be the symmetric difference of the sets of m and c. As y failed, a link of x and
+   y needs more than (|D(x)| + f (|c| - |x|)) / 2 differences in common, f = (1 - t) / (1 + t) for threshold t: about
+   half of D(x). So x meets y at one of its rarest differences, of which just so many are looked up that one must
+   be common (a prefix filter). Those pairs are confirmed too, and components taken once more: no pair that shares a
+   bucket is lost, and none is compared but for a reason.
 
 Bands have 6 bins for thresholds of 85 and more, else 5, and there are as many as make the chance that a pair at
 the threshold shares no bucket less than one in a million.
@@ -29,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vedette.llm.common import prepare, slices, table
@@ -116,35 +118,60 @@ def full_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles binary")
 
 
-def _confirm(percent: int):
+def _confirm(percent: int, differences: bool):
     def run(key: tuple, centre: pa.Table, members: pa.Table) -> pa.Table:
-        out_a, out_b = [], []
+        ids, linked, deltas, prefix = [], [], [], []
         if centre.num_rows and members.num_rows:
             c = np.frombuffer(centre.column("centre_set")[0].as_buffer(), np.uint64)
             for i in range(members.num_rows):
                 m = np.frombuffer(members.column("shingles")[i].as_buffer(), np.uint64)
-                if 100 * min(len(c), len(m)) < percent * max(len(c), len(m)):
-                    continue
-                small, large = (c, m) if len(c) <= len(m) else (m, c)
-                at = np.searchsorted(large, small)
-                shared = int((large[np.minimum(at, len(large) - 1)] == small).sum())
-                if 100 * shared >= percent * (len(c) + len(m) - shared):
-                    out_a.append(key[0].as_py())
-                    out_b.append(members.column("member")[i].as_py())
-        return pa.table({"u": pa.array(out_a, pa.int64()), "v": pa.array(out_b, pa.int64())})
+                at = np.searchsorted(c, m)
+                known = c[np.minimum(at, len(c) - 1)] == m
+                shared = int(known.sum())
+                ids.append(members.column("member")[i].as_py())
+                linked.append(100 * shared >= percent * (len(c) + len(m) - shared))
+                if differences:
+                    gone = np.ones(len(c), bool)
+                    gone[at[known]] = False
+                    deltas.append(np.concatenate([m[~known], c[gone]]).view(np.int64))
+                    added, removed = len(m) - shared, len(c) - shared
+                    least = (added + removed) * (100 + percent) + (100 - percent) * (removed - added)  # over 2 (100 + percent)
+                    prefix.append(added + removed - max(0, least // (2 * (100 + percent))))
+        out = {"u": pa.array([key[0].as_py()] * len(ids), pa.int64()), "v": pa.array(ids, pa.int64()), "linked": pa.array(linked, pa.bool_())}
+        if differences:
+            out |= {"prefix": pa.array(prefix, pa.int64()), "delta": pa.array(deltas, pa.list_(pa.int64()))}
+        return pa.table(out)
 
     return run
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those (centre, member) pairs whose full sets reach the threshold, as (u, v)."""
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, differences: bool = False) -> DataFrame:
+    """(u, v, linked) for the distinct (centre, member) pairs: whether their full sets reach the threshold; with
+    `differences` also what they differ in, and how many of these a prefix filter must look up."""
     pairs = written(pairs.distinct(), "mh-pairs")
     counts = pairs.groupBy("centre").agg(F.ceil(F.count("*") / SALT).alias("salts"))
     salted = pairs.join(counts, "centre").select("centre", "member", F.pmod(F.hash("member"), F.col("salts")).cast("long").alias("salt"))
     members = salted.join(sets.withColumnRenamed("doc_id", "member"), "member").select("centre", "salt", "member", "shingles")
     heads = counts.join(sets.select(F.col("doc_id").alias("centre"), F.col("shingles").alias("centre_set")), "centre")
     centres = heads.select(F.col("centre").alias("head"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("head_salt"), "centre_set")
-    return centres.groupBy("head", "head_salt").cogroup(members.groupBy("centre", "salt")).applyInArrow(_confirm(percent), "u long, v long")
+    schema = "u long, v long, linked boolean" + ", prefix long, delta array<long>" * differences
+    return centres.groupBy("head", "head_salt").cogroup(members.groupBy("centre", "salt")).applyInArrow(_confirm(percent, differences), schema)
+
+
+def missed_by_stars(tested: DataFrame, labels: DataFrame) -> DataFrame:
+    """(centre, member) pairs in different components that stars may have missed, from confirmed(differences=True)."""
+    label = lambda name: labels.select(F.col("node").alias(name), F.col("component").alias(f"{name}_component"))
+    known = tested.join(label("u"), "u", "left").join(label("v"), "v", "left")
+    known = known.select("u", "v", "linked", "prefix", "delta", F.coalesce("v_component", "v").alias("component"), (F.coalesce("u_component", "u") != F.coalesce("v_component", "v")).alias("apart"))
+    open_stars = known.where("apart").select("u").distinct()
+    spread = known.join(open_stars, "u").select("u", "v", "apart", "prefix", "component", F.explode("delta").alias("e"))
+    spread = written(spread, "mh-differences")
+    often = spread.groupBy("u", "e").agg(F.count("*").alias("n")).where("n > 1")  # a difference of one member is in common with none
+    rare_first = Window.partitionBy("u", "v").orderBy(F.coalesce("n", F.lit(1)), "e")
+    ranked = spread.join(often, ["u", "e"], "left").withColumn("rank", F.row_number().over(rare_first)).where("n is not null")
+    left = ranked.where("apart").select("u", "e", F.col("v").alias("centre"), F.col("component").alias("a"))
+    right = ranked.where("rank <= prefix").select("u", "e", F.col("v").alias("member"), F.col("component").alias("b"))
+    return left.join(right, ["u", "e"]).where("a <> b").select(F.greatest("centre", "member").alias("centre"), F.least("centre", "member").alias("member"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -162,29 +189,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("at", F.xxhash64("text"))
     wanted = hits.select(F.col("rep").alias("doc_id")).distinct()
     sets = written(full_sets(texts.join(wanted, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text"), k), "mh-sets")
-    links, labels, done, open_hits = None, None, None, hits
-    while True:
-        # the most central member that has not been its bucket's centre yet
-        centres = open_hits if done is None else open_hits.join(done, ["key", "rep"], "left_anti")
-        centres = centres.groupBy("key").agg(F.max(F.struct("c", (-F.col("rep")).alias("r"))).alias("x")).select("key", (-F.col("x.r")).alias("centre"))
-        centres = written(centres, "mh-centres")
-        if labels is None:
-            pairs = open_hits.join(centres, "key").where("rep <> centre").select("centre", F.col("rep").alias("member"))
-        else:
-            of_centre = open_hits.select("key", F.col("rep").alias("centre"), F.col("component").alias("other"))
-            pairs = open_hits.join(centres.join(of_centre, ["key", "centre"]), "key").where("component <> other").select("centre", F.col("rep").alias("member"))
-        new = written(confirmed(pairs, sets, percent), "mh-links")
-        links = new if links is None else links.union(new)
-        labels = components(links) if labels is None or not new.isEmpty() else labels
-        turned = centres.select("key", F.col("centre").alias("rep"))
-        done = turned if done is None else done.union(turned)
-        now = hits.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "m", "c", F.coalesce("component", "rep").alias("component"))
-        turns = done.groupBy("key").agg(F.count("*").alias("turns"))
-        still = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.first("m").alias("m")).where("lo <> hi")
-        still = still.join(turns, "key").where("turns < m - 1").select("key")
-        open_hits = written(now.join(still, "key"), "mh-open")
-        if open_hits.isEmpty():
-            break
+    centres = hits.groupBy("key").agg(F.max(F.struct("c", (-F.col("rep")).alias("r"))).alias("x")).select("key", (-F.col("x.r")).alias("centre"))
+    pairs = hits.join(centres, "key").where("rep <> centre").select("centre", F.col("rep").alias("member"))
+    tested = written(confirmed(pairs, sets, percent, differences=True), "mh-stars")
+    links = tested.where("linked").select("u", "v")
+    labels = components(links)
+    more = written(confirmed(missed_by_stars(tested, labels), sets, percent).where("linked").select("u", "v"), "mh-links")
+    if not more.isEmpty():
+        labels = components(links.union(more))
     final = classed.select("k1", "k2", "rep").distinct().join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("class_component"))
     out = found.join(final, ["k1", "k2"], "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("class_component")).otherwise(F.col("doc_id"))
