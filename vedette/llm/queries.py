@@ -13,6 +13,7 @@ MODULES = {
     "op5_template_compiler": "chat",
     "op7_character_network": "secrets",
     "op8_minhash_star": "minhash",
+    "op9_conditional_random_field": "langid",
     "op10_bradley_terry": "quality",
     "op6_concatenate_and_cut": "packing",
 }
