@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Module of each query.
 MODULES = {
     "op2_bm25_wand": "decontaminate",
+    "op4_progressive_jpeg": "media",
     "op5_template_compiler": "chat",
     "op7_character_network": "secrets",
     "op8_minhash_star": "minhash",
