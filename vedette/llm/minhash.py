@@ -41,6 +41,8 @@ from vedette.session import written
 
 #: Members that one task confirms against a centre at a time.
 SALT = 200
+#: Bits of the filter that spares the shuffle all documents without candidates.
+FILTER_BITS = 24
 U = np.uint64
 
 
@@ -104,18 +106,36 @@ def signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
     return rows_.mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, keys array<long>")
 
 
-def full_sets(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id and its sorted distinct shingle hashes as binary."""
+def bitmap(ids: DataFrame, column: str) -> np.ndarray:
+    """A fixed number of bits, those set that an id of the column hashes to: 2 MB whatever the column's size."""
+    bits = ids.select(F.pmod(F.xxhash64(column), F.lit(1 << FILTER_BITS)).alias("bit"))
+    words = bits.groupBy(F.expr("shiftright(bit, 5)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 32 as int)))"))
+    out = np.zeros(1 << (FILTER_BITS - 5), "<u4")
+    for w, b in words.collect():  # a row for each 32 bits at most
+        out[w] = b
+    return np.unpackbits(out.view(np.uint8), bitorder="little").view(bool)
+
+
+def full_sets(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
+    """doc_id and its sorted distinct shingle hashes as binary, of the documents in `wanted`.
+
+    A small bitmap lets nearly only those through before anything is shuffled; the join drops the few others. With
+    ever more ids it lets more through, never fewer."""
+    chosen = docs.sparkSession.sparkContext.broadcast(bitmap(wanted, "doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            words = Words(batch.column(1))
-            h, _, size = sorted_sets(*words.shingles(k), words.n_docs)
-            offsets = pa.py_buffer(np.concatenate([[0], np.cumsum(size) * 8]).astype(np.int32))
-            sets = pa.Array.from_buffers(pa.binary(), words.n_docs, [None, offsets, pa.py_buffer(h)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), sets], ["doc_id", "shingles"])
+        for whole in batches:
+            batch = whole.filter(pa.array(chosen.value[whole.column(2).to_numpy()]))
+            for part in slices(iter([batch])):
+                words = Words(part.column(1))
+                h, _, size = sorted_sets(*words.shingles(k), words.n_docs)
+                offsets = pa.py_buffer(np.concatenate([[0], np.cumsum(size) * 8]).astype(np.int32))
+                sets = pa.Array.from_buffers(pa.binary(), words.n_docs, [None, offsets, pa.py_buffer(h)])
+                yield pa.RecordBatch.from_arrays([part.column(0), sets], ["doc_id", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles binary")
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows = rows.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS)).alias("bit"))
+    return rows.mapInArrow(run, "doc_id long, shingles binary").join(wanted, "doc_id").dropDuplicates(["doc_id"])
 
 
 def _confirm(percent: int, differences: bool):
@@ -179,16 +199,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     prepare(docs.sparkSession)
     found = written(signatures(docs, k, percent), "mh-signatures")
     known = found.where("n_shingles > 0 and doc_id is not null")
+    # these sides grow with the input, so they are merged and not broadcast while they happen to be small
     classes = known.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
-    classed = written(known.join(classes, ["k1", "k2"]).select("doc_id", "k1", "k2", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("keys")).alias("keys")), "mh-classes")
+    classed = written(known.join(classes.hint("merge"), ["k1", "k2"]).select("doc_id", "k1", "k2", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("keys")).alias("keys")), "mh-classes")
     buckets = classed.where("keys is not null").select("rep", F.explode("keys").alias("key"))
     shared = buckets.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    hits = written(buckets.join(shared, "key").select("rep", "key", "m").distinct(), "mh-hits")
+    hits = written(buckets.join(shared.hint("merge"), "key").select("rep", "key", "m").distinct(), "mh-hits")
     central = hits.groupBy("rep").agg(F.sum("m").alias("c"))
-    hits = written(hits.join(central, "rep").select("key", "rep", "m", "c"), "mh-central")
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("at", F.xxhash64("text"))
+    hits = written(hits.join(central.hint("merge"), "rep").select("key", "rep", "m", "c"), "mh-central")
     wanted = hits.select(F.col("rep").alias("doc_id")).distinct()
-    sets = written(full_sets(texts.join(wanted, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text"), k), "mh-sets")
+    sets = written(full_sets(docs, k, wanted), "mh-sets")
     centres = hits.groupBy("key").agg(F.max(F.struct("c", (-F.col("rep")).alias("r"))).alias("x")).select("key", (-F.col("x.r")).alias("centre"))
     pairs = hits.join(centres, "key").where("rep <> centre").select("centre", F.col("rep").alias("member"))
     tested = written(confirmed(pairs, sets, percent, differences=True), "mh-stars")
@@ -198,7 +218,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     if not more.isEmpty():
         labels = components(links.union(more))
     final = classed.select("k1", "k2", "rep").distinct().join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("class_component"))
-    out = found.join(final, ["k1", "k2"], "left")
+    out = found.join(final.hint("merge"), ["k1", "k2"], "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("class_component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (component.isNull() | (component == F.col("doc_id"))).alias("kept"))
 
