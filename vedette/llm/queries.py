@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Module of each query.
 MODULES = {
+    "op1_lattice_likelihood": "lattice",
     "op2_bm25_wand": "decontaminate",
     "op4_progressive_jpeg": "media",
     "op5_template_compiler": "chat",
