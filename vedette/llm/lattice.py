@@ -42,7 +42,7 @@ from vedette.session import written
 
 VOCABULARY = "piece_bpe_32k.model"
 RANK_SHIFT = 10.0
-EM_STEPS = 2
+EM_STEPS = 3
 #: Longest piece in bytes; and what each piece is seen beyond its expected count, in all.
 LONGEST = 16
 SMOOTHING = 1.0
