@@ -4,8 +4,8 @@ A word's features are its prefixes and suffixes, its byte n-grams and the word i
 weights per language; learned transitions tie neighbours, so words of code-switched text get a language each. A
 document's language is the one with the greatest mean marginal probability over its words; that mean is its score.
 
-Training, on the driver: TRAIN_ROWS labelled documents at most (those with the smallest hashes of doc_id, whole
-texts), cut in stretches, of which some are joined across languages so that switches are seen; the conditional
+Training, on the driver: TRAIN_ROWS labelled documents of TRAIN_CHARS characters at most (those with the smallest
+hashes of doc_id, whole texts), cut in stretches, of which some are joined across languages so that switches are seen; the conditional
 likelihood's gradient comes from the same forward-backward. Labelling is one pass without a shuffle. Inside a worker
 long documents are cut in blocks whose transfer matrices are multiplied side by side, which gives the same marginals
 as word after word.
@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from vedette.llm.common import prepare, slices, table, text_column
 from vedette.llm.textkit import Words, span_hash
 
-TRAIN_ROWS = 2_000
+TRAIN_ROWS = 600
+TRAIN_CHARS = 10_000
 STRETCH = 16
 TABLE_BITS = 18
 BLOCK = 64
@@ -214,10 +215,10 @@ def held_out(column: str = "doc_id") -> Column:
 
 
 def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Field:
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select(F.col("doc_id").cast("long"))
+    known = docs.where(F.col("lang").isNotNull() & (F.length("text") <= TRAIN_CHARS) & F.col("doc_id").isNotNull() & ~held_out()).select(F.col("doc_id").cast("long"))
     ids = known.distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect()  # `rows` at most
     picked = F.broadcast(docs.sparkSession.createDataFrame([(r[0],) for r in ids], "doc_id long"))
-    found = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")).join(picked, "doc_id").collect()
+    found = docs.where(F.col("lang").isNotNull() & (F.length("text") <= TRAIN_CHARS)).select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")).join(picked, "doc_id").collect()
     found = sorted(found, key=lambda r: (r[0], r[2], r[1]))
     return fit_field([r[1] for r in found], [r[2] for r in found])
 
