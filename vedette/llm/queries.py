@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 MODULES = {
     "op1_lattice_likelihood": "lattice",
     "op2_bm25_wand": "decontaminate",
+    "op3_interval_tree": "repeats",
     "op4_progressive_jpeg": "media",
     "op5_template_compiler": "chat",
     "op7_character_network": "secrets",
