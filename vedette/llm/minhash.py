@@ -106,12 +106,16 @@ def signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
     return rows_.mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, keys array<long>")
 
 
-def bitmap(ids: DataFrame, column: str) -> np.ndarray:
-    """A fixed number of bits, those set that an id of the column hashes to: 2 MB whatever the column's size."""
+def bitmap_words(ids: DataFrame, column: str) -> DataFrame:
+    """(_w, _b): the 32-bit words, as whole numbers, of a bitmap of 2**FILTER_BITS bits, those set that an id hashes to."""
     bits = ids.select(F.pmod(F.xxhash64(column), F.lit(1 << FILTER_BITS)).alias("bit"))
-    words = bits.groupBy(F.expr("shiftright(bit, 5)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 32 as int)))"))
+    return bits.groupBy(F.expr("shiftright(bit, 5)").alias("_w")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 32 as int)))").alias("_b"))
+
+
+def bitmap(ids: DataFrame, column: str) -> np.ndarray:
+    """The bitmap as an array of booleans: 2 MB of bits whatever the column's size."""
     out = np.zeros(1 << (FILTER_BITS - 5), "<u4")
-    for w, b in words.collect():  # a row for each 32 bits at most
+    for w, b in bitmap_words(ids, column).collect():  # a row for each 32 bits at most
         out[w] = b
     return np.unpackbits(out.view(np.uint8), bitorder="little").view(bool)
 
@@ -200,7 +204,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     found = written(signatures(docs, k, percent), "mh-signatures")
     known = found.where("n_shingles > 0 and doc_id is not null")
     # these sides grow with the input, so they are merged and not broadcast while they happen to be small
-    classes = known.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
+    # (and written, so that a class of many copies is a join's hot key, which Spark splits, and no aggregate's)
+    classes = written(known.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "mh-reps")
     classed = written(known.join(classes.hint("merge"), ["k1", "k2"]).select("doc_id", "k1", "k2", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("keys")).alias("keys")), "mh-classes")
     buckets = classed.where("keys is not null").select("rep", F.explode("keys").alias("key"))
     shared = buckets.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
@@ -217,11 +222,26 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     more = written(confirmed(missed_by_stars(tested, labels), sets, percent).where("linked").select("u", "v"), "mh-links")
     if not more.isEmpty():
         labels = components(links.union(more))
-    final = classed.select("k1", "k2", "rep").distinct().join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("class_component"))
+    final = written(classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("class_component")), "mh-final")
     out = found.join(final.hint("merge"), ["k1", "k2"], "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("class_component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (component.isNull() | (component == F.col("doc_id"))).alias("kept"))
 
 
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """Those rows of `docs`, all columns, whose document is kept.
+
+    Documents outside a bitmap of the removed ids stay where they are; only the others, the removed ones and few
+    besides, go through the join that decides exactly."""
+    gone = written(near_duplicates(docs, k, percent).where(~F.col("kept")).select("doc_id").distinct(), "mh-gone")
+    bits = F.broadcast(bitmap_words(gone, "doc_id"))  # 2**(FILTER_BITS - 5) rows at most
+    bit = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << FILTER_BITS))
+    seen = docs.withColumn("_bit", bit).join(bits, F.shiftright("_bit", 5) == F.col("_w"), "left")
+    maybe = F.coalesce(F.col("_b").bitwiseAND(F.expr("shiftleft(1L, cast(_bit % 32 as int))")) != 0, F.lit(False))
+    names = docs.columns
+    tested = seen.where(maybe).select(*names).join(gone.withColumnRenamed("doc_id", "_gone").hint("merge"), F.col("doc_id") == F.col("_gone"), "left_anti")
+    return seen.where(~maybe).select(*names).unionByName(tested.select(*names))
+
+
 def op8_minhash_star(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
