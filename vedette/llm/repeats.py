@@ -44,6 +44,8 @@ LENGTH = 100
 GRAM = 37
 REACH = LENGTH - GRAM  # an anchor lies at most so far into its window
 HOT = 400
+#: Contexts take more room than anchors, so they are dealt out to so many times as many buckets.
+FINER = 6
 U = np.uint64
 _BLOCK = 1 << 20
 _SECOND_CODE = mix(BYTE_CODE ^ U(0xA5A5_5A5A_0F0F_F0F0))
@@ -288,7 +290,7 @@ def _runs(doc: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarr
 
 def _context_records(n_buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, limit=1_000_000):
+        for batch in slices(batches):
             data, offsets = text_bytes(batch.column(2))
             did, tk = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             places, hot = _blobs(batch.column(3), "<u4"), _blobs(batch.column(4), np.uint8)
@@ -424,7 +426,7 @@ def repeats(docs: DataFrame) -> DataFrame:
 
     near = rows.select("did", "tk", "text", F.pmod(F.xxhash64("tk"), F.lit(1 << FILTER_BITS)).alias("bit")).mapInArrow(only, "did long, tk long, text string").dropDuplicates(["did", "tk"])
     marked = written(near.join(marks.hint("merge"), ["did", "tk"]).select("did", "tk", "text", "places", "hot"), "repeat-texts")
-    contexts = marked.mapInArrow(_context_records(n_buckets), "kind int, bucket int, did binary, tk binary, begin binary, h1 binary, h2 binary, context binary")
+    contexts = marked.mapInArrow(_context_records(FINER * n_buckets), "kind int, bucket int, did binary, tk binary, begin binary, h1 binary, h2 binary, context binary")
     spans = contexts.groupBy("bucket").applyInArrow(_found, "did long, tk long, begins binary, ends binary")
     spans = spans.groupBy("did", "tk").agg(F.collect_list(F.struct("begins", "ends")).alias("parts"))
     return marked.select("did", "tk", "text").join(spans.hint("merge"), ["did", "tk"]).select("did", "tk", "text", "parts").mapInArrow(_removed, "did long, tk long, begins binary, ends binary, n_removed long, n_spans long, kept_sha256 string")
