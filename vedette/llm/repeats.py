@@ -45,7 +45,7 @@ GRAM = 37
 REACH = LENGTH - GRAM  # an anchor lies at most so far into its window
 HOT = 400
 #: Contexts take more room than anchors, so they are dealt out to so many times as many buckets.
-FINER = 6
+FINER = 3
 U = np.uint64
 _BLOCK = 1 << 20
 _SECOND_CODE = mix(BYTE_CODE ^ U(0xA5A5_5A5A_0F0F_F0F0))
@@ -75,7 +75,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
         g = grams[lo : lo + _BLOCK + REACH]
         least = (g & ~U(2 * _BLOCK - 1)) | np.arange(len(g), dtype=np.uint64)
         step = 1
-        while step <= REACH // 2:
+        while step <= (REACH + 1) // 2:  # up to windows of REACH + 1 grams
             least = np.minimum(least[:-step], least[step:])
             step *= 2
         place = (least[mine] & U(2 * _BLOCK - 1)).astype(np.int64) + lo
@@ -413,7 +413,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     of what is left; documents with nothing to remove are absent."""
     spark = docs.sparkSession
     prepare(spark)
-    n_buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n_buckets = max(8, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = _identified(docs)
     records = rows.select("did", "tk", "text").mapInArrow(_anchor_records(n_buckets), "bucket int, chunk long, hashes binary, docs binary, places binary, head binary")
     parts = records.groupBy("bucket").applyInArrow(_repeated, "chunk long, docs binary, places binary, hot binary, head binary")
