@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,14 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from vedette.session import ship
 
 #: Text bytes that a worker looks at together; a single longer document is still taken whole.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 
 def prepare(spark: SparkSession) -> None:
     """Ship the package and bound Arrow batches, by rows and (where Spark has the setting) by bytes."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +38,15 @@ def text_column(column: pa.Array) -> pa.Array:
     return pc.fill_null(column.cast(pa.large_string()), "")
 
 
+def release() -> None:
+    """Hand memory that a worker has done with back to the machine: idle workers are kept by Spark."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES, rows: int = 60_000) -> Iterator[pa.RecordBatch]:
     """Cut batches so that one piece has at most `limit` text bytes, or one row."""
     for batch in batches:
@@ -51,3 +61,4 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
                 first, total = i, 0
             total += int(sizes[i])
         yield batch.slice(first)
+    release()

@@ -2,8 +2,8 @@
 
 Suffixes: of every window of LENGTH bytes the place with the smallest hash of GRAM bytes is an anchor (the leftmost
 of equal ones). Equal windows have the same anchor at the same offset, so a repeat shows at its anchors; there is one
-for about 33 bytes. Only anchors whose hash occurs twice go on, each with the 63 bytes before it and the LENGTH bytes
-from it on.
+for about 23 bytes. (Longer grams give more anchors, of which fewer occur twice without a repeat of LENGTH bytes.)
+Only anchors whose hash occurs twice go on, each with the REACH bytes before it and the LENGTH bytes from it on.
 
 Interval tree: an anchor's suffixes are sorted, with longest common prefixes of neighbours (an enhanced suffix array),
 and a stack scan gives each interval of suffixes that share a prefix. The bytes before them, read backwards, are tested
@@ -15,7 +15,7 @@ Very frequent anchors (more than HOT occurrences) take another exact way, so tha
 themselves are compared by 128-bit hashes, of each window only the first occurrence in a batch of documents is sent
 on, and only the first of those stays.
 
-What moves: 14 bytes for each anchor, packed; then the texts of documents with repeated anchors only (a fixed-size
+What moves: 11 bytes for each anchor, packed; then the texts of documents with repeated anchors only (a fixed-size
 bitmap stops the others before the shuffle); then contexts, compressed. `removals` returns one row for each document.
 
 Defined results: null text counts as empty; documents of fewer than LENGTH bytes have nothing removed; a null doc_id
@@ -41,7 +41,7 @@ from vedette.llm.textkit import BYTE_CODE, mix, prefix_hash, span_hash, text_byt
 from vedette.session import written
 
 LENGTH = 100
-GRAM = 37
+GRAM = 57
 REACH = LENGTH - GRAM  # an anchor lies at most so far into its window
 HOT = 400
 #: Contexts take more room than anchors, so they are dealt out to so many times as many buckets.
@@ -74,10 +74,11 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
             continue
         g = grams[lo : lo + _BLOCK + REACH]
         least = (g & ~U(2 * _BLOCK - 1)) | np.arange(len(g), dtype=np.uint64)
-        step = 1
-        while step <= (REACH + 1) // 2:  # up to windows of REACH + 1 grams
+        width = 1
+        while width < REACH + 1:  # the least of REACH + 1 grams, from those of shorter windows
+            step = min(width, REACH + 1 - width)
             least = np.minimum(least[:-step], least[step:])
-            step *= 2
+            width += step
         place = (least[mine] & U(2 * _BLOCK - 1)).astype(np.int64) + lo
         found.append(place[np.diff(place, prepend=-1) != 0])
     place = np.unique(np.concatenate(found))
@@ -227,14 +228,15 @@ def _anchor_records(n_buckets: int):
                 continue
             order, edge = _split(h, n_buckets)
             doc = np.searchsorted(offsets, place, "right") - 1
-            h, docs, places = h[order], doc[order].astype("<u2"), (place - offsets[doc])[order].astype("<u4")
+            docs, places = doc[order].astype("<u2"), (place - offsets[doc])[order].astype("<u4")
+            low = np.ascontiguousarray(h[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])  # the bucket knows the top bits; chance twins are told apart later
             head = batch.column(0).to_numpy().astype("<i8").tobytes() + batch.column(1).to_numpy().astype("<i8").tobytes()
             rows = []
             for b in range(n_buckets):
                 lo, hi = edge[b], edge[b + 1]
                 mine = chunk % n_buckets == b
                 if lo < hi or mine:
-                    rows.append((b, chunk, h[lo:hi].tobytes(), docs[lo:hi].tobytes(), places[lo:hi].tobytes(), head if mine else None))
+                    rows.append((b, chunk, low[lo:hi].tobytes(), docs[lo:hi].tobytes(), places[lo:hi].tobytes(), head if mine else None))
             yield _batch(rows, names, kinds)
 
     return run
@@ -245,9 +247,11 @@ def _blobs(column: pa.ChunkedArray, kind: str) -> list[np.ndarray]:
 
 
 def _repeated(key: tuple, records: pa.Table) -> pa.Table:
-    hashes = _blobs(records.column("hashes"), "<u8")
-    _, inverse, count = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
-    times = np.split(count[inverse], np.cumsum([len(h) for h in hashes])[:-1])
+    low = _blobs(records.column("hashes"), np.uint8)
+    hashes = np.zeros((sum(map(len, low)) // 5, 8), np.uint8)
+    hashes[:, :5] = np.concatenate(low).reshape(-1, 5)
+    _, inverse, count = np.unique(hashes.view("<u8").reshape(-1), return_inverse=True, return_counts=True)
+    times = np.split(count[inverse], np.cumsum([len(h) // 5 for h in low])[:-1])
     rows = []
     for c, n, d, p, head in zip(records.column("chunk"), times, _blobs(records.column("docs"), "<u2"), _blobs(records.column("places"), "<u4"), records.column("head"), strict=True):
         keep = n > 1
@@ -428,7 +432,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     marked = written(near.join(marks.hint("merge"), ["did", "tk"]).select("did", "tk", "text", "places", "hot"), "repeat-texts")
     contexts = marked.mapInArrow(_context_records(FINER * n_buckets), "kind int, bucket int, did binary, tk binary, begin binary, h1 binary, h2 binary, context binary")
     spans = contexts.groupBy("bucket").applyInArrow(_found, "did long, tk long, begins binary, ends binary")
-    spans = spans.groupBy("did", "tk").agg(F.collect_list(F.struct("begins", "ends")).alias("parts"))
+    spans = written(spans, "repeat-spans").groupBy("did", "tk").agg(F.collect_list(F.struct("begins", "ends")).alias("parts"))
     return marked.select("did", "tk", "text").join(spans.hint("merge"), ["did", "tk"]).select("did", "tk", "text", "parts").mapInArrow(_removed, "did long, tk long, begins binary, ends binary, n_removed long, n_spans long, kept_sha256 string")
 
 
