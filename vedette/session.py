@@ -68,4 +68,5 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    spark.sparkContext._jvm.System.gc()  # Spark removes shuffle files when the driver collects what refers to them
     return spark.read.schema(df.schema).parquet(path)
