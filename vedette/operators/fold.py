@@ -7,7 +7,6 @@ lets the nearest observer's radius grow by factor times the distance and becomes
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,9 +45,9 @@ class Fold:
                 self._add(x)
                 continue
             gap = self.o[: self.k] - x
-            square = np.einsum("ij,ij->i", gap, gap)
-            i = int(square.argmin())
-            d = math.sqrt(square[i])
+            distances = np.sqrt(np.einsum("ij,ij->i", gap, gap))
+            i = int(distances.argmin())
+            d = float(distances[i])
             if d <= self.r[i]:
                 self.o[i] += self.alpha * (x - self.o[i]) / (self.p[i] + 1)
                 self.p[i] += 1

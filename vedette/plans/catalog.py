@@ -52,7 +52,7 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def digest(observers: DataFrame, *keys: str) -> DataFrame:
     total = F.aggregate("o", F.lit(0.0), lambda s, v: s + v)
-    return observers.select(*keys, F.col("oid").cast("long").alias("oid"), F.col("population").cast("long").alias("population"), rounded("radius").alias("radius"), rounded(F.col("o")[0]).alias("first"), rounded(total).alias("total"))
+    return observers.select(*keys, F.col("oid").cast("long").alias("oid"), F.col("population").cast("long").alias("population"), rounded("radius", 9).alias("radius"), rounded(F.col("o")[0], 9).alias("first"), rounded(total, 9).alias("total"))
 
 
 def fitted(spark: SparkSession, sf_dir: str, **params: object) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 SEED = 7
 PTS = "pts AS (SELECT vec_id::BIGINT AS id, list_transform(embedding, lambda e: e::DOUBLE) AS x, label FROM embeddings)"
 CUST = "cust AS (SELECT c_custkey::BIGINT AS id, [c_acctbal / 1000.0::DOUBLE, c_nationkey::DOUBLE] AS x, c_acctbal + 1000.0::DOUBLE AS w FROM customer)"
-#: Share of rounding: minus zero becomes zero.
+#: Rounding as the queries have it: minus zero becomes zero.
 R6 = "round({}, 6) + 0.0::DOUBLE"
 
 
@@ -48,7 +48,7 @@ loc AS (SELECT g, k - 1 AS l, s[k].o AS o, s[k].p AS population, s[k].r AS radiu
 obs AS (SELECT g, row_number() OVER (ORDER BY g, l) - 1 AS oid, l, o, population, radius FROM loc)"""
 
 
-DIGEST = f"oid::BIGINT AS oid, population::BIGINT AS population, {r6('radius')} AS radius, {r6('o[1]')} AS first, {r6('list_sum(o)')} AS total"
+DIGEST = "oid::BIGINT AS oid, population::BIGINT AS population, round(radius, 9) + 0.0::DOUBLE AS radius, round(o[1], 9) + 0.0::DOUBLE AS first, round(list_sum(o), 9) + 0.0::DOUBLE AS total"
 GROUPED = DIGEST.replace("oid::BIGINT", "l::BIGINT", 1)
 ORDERED = "fp AS (SELECT 0 AS g, row_number() OVER (ORDER BY id) - 1 AS i, id, x FROM pts)"
 FIXED = "rad AS (SELECT DISTINCT g, 0.95::DOUBLE AS r0 FROM fp)"
