@@ -347,8 +347,8 @@ def _context_records(n_buckets: int):
     return run
 
 
-def _found(key: tuple, records: pa.Table) -> pa.Table:
-    """Spans to remove, by document, from one bucket's contexts and windows."""
+def _found(records: pa.Table, slots: int) -> pa.Table:
+    """Spans to remove from one bucket's contexts and windows."""
     spans = []
     kind = records.column("kind").to_numpy()
     for k in (0, 1, 2):
@@ -378,23 +378,43 @@ def _found(key: tuple, records: pa.Table) -> pa.Table:
             which = order[again]
             spans.append((did[which], tk[which], begin[which], begin[which] + LENGTH))
     did, tk, begin, end = (np.concatenate(x) for x in zip(*spans, strict=True))
-    rows = np.stack([did, tk], axis=1)
-    known, doc = np.unique(rows, axis=0, return_inverse=True)
-    doc, begin, end = _runs(doc.reshape(-1), begin, end)
+    which, did, tk, begin, end = _by_document(did, tk, begin, end)
+    did, tk = did[which], tk[which]
+    # packed by a hash of the document: rows do not multiply with documents and buckets
+    slot = (mix(tk.view(np.uint64)) % U(slots)).astype(np.int64)
+    order = np.argsort(slot, kind="stable")
+    used, first = np.unique(slot[order], return_index=True)
+    parts = [order[a:b] for a, b in zip(first, _ends(first, len(order)), strict=True)]
+    columns = [pa.array([x[p].astype("<i8").tobytes() for p in parts], _BYTES) for x in (did, tk, begin, end)]
+    return pa.table([pa.array(used.astype(np.int32)), *columns], ["slot", "did", "tk", "begin", "end"])
+
+
+def _by_document(did: np.ndarray, tk: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(which document, documents' did and tk, begin, end) of the united spans, by document and place."""
+    order = np.lexsort((tk, did))
+    new = np.ones(len(order), bool)
+    new[1:] = (did[order][1:] != did[order][:-1]) | (tk[order][1:] != tk[order][:-1])
+    doc = np.empty(len(order), np.int64)
+    doc[order] = np.cumsum(new) - 1
+    which, begin, end = _runs(doc, begin, end)
+    return which, did[order][new], tk[order][new], begin, end
+
+
+def _united(key: tuple, records: pa.Table) -> pa.Table:
+    """A row for each document: its spans."""
+    did, tk, begin, end = (np.concatenate(_blobs(records.column(c), "<i8")) for c in ("did", "tk", "begin", "end"))
+    doc, did, tk, begin, end = _by_document(did, tk, begin, end)
     which, first = np.unique(doc, return_index=True)
-    last = _ends(first, len(doc))
-    return pa.table({
-        "did": pa.array(known[which, 0], _LONG), "tk": pa.array(known[which, 1], _LONG),
-        "begins": pa.array([begin[a:b].astype("<i8").tobytes() for a, b in zip(first, last, strict=True)], _BYTES), "ends": pa.array([end[a:b].astype("<i8").tobytes() for a, b in zip(first, last, strict=True)], _BYTES),
-    })
+    cuts = list(zip(first, _ends(first, len(doc)), strict=True))
+    packed = [pa.array([x[a:b].astype("<i8").tobytes() for a, b in cuts], _BYTES) for x in (begin, end)]
+    return pa.table([pa.array(did[which], _LONG), pa.array(tk[which], _LONG), *packed], ["did", "tk", "begins", "ends"])
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         rows = []
-        for did, tk, text, parts in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            begin, end = (np.concatenate([np.frombuffer(p[k], "<i8") for p in parts]) for k in ("begins", "ends"))
-            _, begin, end = _runs(np.zeros(len(begin), np.int64), begin, end)
+        for did, tk, text, *ends in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            begin, end = (np.frombuffer(x, "<i8") for x in ends)
             raw, kept, at = text.encode("utf-8", "surrogatepass"), hashlib.sha256(), 0
             for b, e in zip(begin.tolist(), end.tolist(), strict=True):
                 kept.update(raw[at:b])
@@ -431,9 +451,9 @@ def repeats(docs: DataFrame) -> DataFrame:
     near = rows.select("did", "tk", "text", F.pmod(F.xxhash64("tk"), F.lit(1 << FILTER_BITS)).alias("bit")).mapInArrow(only, "did long, tk long, text string").dropDuplicates(["did", "tk"])
     marked = written(near.join(marks.hint("merge"), ["did", "tk"]).select("did", "tk", "text", "places", "hot"), "repeat-texts")
     contexts = marked.mapInArrow(_context_records(FINER * n_buckets), "kind int, bucket int, did binary, tk binary, begin binary, h1 binary, h2 binary, context binary")
-    spans = contexts.groupBy("bucket").applyInArrow(_found, "did long, tk long, begins binary, ends binary")
-    spans = written(spans, "repeat-spans").groupBy("did", "tk").agg(F.collect_list(F.struct("begins", "ends")).alias("parts"))
-    return marked.select("did", "tk", "text").join(spans.hint("merge"), ["did", "tk"]).select("did", "tk", "text", "parts").mapInArrow(_removed, "did long, tk long, begins binary, ends binary, n_removed long, n_spans long, kept_sha256 string")
+    found = contexts.groupBy("bucket").applyInArrow(lambda records: _found(records, n_buckets), "slot int, did binary, tk binary, begin binary, end binary")
+    spans = written(found.groupBy("slot").applyInArrow(_united, "did long, tk long, begins binary, ends binary"), "repeat-spans")
+    return marked.select("did", "tk", "text").join(spans.hint("merge"), ["did", "tk"]).select("did", "tk", "text", "begins", "ends").mapInArrow(_removed, "did long, tk long, begins binary, ends binary, n_removed long, n_spans long, kept_sha256 string")
 
 
 def removals(docs: DataFrame) -> DataFrame:
