@@ -334,7 +334,7 @@ def _context_records(n_buckets: int):
                 begin = starts - offsets[d]
                 gone = _runs(d[~new], begin[~new], begin[~new] + LENGTH)
                 if len(gone[0]):
-                    rows.append((2, int(gone[1][0] + gone[0][0]) % n_buckets, did[gone[0]].tobytes(), tk[gone[0]].tobytes(), gone[1].astype("<u4").tobytes(), gone[2].astype("<u8").tobytes(), None, None))
+                    rows.append((2, int(mix(tk[gone[0][:1]].astype(np.int64).view(np.uint64))[0] % U(n_buckets)), did[gone[0]].tobytes(), tk[gone[0]].tobytes(), gone[1].astype("<u4").tobytes(), gone[2].astype("<u8").tobytes(), None, None))
                 h1, h2, d, begin = h1[new], h2[new], d[new], begin[new]
                 _, edge = _split(h1, n_buckets)
                 for b in range(n_buckets):
