@@ -29,7 +29,7 @@ def packed(texts):
 def test_word_lattices_equal_brute_force():
     pieces = lattice.pieces_of(vocabulary(lattice.VOCABULARY))
     texts = [b"a", b"the", b"therefore", "éèß".encode(), "漢字".encode(), b"\x00\xff", b"x" * 40, b"abstract", b"internationalisation"]
-    got = lattice.word_log_probabilities(pieces, pieces.first, *packed(texts))
+    got = lattice.word_log_probabilities(pieces, pieces.first[None], *packed(texts))[:, 0]
     assert got == pytest.approx([brute(pieces, pieces.first, t) for t in texts])
     e = lattice.expected_counts(pieces, pieces.first, *packed([b"the"]), np.array([2.0]))
     used = sum(n * len(pieces.texts[i]) for i, n in enumerate(e) if n)
@@ -61,6 +61,27 @@ def test_scores_of_awkward_documents(spark):
     assert lattice.lattice_scores(empty(spark)).count() == 0
 
 
+def test_words_of_a_model_add_up_to_one():
+    """Over all words of up to two bytes of a tiny alphabet, plus what longer ones can have at most."""
+    pieces = lattice.pieces_of(vocabulary(lattice.VOCABULARY))
+    alphabet = [b"a", b"b"]
+    words_ = [x + y for x in [b"", *alphabet] for y in alphabet]
+    counts = np.array([[3, 0], [0, 1], [0, 0], [2, 2], [0, 0], [1, 0]])
+    weights = np.full((3, len(pieces.texts)), -50.0)
+    for t, p in ((b" ", 0.5), (b"a", 0.25), (b"b", 0.25)):
+        weights[:, pieces.texts.index(t)] = math.log(p)
+    stats = [np.array(x) for x in ([1, 1, 2], [*counts.sum(axis=0), counts.sum()], [3, 2, 4], [1, 1, 1], [1, 1, 1])]
+    model = lattice.Model(weights, *stats)
+    got = 10 ** model.word_scores(pieces, *packed(words_), counts) / (1 - model.ends()[:-1])
+    lattice_mass = sum(0.25 ** len(w) for w in words_)  # the rest of F is with longer words
+    d = model.discounts()
+    below = d * model.distinct / model.words
+    for k in range(2):
+        rest = below[k] * (0.5 * (1 - lattice_mass) + 0.5 * below[-1] * (1 - lattice_mass))
+        seen = (np.maximum(counts[:, k] - d[k], 0) / model.words[k] * (counts[:, k] > 0)).sum()
+        assert seen + below[k] == pytest.approx(1) and got[:, k].sum() + rest == pytest.approx(1, abs=1e-6)
+
+
 def test_lattice_prefers_what_it_has_read(spark):
     rng = random.Random(0)
     make = lambda: " ".join("".join(rng.choice(["ba", "ko", "ti", "ra"]) for _ in range(rng.randrange(1, 5))) for _ in range(40))

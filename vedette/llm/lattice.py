@@ -4,11 +4,16 @@ The pieces and their first weights come from an existing vocabulary (a piece at
 1 / (r + RANK_SHIFT)); EM_STEPS rounds of forward-backward over the training words' lattices turn them into
 probabilities of this corpus. A word is preceded by a space, pieces do not cross words, and every single byte is a
 piece, so every text has a segmentation. F(w), the sum over all segmentations of word w, is found by a forward
-recursion in log space; F adds up to 1 over all words. A word that was seen c > 0 times in the N training words has
+recursion in log space; F adds up to 1 over all words (the empty one, a lone space, is ruled out by division). A word that was seen c > 0 times in the N training words has
 one more arc over its lattice, the whole word: its probability is (c - D) / N + D V / N * F(w), V distinct words,
 D = n1 / (n1 + 2 n2) from the words seen once and twice (absolute discounting with the lattice below it; the pieces
 are therefore fitted to distinct words). Words are drawn until the end comes, each time with the share of ends among
-words and ends. A document's probability is the product.
+words and ends.
+
+Where the training rows have a class (a language, say), each of the CLASSES largest has word arcs, pieces and ends of
+its own, discounted the same way; half of what its arcs leave goes to its own lattices, half to the common model. A document's probability is the sum over the classes of the
+class's share times the product over the words: the class is summed out, like the segmentation, and nothing but the
+text is looked at to score it.
 
 Each distinct word of the corpus gets its lattice once, not each occurrence:
 
@@ -42,7 +47,8 @@ from vedette.session import written
 
 VOCABULARY = "piece_bpe_32k.model"
 RANK_SHIFT = 10.0
-EM_STEPS = 3
+EM_STEPS = 2
+CLASSES = 7
 #: Longest piece in bytes; and what each piece is seen beyond its expected count, in all.
 LONGEST = 16
 SMOOTHING = 1.0
@@ -138,10 +144,12 @@ def _forward(matches: list, weights: np.ndarray, n: int, width: int) -> np.ndarr
 
 
 def word_log_probabilities(pieces: Pieces, weights: np.ndarray, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Natural log of each word's marginal probability."""
-    out = np.zeros(len(starts))
+    """[words, models] natural log of each word's marginal probability under each row of `weights`."""
+    out = np.zeros((len(starts), len(weights)))
     for rows, text in _groups(data, starts, sizes):
-        out[rows] = _forward(_matches(pieces, text), weights, len(rows), text.shape[1])[-1]
+        matches = _matches(pieces, text)
+        for k, w in enumerate(weights):
+            out[rows, k] = _forward(matches, w, len(rows), text.shape[1])[-1]
     return out
 
 
@@ -164,10 +172,10 @@ def expected_counts(pieces: Pieces, weights: np.ndarray, data: np.ndarray, start
 
 
 _RECORD = "bucket int, chunk long, hashes binary, sizes binary, letters binary, seen binary, n_docs binary, docs binary, times binary, head binary"
-_MERGED = "bucket int, n_train_docs long, n_tokens long, n_distinct long, n_once long, n_twice long, sizes binary, letters binary, counts binary, records array<struct<chunk: long, words: binary, n_docs: binary, docs: binary, times: binary, head: binary>>"
+_MERGED = "bucket int, stats array<long>, sizes binary, letters binary, counts binary, records array<struct<chunk: long, words: binary, n_docs: binary, docs: binary, times: binary, head: binary>>"
 
 
-def _pack(n_buckets: int):
+def _pack(n_buckets: int, n_classes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
         for batch in slices(batches, limit=4_000_000):
@@ -175,6 +183,7 @@ def _pack(n_buckets: int):
             number += 1
             words = Words(batch.column(1))
             held = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            kind = batch.column(3).to_numpy()
             ids = batch.column(0)
             # distinct (word, document) pairs with their numbers, ordered by word
             order = np.argsort(words.hash, kind="stable")
@@ -186,7 +195,10 @@ def _pack(n_buckets: int):
             ph, pd = h[pair], d[pair]
             first = np.flatnonzero(np.diff(ph, prepend=ph[:1] ^ np.uint64(1)) != 0) if len(ph) else np.zeros(0, np.int64)
             n_docs = np.diff(np.append(first, len(ph)))
-            seen = np.add.reduceat(np.where(held[pd], 0, times), first) if len(first) else np.zeros(0, np.int64)
+            seen = np.zeros((len(first), n_classes), np.int64)  # occurrences in training rows, by class
+            if len(first):
+                for c in range(n_classes):
+                    seen[:, c] = np.add.reduceat(np.where(held[pd] | (kind[pd] != c), 0, times), first)
             uh, example = ph[first], order[pair[first]]
             sizes = (words.ends - words.starts)[example]
             bucket = ((uh >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)  # ascending, as uh is
@@ -197,7 +209,7 @@ def _pack(n_buckets: int):
             head = pa.py_buffer(
                 np.array([batch.num_rows], "<i8").tobytes()
                 + ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes()
-                + np.asarray(ids.is_null()).astype(np.uint8).tobytes() + held.astype(np.uint8).tobytes() + words.count.astype("<i8").tobytes()
+                + np.asarray(ids.is_null()).astype(np.uint8).tobytes() + held.astype(np.uint8).tobytes() + kind.astype(np.uint8).tobytes() + words.count.astype("<i8").tobytes()
             ).to_pybytes()
             rows: list[tuple] = []
             for b in range(n_buckets):
@@ -220,13 +232,13 @@ def _numbers(column: pa.ChunkedArray, kind: str) -> list[np.ndarray]:
     return [np.frombuffer(x.as_py() or b"", kind) for x in column]
 
 
-def _merge(key: tuple, records: pa.Table) -> pa.Table:
+def _merge(key: tuple, records: pa.Table, n_classes: int) -> pa.Table:
     hashes = _numbers(records.column("hashes"), "<u8")
     sizes = np.concatenate(_numbers(records.column("sizes"), "<u4")).astype(np.int64)
     letters = np.frombuffer(b"".join(x.as_py() for x in records.column("letters")), np.uint8)
-    seen = np.concatenate(_numbers(records.column("seen"), "<u4"))
+    seen = np.concatenate(_numbers(records.column("seen"), "<u4")).reshape(-1, n_classes)
     unique, example, inverse = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
-    counts = np.bincount(inverse, seen, len(unique)).astype(np.int64)
+    counts = np.stack([np.bincount(inverse, seen[:, c], len(unique)) for c in range(n_classes)], axis=1).astype(np.int64)
     at = np.cumsum(sizes) - sizes
     size = sizes[example]
     fill = np.cumsum(size) - size
@@ -234,55 +246,59 @@ def _merge(key: tuple, records: pa.Table) -> pa.Table:
     cuts = np.cumsum([len(h) for h in hashes])[:-1]
     of = np.split(inverse.astype("<u4"), cuts)
     heads = [x.as_py() for x in records.column("head")]
-    train_docs = sum(int((head_of(h)[2] == 0).sum()) for h in heads if h)
+    train_docs = sum((np.bincount(kind[held == 0], minlength=n_classes) for _, _, held, kind, _ in (head_of(h) for h in heads if h)), np.zeros(n_classes, np.int64))
+    every = np.column_stack([counts, counts.sum(axis=1)])  # each class, then all
+    stats = np.concatenate([train_docs, [train_docs.sum()], every.sum(axis=0), (every > 0).sum(axis=0), (every == 1).sum(axis=0), (every == 2).sum(axis=0)])
     packed = [
         {"chunk": c.as_py(), "words": w.tobytes(), "n_docs": n.as_py(), "docs": d.as_py(), "times": t.as_py(), "head": h}
         for c, w, n, d, t, h in zip(records.column("chunk"), of, records.column("n_docs"), records.column("docs"), records.column("times"), heads, strict=True)
     ]
     inner = pa.struct([("chunk", pa.int64()), *((x, pa.binary()) for x in ("words", "n_docs", "docs", "times", "head"))])
-    values = [[key[0].as_py()], [train_docs], [int(counts.sum())], [int((counts > 0).sum())], [int((counts == 1).sum())], [int((counts == 2).sum())], [size.astype("<u4").tobytes()], [text.tobytes()], [counts.astype("<i8").tobytes()], [packed]]
-    kinds = [pa.int32(), *[pa.int64()] * 5, pa.binary(), pa.binary(), pa.binary(), pa.list_(inner)]
-    names = ["bucket", "n_train_docs", "n_tokens", "n_distinct", "n_once", "n_twice", "sizes", "letters", "counts", "records"]
+    values = [[key[0].as_py()], [stats.tolist()], [size.astype("<u4").tobytes()], [text.tobytes()], [counts.astype("<i8").tobytes()], [packed]]
+    kinds = [pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.list_(inner)]
+    names = ["bucket", "stats", "sizes", "letters", "counts", "records"]
     return pa.table([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names)
 
 
-def head_of(head: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """doc_ids, which are null, which are held out, number of words."""
+def head_of(head: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """doc_ids, which are null, which are held out, classes, number of words."""
     n = int(np.frombuffer(head, "<i8", 1)[0])
-    ids, flags = np.frombuffer(head, "<i8", n, 8), np.frombuffer(head, np.uint8, 2 * n, 8 + 8 * n)
-    return ids, flags[:n], flags[n:], np.frombuffer(head, "<i8", n, 8 + 10 * n)
+    ids, flags = np.frombuffer(head, "<i8", n, 8), np.frombuffer(head, np.uint8, 3 * n, 8 + 8 * n)
+    return ids, flags[:n], flags[n : 2 * n], flags[2 * n :], np.frombuffer(head, "<i8", n, 8 + 11 * n)
 
 
 def _lattice_words(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     sizes = np.frombuffer(batch.column("sizes")[i].as_py(), "<u4").astype(np.int64)
-    return np.frombuffer(batch.column("letters")[i].as_py(), np.uint8), np.cumsum(sizes) - sizes, sizes, np.frombuffer(batch.column("counts")[i].as_py(), "<i8")
+    return np.frombuffer(batch.column("letters")[i].as_py(), np.uint8), np.cumsum(sizes) - sizes, sizes, np.frombuffer(batch.column("counts")[i].as_py(), "<i8").reshape(len(sizes), -1)
 
 
-def fit(merged: DataFrame, path: str, steps: int = EM_STEPS) -> np.ndarray:
-    """Log probability of each piece, from the distinct training words."""
+def fit(merged: DataFrame, path: str, n_classes: int, steps: int = EM_STEPS) -> np.ndarray:
+    """[classes and all, pieces] log probabilities, from the distinct training words of each class and of all."""
     spark = merged.sparkSession
     pieces = pieces_of(path)
-    weights = pieces.first
+    n = len(pieces.first)
+    weights = np.tile(pieces.first, (n_classes + 1, 1))
     for _ in range(steps):
         shared = spark.sparkContext.broadcast(weights)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            known, sums = pieces_of(path), np.zeros(len(shared.value))
+            known, sums = pieces_of(path), np.zeros(shared.value.shape)
             for batch in batches:
                 for i in range(batch.num_rows):
                     data, starts, sizes, counts = _lattice_words(batch, i)
-                    some = np.flatnonzero(counts > 0)
-                    sums += expected_counts(known, shared.value, data, starts[some], sizes[some], np.ones(len(some)))
+                    for k in range(n_classes + 1):
+                        some = np.flatnonzero(counts[:, k] if k < n_classes else counts.any(axis=1))
+                        if len(some):
+                            sums[k] += expected_counts(known, shared.value[k], data, starts[some], sizes[some], np.ones(len(some)))
             which = np.flatnonzero(sums)
-            yield pa.RecordBatch.from_arrays([pa.array(which.astype(np.int32)), pa.array(sums[which])], ["piece", "expected"])
-
-        sums = merged.select("sizes", "letters", "counts").mapInArrow(run, "piece int, expected double").groupBy("piece").agg(F.sum("expected").alias("expected")).toArrow()  # a row for each piece
-        expected = np.zeros(len(weights))
-        expected[sums.column("piece").to_numpy()] = sums.column("expected").to_numpy()
-        if not expected.sum():
-            break
-        mass = expected + SMOOTHING * np.exp(pieces.first)
-        weights = np.log(mass / mass.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(which.astype(np.int32)), pa.array(sums.reshape(-1)[which])], ["piece", "expected"])
+
+        found = merged.select("sizes", "letters", "counts").mapInArrow(run, "piece int, expected double").groupBy("piece").agg(F.sum("expected").alias("expected")).toArrow()  # a row for each piece and class
+        expected = np.zeros((n_classes + 1) * n)
+        expected[found.column("piece").to_numpy()] = found.column("expected").to_numpy()
+        expected = expected.reshape(n_classes + 1, n)
+        mass = expected + SMOOTHING * np.exp(weights[-1:] if expected.any() else pieces.first)
+        weights = np.log(mass / mass.sum(axis=1, keepdims=True))
     return weights
 
 
@@ -291,28 +307,45 @@ _PARTIAL = "chunk long, bucket int, docs binary, known binary, base binary, mode
 
 @dataclass(frozen=True)
 class Model:
-    """Piece weights, training words, discount, share of the mass that lattices get, log10 of going on and of the end."""
+    """For each class, then for all: piece weights, training documents, words, distinct words, those seen once and those
+    seen twice."""
 
     weights: np.ndarray
-    n_words: int
-    discount: float
-    below: float
-    go_on: float
-    end: float
+    docs: np.ndarray
+    words: np.ndarray
+    distinct: np.ndarray
+    once: np.ndarray
+    twice: np.ndarray
+
+    def discounts(self) -> np.ndarray:
+        return np.where(self.once > 0, np.clip(self.once / np.maximum(self.once + 2 * self.twice, 1), 0.05, 0.95), 0.5)
+
+    def ends(self) -> np.ndarray:
+        """Probability that a document ends, by class, at each of its places."""
+        return (self.docs + 1) / (self.docs + self.words + 2)
+
+    def shares(self) -> np.ndarray:
+        return (self.docs[:-1] + 0.5) / (self.docs[:-1] + 0.5).sum()
+
+    def _above(self, below: np.ndarray, counts: np.ndarray, k: int) -> np.ndarray:
+        if not self.words[k]:
+            return below
+        discount = self.discounts()[k]
+        with np.errstate(divide="ignore"):
+            arc = np.log(np.maximum(counts - discount, 0) / self.words[k])
+        return np.logaddexp(arc, below + np.log(discount * self.distinct[k] / self.words[k]))
 
     def word_scores(self, known: Pieces, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """log10 probability of each distinct word."""
-        lattice = word_log_probabilities(known, self.weights, data, starts, sizes) + np.log(self.below)
-        if self.n_words:
-            with np.errstate(divide="ignore"):
-                lattice = np.logaddexp(lattice, np.log(np.maximum(counts - self.discount, 0) / self.n_words))
-        return lattice / _LOG10 + self.go_on
-
+        """[words, classes] log10 probabilities of distinct words, with the chance to go on."""
+        lattice = word_log_probabilities(known, self.weights, data, starts, sizes) - np.log1p(-np.exp(self.weights[:, known.texts.index(b" ")]))
+        common = self._above(lattice[:, -1], counts.sum(axis=1), -1)
+        by_class = [self._above(np.logaddexp(common, lattice[:, k]) - np.log(2), counts[:, k], k) if self.words[k] else common for k in range(counts.shape[1])]
+        return (np.stack(by_class, axis=1) + np.log1p(-self.ends()[:-1])) / _LOG10
 
-def model_of(weights: np.ndarray, n_docs: int, n_words: int, distinct: int, once: int, twice: int) -> Model:
-    discount = min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
-    end = (n_docs + 1) / (n_docs + n_words + 2)
-    return Model(weights, n_words, discount, discount * distinct / n_words if n_words else 1.0, float(np.log10(1 - end)), float(np.log10(end)))
+    def document_scores(self, sums: np.ndarray) -> np.ndarray:
+        """log10 probability of documents from their words' sums [classes, documents]."""
+        x = sums * _LOG10 + np.log(self.shares() * self.ends()[:-1])[:, None]
+        return np.logaddexp.reduce(x, axis=0) / _LOG10
 
 
 def _score(path: str, shared) -> object:
@@ -322,15 +355,17 @@ def _score(path: str, shared) -> object:
             for i in range(batch.num_rows):
                 data, starts, sizes, counts = _lattice_words(batch, i)
                 model = shared.value.word_scores(known, data, starts, sizes, counts)
-                base = np.log10(counts + 1)
+                total = counts.sum(axis=1)
+                base = np.log10(total + 1)
                 rows = []
                 for record in batch.column("records")[i].as_py():
                     word = np.repeat(np.frombuffer(record["words"], "<u4"), np.frombuffer(record["n_docs"], "<u2"))
                     doc, times = np.frombuffer(record["docs"], "<u2").astype(np.int64), np.frombuffer(record["times"], "<u4").astype(float)
                     n = int(doc.max(initial=-1)) + 1
-                    sums = [np.bincount(doc, x, n) for x in (times * (counts[word] > 0), times * base[word], times * model[word])]
+                    sums = [np.bincount(doc, x, n) for x in (times * (total[word] > 0), times * base[word])]
+                    by_class = np.stack([np.bincount(doc, times * model[word, c], n) for c in range(model.shape[1])])
                     some = np.flatnonzero(np.bincount(doc, minlength=n))
-                    rows.append((record["chunk"], batch.column("bucket")[i].as_py(), some.astype("<u2").tobytes(), sums[0][some].astype("<i8").tobytes(), *(x[some].astype("<f8").tobytes() for x in sums[1:]), record["head"]))
+                    rows.append((record["chunk"], batch.column("bucket")[i].as_py(), some.astype("<u2").tobytes(), sums[0][some].astype("<i8").tobytes(), sums[1][some].astype("<f8").tobytes(), by_class[:, some].astype("<f8").tobytes(), record["head"]))
                     if len(rows) == 64:
                         yield _partial(rows)
                         rows = []
@@ -344,38 +379,54 @@ def _partial(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [pa.int64(), pa.int32(), *[pa.binary()] * 5], strict=True)], ["chunk", "bucket", "docs", "known", "base", "model", "head"])
 
 
-def _gather(key: tuple, parts: pa.Table) -> pa.Table:
-    ids, null, held, words = head_of(next(x.as_py() for x in parts.column("head") if x.as_py()))
-    sums = np.zeros((3, len(ids)))
+def _gather(parts: pa.Table, model: Model) -> pa.Table:
+    ids, null, held, _, words = head_of(next(x.as_py() for x in parts.column("head") if x.as_py()))
+    n_classes = len(model.docs) - 1
+    known, base, by_class = np.zeros(len(ids), np.int64), np.zeros(len(ids)), np.zeros((n_classes, len(ids)))
     for i in np.argsort(parts.column("bucket").to_numpy(), kind="stable").tolist():  # the same order of summing each time
         doc = np.frombuffer(parts.column("docs")[i].as_py(), "<u2")
-        for j, (name, kind) in enumerate((("known", "<i8"), ("base", "<f8"), ("model", "<f8"))):
-            sums[j, doc] += np.frombuffer(parts.column(name)[i].as_py(), kind)
-    return pa.table({"doc_id": pa.array(ids, pa.int64(), mask=null.astype(bool)), "held_out": pa.array(held.astype(bool)), "n_words": pa.array(words), "n_known": pa.array(sums[0].astype(np.int64)), "base": pa.array(sums[1]), "model": pa.array(sums[2])})
+        known[doc] += np.frombuffer(parts.column("known")[i].as_py(), "<i8")
+        base[doc] += np.frombuffer(parts.column("base")[i].as_py(), "<f8")
+        by_class[:, doc] += np.frombuffer(parts.column("model")[i].as_py(), "<f8").reshape(n_classes, -1)
+    return pa.table({"doc_id": pa.array(ids, pa.int64(), mask=null.astype(bool)), "held_out": pa.array(held.astype(bool)), "n_words": pa.array(words), "n_known": pa.array(known), "base": pa.array(base), "model": pa.array(model.document_scores(by_class))})
+
+
+def _classes(rows: DataFrame, column: str) -> list[str]:
+    """The largest classes of the training rows."""
+    found = rows.where(~F.col("held_out") & F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("c")).agg(F.count("*").alias("n"))
+    return [r[0] for r in found.orderBy(F.desc("n"), "c").limit(CLASSES).collect()]
 
 
-def lattice_scores(docs: DataFrame, held_out: Column | None = None, vocabulary_file: str | None = None) -> DataFrame:
+def lattice_scores(docs: DataFrame, held_out: Column | None = None, vocabulary_file: str | None = None, classes: str | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (both log10) of each row of `docs`.
 
-    `held_out`: a condition for the rows not to learn from; none by default."""
+    `held_out`: a condition for the rows not to learn from; none by default. `classes`: a column of training classes."""
     spark = docs.sparkSession
     prepare(spark)
     path = vocabulary(vocabulary_file or VOCABULARY)
     n_buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     held = F.coalesce(held_out, F.lit(False)) if held_out is not None else F.lit(False)
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), held.alias("held_out"))
-    merged = written(rows.mapInArrow(_pack(n_buckets), _RECORD).groupBy("bucket").applyInArrow(_merge, _MERGED), "lattice-words")
-    n_docs, n_words, distinct, once, twice = (int(x or 0) for x in merged.agg(*map(F.sum, ("n_train_docs", "n_tokens", "n_distinct", "n_once", "n_twice"))).first())
-    model = model_of(fit(merged, path), n_docs, n_words, distinct, once, twice)
+    marked = docs.withColumn("held_out", held)
+    known = _classes(marked, classes) if classes else []
+    n_classes = len(known) + 1  # and all the rest
+    kind = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, known)), F.col(classes).cast("string")), F.lit(0)) - 1, F.lit(len(known))) if known else F.lit(0)
+    rows = marked.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), "held_out", kind.cast("int").alias("kind"))
+    merged = written(rows.mapInArrow(_pack(n_buckets, n_classes), _RECORD).groupBy("bucket").applyInArrow(lambda key, records: _merge(key, records, n_classes), _MERGED), "lattice-words")
+    sums = np.zeros(5 * (n_classes + 1), np.int64)
+    for r in merged.select(F.posexplode("stats").alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n")).collect():  # 40 numbers at most
+        sums[r["at"]] = r["n"]
+    model = Model(fit(merged, path, n_classes), *sums.reshape(5, -1))
     shared = spark.sparkContext.broadcast(model)
-    sums = merged.select("bucket", "sizes", "letters", "counts", "records").mapInArrow(_score(path, shared), _PARTIAL).groupBy("chunk").applyInArrow(_gather, "doc_id long, held_out boolean, n_words long, n_known long, base double, model double")
-    train_tokens, kinds = n_words + n_docs, distinct + (n_docs > 0)
-    return sums.select(
+    scored = merged.select("bucket", "sizes", "letters", "counts", "records").mapInArrow(_score(path, shared), _PARTIAL)
+    found = scored.groupBy("chunk").applyInArrow(lambda parts: _gather(parts, shared.value), "doc_id long, held_out boolean, n_words long, n_known long, base double, model double")
+    n_docs, train_tokens = int(model.docs[-1]), int(model.words[-1] + model.docs[-1])
+    distinct = int(model.distinct[-1]) + (n_docs > 0)
+    return found.select(
         "doc_id", "held_out", (F.col("n_words") + 1).alias("n_tokens"), (F.col("n_known") + int(n_docs > 0)).alias("n_known"), F.lit(train_tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.lit(float(np.log10(n_docs + 1))) - (F.col("n_words") + 1) * F.lit(float(np.log10(train_tokens + kinds + 1)))).alias("base_score"),
-        (F.col("model") + F.lit(model.end)).alias("score"),
+        (F.col("base") + F.lit(float(np.log10(n_docs + 1))) - (F.col("n_words") + 1) * F.lit(float(np.log10(train_tokens + distinct + 1)))).alias("base_score"),
+        F.col("model").alias("score"),
     )
 
 
 def op1_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lattice_scores(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
+    return lattice_scores(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 7 == 2, classes="lang")
