@@ -139,7 +139,7 @@ def full_sets(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
 
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rows = rows.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS)).alias("bit"))
-    return rows.mapInArrow(run, "doc_id long, shingles binary").join(wanted, "doc_id").dropDuplicates(["doc_id"])
+    return rows.mapInArrow(run, "doc_id long, shingles binary").join(wanted.hint("merge"), "doc_id").dropDuplicates(["doc_id"])
 
 
 def _confirm(percent: int, differences: bool):
@@ -175,8 +175,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, differences: bool
     pairs = written(pairs.distinct(), "mh-pairs")
     counts = pairs.groupBy("centre").agg(F.ceil(F.count("*") / SALT).alias("salts"))
     salted = pairs.join(counts, "centre").select("centre", "member", F.pmod(F.hash("member"), F.col("salts")).cast("long").alias("salt"))
-    members = salted.join(sets.withColumnRenamed("doc_id", "member"), "member").select("centre", "salt", "member", "shingles")
-    heads = counts.join(sets.select(F.col("doc_id").alias("centre"), F.col("shingles").alias("centre_set")), "centre")
+    members = salted.join(sets.withColumnRenamed("doc_id", "member").hint("merge"), "member").select("centre", "salt", "member", "shingles")
+    heads = counts.join(sets.select(F.col("doc_id").alias("centre"), F.col("shingles").alias("centre_set")).hint("merge"), "centre")
     centres = heads.select(F.col("centre").alias("head"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("head_salt"), "centre_set")
     schema = "u long, v long, linked boolean" + ", prefix long, delta array<long>" * differences
     return centres.groupBy("head", "head_salt").cogroup(members.groupBy("centre", "salt")).applyInArrow(_confirm(percent, differences), schema)
@@ -215,7 +215,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     wanted = hits.select(F.col("rep").alias("doc_id")).distinct()
     sets = written(full_sets(docs, k, wanted), "mh-sets")
     centres = hits.groupBy("key").agg(F.max(F.struct("c", (-F.col("rep")).alias("r"))).alias("x")).select("key", (-F.col("x.r")).alias("centre"))
-    pairs = hits.join(centres, "key").where("rep <> centre").select("centre", F.col("rep").alias("member"))
+    pairs = hits.join(centres.hint("merge"), "key").where("rep <> centre").select("centre", F.col("rep").alias("member"))
     tested = written(confirmed(pairs, sets, percent, differences=True), "mh-stars")
     links = tested.where("linked").select("u", "v")
     labels = components(links)
