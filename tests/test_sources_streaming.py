@@ -52,3 +52,12 @@ def test_stream_equals_one_fold(spark, tmp_path):
     got = latest(spark.read.parquet(str(tmp_path / "out"))).orderBy("oid").collect()
     o, p, r = Fold(0.5).feed(x[:, None]).rows()
     assert [g.population for g in got] == p.tolist() and [g.o[0] for g in got] == pytest.approx(o[:, 0].tolist())
+
+
+def test_written_tables_can_be_discarded(spark):
+    from vedette.session import discard, written
+
+    df = written(spark.range(5), "here")
+    assert df.count() == 5 and discard(spark) >= 1
+    with pytest.raises(Exception, match="(?i)not exist|no such"):
+        spark.read.parquet(*df.inputFiles()).count()

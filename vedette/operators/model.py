@@ -15,6 +15,7 @@ from vedette.operators import points as P
 from vedette.operators.fold import fit_groups, numbered
 from vedette.operators.knn import MODES, knn, nearest, reduce_distances
 from vedette.operators.radius import estimate_radius, radius_by_group
+from vedette.session import written
 
 log = logging.getLogger("vedette")
 
@@ -74,10 +75,11 @@ class ObserverModel:
         return estimate_radius(rows, self.distance_estimation, self.sample_fraction, self.seed, self.beta, self.strict_compat)
 
     def fit(self, rows: DataFrame) -> FittedModel:
-        """`rows`: (id, x, ...) from points()."""
+        """`rows`: (id, x, ...) from points(). The observers are written to the shared folder: a model is fitted once,
+        however many questions it answers."""
         ordered = self.ordered(rows.select("id", "x"))
         start = self.initial_radius(ordered)
-        observers = numbered(fit_groups(ordered, "batch", start, self.factor, self.alpha))
+        observers = written(numbered(fit_groups(ordered, "batch", start, self.factor, self.alpha)), "observers")
         if self.max_observers:
             observers = limited(observers, rows, self.max_observers, self.seed)
         log.info("fitted with radius %s", start if isinstance(start, float) else "by batch")

@@ -72,7 +72,7 @@ def sensitivity_p(df: DataFrame, seeds: DataFrame, alpha: float | None = None) -
     near = knn(_weighted(df), seeds, 1).withColumns({"_c": F.element_at("nn", 1)["oid"], "_d2": F.pow(F.element_at("nn", 1)["d"], F.lit(2.0))}).drop("nn")
     clusters = near.groupBy("_c").agg(F.sum(F.col("w") * F.col("_d2")).alias("_dc"), F.sum("w").alias("_nc"))  # k rows
     totals = clusters.agg(F.sum("_dc").alias("_d"), F.sum("_nc").alias("_n"))
-    x = near.join(F.broadcast(clusters), "_c").crossJoin(F.broadcast(totals))
+    x = near.join(clusters, "_c").crossJoin(F.broadcast(totals))
     mean = F.col("_d") / F.col("_n")
     cost = F.when(mean > 0, 2 * a * F.col("_d2") / mean + 4 * a * F.col("_dc") / (F.col("_nc") * mean)).otherwise(F.lit(0.0))
     x = x.withColumn("_s", F.col("w") * (cost + 4 * F.col("_n") / F.col("_nc")))
@@ -319,7 +319,7 @@ def condensed(df: DataFrame, label: str, seed: int, per_round: int = 200, rounds
     chosen = {r[0] for r in first.collect()}  # a row for each label
     for _ in range(rounds):
         ids = df.sparkSession.createDataFrame([(i,) for i in sorted(chosen)], "id long")
-        store = rows.join(F.broadcast(ids), "id")
+        store = rows.join(ids, "id")
         wrong = knn(rows, store.select(F.col("id").alias("oid"), F.col("x").alias("o")), 1).withColumn("oid", F.element_at("nn", 1)["oid"]).drop("nn")
         wrong = wrong.join(store.select(F.col("id").alias("oid"), F.col("label").alias("got")), "oid").where("label <> got")
         new = {r[0] for r in wrong.orderBy("_key", "id").select("id").limit(per_round).collect()} - chosen

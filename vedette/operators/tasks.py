@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vedette.operators.knn import knn, reduce_distances
+from vedette.operators.fold import _matrix
+from vedette.operators.knn import _blocks, distances, knn, reduce_distances
+from vedette.session import ship
 
 #: Largest set that agglomerative clustering takes (its matrix of distances is the driver's).
 WARD_ROWS = 4_000
@@ -35,17 +40,36 @@ def nearest_centroids(df: DataFrame, label: str = "label") -> DataFrame:
 def label_centres(centres: DataFrame, df: DataFrame, label: str = "label") -> DataFrame:
     """(oid, o, label): each centre with the label of its nearest point (lowest id if tied).
 
-    The many points look for the few centres: each task keeps the best point for each centre."""
-    ids = centres.count()
-    near = knn(df.select("id", "x", label), centres, ids).select("id", label, F.explode("nn").alias("e"))
-    best = near.groupBy("e.oid").agg(F.min_by(label, F.struct("e.d", "id")).alias(label))
+    Blocks of centres pass by the points; a batch of points gives one row for each centre of the block, its best."""
+    ship(df.sparkSession)
+    kind = df.schema[label].dataType.simpleString()
+    rows, best = df.select("id", "x", F.col(label).alias("label")), None
+    for block in _blocks(centres, "oid", "o"):
+        shared = df.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, refs = shared.value
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                order = np.argsort(batch.column(0).to_numpy(), kind="stable")
+                d = distances(refs, _matrix(batch.column(1))[order], "euclidean", 2.0)  # [centres, points]
+                at = d.argmin(axis=1)
+                take = pa.array(order[at])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(d[np.arange(len(ids)), at]), batch.column(0).take(take), batch.column(2).take(take)], ["oid", "d", "id", "label"])
+
+        part = rows.mapInArrow(run, f"oid long, d double, id long, label {kind}")
+        best = part if best is None else best.unionByName(part)
+    if best is None:
+        return centres.withColumn(label, F.lit(None).cast(kind))
+    best = best.groupBy("oid").agg(F.min_by("label", F.struct("d", "id")).alias(label))
     return centres.join(best, "oid").select("oid", "o", label)
 
 
 def extend_labels(df: DataFrame, labelled: DataFrame, label: str = "label") -> DataFrame:
     """`df` with predicted: the label of the nearest centre (oid, o, label)."""
     near = knn(df, labelled, 1).withColumn("oid", F.element_at("nn", 1)["oid"]).drop("nn")
-    return near.join(F.broadcast(labelled.select(F.col("oid").cast("long").alias("oid"), F.col(label).alias("predicted"))), "oid").drop("oid")
+    return near.join(labelled.select(F.col("oid").cast("long").alias("oid"), F.col(label).alias("predicted")), "oid").drop("oid")
 
 
 def ward(x: np.ndarray, k: int) -> np.ndarray:
@@ -89,4 +113,4 @@ def per_class_sizes(df: DataFrame, rate: float, label: str = "label") -> DataFra
 def top_per_class(observers: DataFrame, sizes: DataFrame, label: str = "label") -> DataFrame:
     """The `size` most populous observers of each class."""
     w = Window.partitionBy(label).orderBy(F.desc("population"), F.desc("oid"))
-    return observers.join(F.broadcast(sizes.select(label, "size")), label).withColumn("_r", F.row_number().over(w)).where("_r <= size").drop("_r", "size")
+    return observers.join(sizes.select(label, "size"), label).withColumn("_r", F.row_number().over(w)).where("_r <= size").drop("_r", "size")

@@ -13,7 +13,7 @@ from vedette.operators import points as P
 from vedette.operators import reducers as R
 from vedette.operators import tasks as T
 from vedette.operators.fold import fit_groups
-from vedette.operators.knn import knn, knn_sql, nearest, reduce_distances
+from vedette.operators.knn import knn, nearest, reduce_distances
 from vedette.operators.model import ObserverModel, limited, top_observers
 from vedette.operators.radius import estimate_radius, radius_by_group
 from vedette.plans import experiments
@@ -181,7 +181,8 @@ def predict_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def knn_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = customers(spark, sf_dir)
     refs = rows.where("id <= 200").select(F.col("id").alias("oid"), F.col("x").alias("o"))
-    return knn_sql(rows, refs, 3).select("id", "rank", "oid", rounded("d").alias("d"))
+    near = knn(rows, refs, 3).select("id", F.posexplode("nn").alias("rank", "e"))
+    return near.select("id", (F.col("rank") + 1).alias("rank"), "e.oid", rounded("e.d").alias("d"))
 
 
 @query

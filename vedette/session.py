@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _PACKAGE = Path(__file__).resolve().parent
 _SHIPPED: set[str] = set()
+_WRITTEN: dict[str, list[str]] = {}
 
 
 def local_session(cpus: int = 8, shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -68,5 +69,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     spark.sparkContext._jvm.System.gc()  # Spark removes shuffle files when the driver collects what refers to them
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession) -> int:
+    """Delete the tables that this application has written() so far; call it when no result that was built on them is
+    needed any more. Returns how many there were."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+    return len(paths)
