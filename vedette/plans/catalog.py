@@ -505,17 +505,17 @@ def stream_fit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def experiment_anomaly(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = embeddings(spark, sf_dir).select("id", "x", (F.col("label") == 0).cast("int").alias("y"))
-    return experiments.anomaly_detection("embeddings", rows, ("ODM", "RS", "SDO"), (10.0,))
+    return experiments.anomaly_detection("embeddings", rows, ("OBS", "RS", "SDO"), (10.0,))
 
 
 @query
 def experiment_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return experiments.clustering("embeddings", embeddings(spark, sf_dir), ("ODM", "RS"), (10.0,))
+    return experiments.clustering("embeddings", embeddings(spark, sf_dir), ("OBS", "RS"), (10.0,))
 
 
 @query
 def experiment_hierarchical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return experiments.clustering("embeddings", embeddings(spark, sf_dir), ("ODM",), (10.0,), hierarchical=True)
+    return experiments.clustering("embeddings", embeddings(spark, sf_dir), ("OBS",), (10.0,), hierarchical=True)
 
 
 @query
