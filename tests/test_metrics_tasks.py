@@ -131,3 +131,19 @@ def test_iterative_reducers(spark):
     assert store.count() < 120 and T.classify(labelled, refs, 1).where("label <> predicted").count() == 0
     assert R.kmeans_seeds(df, 5, 1).count() == 5 and R.kmeans_centres(df, 4, 1).count() == 4
     assert 2 <= R.neural_gas_nodes(df, 12, 1, epochs=12).count() <= 12 and R.gaussian_means(df, 3, 1).count() == 3
+
+
+def test_digamma():
+    assert R.digamma(np.array([1.0, 0.5, 10.0])) == pytest.approx([-0.5772156649, -1.9635100260, 2.2517525890])
+
+
+def test_variational_mixture_finds_clumps_and_minds_weights(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(c, 0.3, (80, 2)) for c in ((0, 0), (6, 0), (0, 6))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
+    means = np.array([r.o for r in R.bayesian_means(df, 3, 1).collect()])
+    for c in ((0, 0), (6, 0), (0, 6)):
+        assert np.abs(means - c).sum(axis=1).min() < 0.4
+    heavy = df.withColumn("w", F.when(F.col("id") < 5, 200.0).otherwise(1.0))
+    pulled = np.array([r.o for r in R.bayesian_means(heavy, 3, 1).collect()])
+    assert np.abs(pulled - x[:5].mean(axis=0)).sum(axis=1).min() < 0.15

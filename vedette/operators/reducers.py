@@ -251,6 +251,105 @@ def gaussian_means(df: DataFrame, k: int, seed: int, steps: int = 20) -> DataFra
     return df.sparkSession.createDataFrame([(i, [float(v) for v in g.mean]) for i, g in enumerate(model.gaussians)], "oid long, o array<double>")
 
 
+def digamma(x: np.ndarray) -> np.ndarray:
+    """Derivative of log gamma for positive numbers: recurrence up to 6, then the asymptotic series."""
+    x = np.array(x, float)
+    out = np.zeros_like(x)
+    while (small := x < 6).any():
+        out[small] -= 1 / x[small]
+        x[small] += 1
+    y = 1 / (x * x)
+    return out + np.log(x) - 0.5 / x - y * (1 / 12 - y * (1 / 120 - y * (1 / 252 - y * (1 / 240 - y / 132))))
+
+
+@dataclass
+class VariationalMixture:
+    """A Gaussian mixture under a stick-breaking prior on its weights and a normal-Wishart prior on its components.
+
+    Priors: concentration 1 / k, mean and covariance of the data, one pseudo-observation of the mean, as many degrees of
+    freedom as dimensions."""
+
+    prior_mean: np.ndarray
+    prior_covariance: np.ndarray
+    k: int
+
+    def update(self, n: np.ndarray, first: np.ndarray, second: np.ndarray) -> None:
+        """From sums of responsibilities, of them times x, and of them times x x'."""
+        d = len(self.prior_mean)
+        n = n + 10 * np.finfo(float).eps
+        mean = first / n[:, None]
+        self.stick = 1 + n, 1 / self.k + np.append(np.cumsum(n[::-1])[-2::-1], 0)
+        self.precision = 1 + n
+        self.means = (self.prior_mean + n[:, None] * mean) / self.precision[:, None]
+        self.freedom = d + n
+        gap = mean - self.prior_mean
+        spread = second - n[:, None, None] * mean[:, :, None] * mean[:, None, :] + 1e-6 * n[:, None, None] * np.eye(d)
+        scale = self.prior_covariance + spread + (n / self.precision)[:, None, None] * gap[:, :, None] * gap[:, None, :]
+        self.covariance = scale / self.freedom[:, None, None]
+        a, b = self.stick
+        whole = digamma(a + b)
+        weights = digamma(a) - whole + np.append(0, np.cumsum(digamma(b) - whole)[:-1])
+        root = np.linalg.cholesky(self.covariance)
+        self.whiten = np.linalg.inv(root)
+        log_det = -2 * np.log(np.diagonal(root, axis1=1, axis2=2)).sum(axis=1)
+        expected = d * np.log(2) + digamma(0.5 * (self.freedom[:, None] - np.arange(d))).sum(axis=1)
+        self.constant = weights + 0.5 * (log_det - d * np.log(self.freedom) + expected - d / self.precision)
+
+    def responsibilities(self, x: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """[points, components], each point's row adding up to its weight."""
+        log_r = np.stack([c - 0.5 * (((x - m) @ t.T) ** 2).sum(axis=1) for c, m, t in zip(self.constant, self.means, self.whiten, strict=True)], axis=1)
+        r = np.exp(log_r - log_r.max(axis=1, keepdims=True))
+        return r * (w / r.sum(axis=1))[:, None]
+
+
+def bayesian_means(df: DataFrame, k: int, seed: int, steps: int = 30, tolerance: float = 1e-3) -> DataFrame:
+    """(oid, o): component means of a variational Gaussian mixture of weighted points (weights in w if there).
+
+    Starts with k-means. Each round is one pass that sums up responsibilities by task: what the driver gets is
+    k (1 + d + d d) numbers from each."""
+    ship(df.sparkSession)
+    rows = _weighted(df).select("x", F.col("w").cast("double"))
+    centres = np.array([r[1] for r in kmeans_centres(df, k, seed).orderBy("oid").collect()], float)
+    k, d = centres.shape
+
+    def sums(assign) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n, a, b = np.zeros(k), np.zeros((k, d)), np.zeros((k, d, d))
+            for batch in batches:
+                x, w = _matrix(batch.column(0)), batch.column(1).to_numpy()
+                r = assign(x, w)
+                n += r.sum(axis=0)
+                a += r.T @ x
+                for j in range(k):
+                    b[j] += (x * r[:, j : j + 1]).T @ x
+            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([n, a.reshape(-1), b.reshape(-1)])])], ["sums"])
+
+        total = rows.mapInArrow(run, "sums array<double>").select(F.posexplode("sums").alias("at", "v")).groupBy("at").agg(F.sum("v")).collect()
+        flat = np.zeros(k * (1 + d + d * d))
+        for at, v in total:
+            flat[at] = v
+        return flat[:k], flat[k : k + k * d].reshape(k, d), flat[k + k * d :].reshape(k, d, d)
+
+    def nearest(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+        r = np.zeros((len(x), k))
+        r[np.arange(len(x)), ((x[:, None, :] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)] = w
+        return r
+
+    n, first, second = sums(nearest)
+    if not n.sum():
+        return df.sparkSession.createDataFrame([], "oid long, o array<double>")
+    mean = first.sum(axis=0) / n.sum()
+    covariance = second.sum(axis=0) / n.sum() - np.outer(mean, mean) + 1e-9 * np.eye(d)
+    mixture = VariationalMixture(mean, covariance, k)
+    mixture.update(n, first, second)
+    for _ in range(steps):
+        before = mixture.means
+        mixture.update(*sums(mixture.responsibilities))
+        if np.abs(mixture.means - before).max() <= tolerance * np.sqrt(np.diag(covariance)).max():
+            break
+    return df.sparkSession.createDataFrame([(i, m.tolist()) for i, m in enumerate(mixture.means)], "oid long, o array<double>")
+
+
 def neural_gas(x: np.ndarray, max_nodes: int, seed: int, epochs: int = 40, step: float = 0.2, neighbour_step: float = 0.005, max_age: int = 50, every: int = 100, split_decay: float = 0.5, decay: float = 0.995, least_move: float = 0.01) -> np.ndarray:
     """Nodes of a growing neural gas (Fritzke's algorithm) over rows in seeded orders."""
     rng = np.random.default_rng(seed)

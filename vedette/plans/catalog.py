@@ -469,6 +469,11 @@ def gmm_coreset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.gaussian_means(customers(spark, sf_dir), 6, SEED)
 
 
+@query
+def bayesian_coreset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.bayesian_means(customers(spark, sf_dir), 6, SEED)
+
+
 @query
 def gng_coreset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.neural_gas_nodes(embeddings(spark, sf_dir), 25, SEED, epochs=5)
