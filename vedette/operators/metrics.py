@@ -1,23 +1,33 @@
 """Metrics: ranking, confusion, agreement of partitions, and summaries over datasets.
 
-Ranked metrics need each row's place among all. Places come from counts by distinct score, added up over buckets of
-the score, so no task sorts all rows.
+Ranked metrics need each row's place among all. Rows are dealt into buckets between approximate quantiles of the score,
+so buckets are of like size whatever the scores look like; a bucket's offset is the sum over those before it, and no
+task sorts all rows.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 1024
+BUCKETS = 512
+
+
+def _bucketed(df: DataFrame, score: str) -> DataFrame:
+    """`df` with _b, rising with the score."""
+    from pyspark.ml.feature import Bucketizer
+
+    at = F.array(*(F.lit(i / BUCKETS) for i in range(1, BUCKETS)))
+    found = df.agg(F.percentile_approx(score, at, F.lit(10 * BUCKETS))).first()[0] or [0.0]
+    edges = [-math.inf, *sorted({float(v) for v in found}), math.inf]
+    return Bucketizer(splits=edges, inputCol=score, outputCol="_b").transform(df)
 
 
 def _place(df: DataFrame, score: str, id: str) -> DataFrame:
     """rank (1-based, score descending, then id), cs (true outliers up to there)."""
-    low, high = df.agg(F.min(score), F.max(score)).first()
-    low, high = (0.0, 0.0) if low is None else (float(low), float(high))
-    step = (high - low) / BUCKETS or 1.0
-    tagged = df.withColumn("_b", F.least(F.lit(BUCKETS - 1), F.floor((F.lit(high) - F.col(score)) / F.lit(step))).cast("int"))
+    tagged = _bucketed(df, score).withColumn("_b", -F.col("_b"))
     sums = tagged.groupBy("_b").agg(F.count("*").alias("_n"), F.sum("y").alias("_y"))
     earlier = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     before = sums.select("_b", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_y").over(earlier), F.lit(0)).alias("_y0"))
@@ -56,12 +66,9 @@ def ranking_metrics(df: DataFrame, score: str = "score", truth: str = "y", id: s
 def roc_auc(df: DataFrame, score: str = "score", truth: str = "y") -> DataFrame:
     """One row, auc: the share of (outlier, other) pairs in the right order, ties half; 0 where there are none.
 
-    From counts by distinct score, whose running sums go over BUCKETS score ranges and within each."""
-    by = df.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(truth).cast("long")).alias("p"), F.sum(1 - F.col(truth).cast("long")).alias("q"))
-    low, high = by.agg(F.min("s"), F.max("s")).first()
-    low, high = (0.0, 0.0) if low is None else (float(low), float(high))
-    step = (high - low) / BUCKETS or 1.0
-    tagged = by.withColumn("_b", F.least(F.lit(BUCKETS - 1), F.floor((F.col("s") - F.lit(low)) / F.lit(step))).cast("int"))
+    From counts by distinct score, whose running sums go over buckets and within each."""
+    by = df.groupBy(F.col(score).cast("double").alias("s")).agg(F.sum(F.col(truth).cast("long")).alias("p"), F.sum(1 - F.col(truth).cast("long")).alias("q"))
+    tagged = _bucketed(by, "s")
     sums = tagged.groupBy("_b").agg(F.sum("q").alias("_q"))
     before = sums.select("_b", F.coalesce(F.sum("_q").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_q0"))
     w = Window.partitionBy("_b").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
