@@ -211,7 +211,7 @@ def fit_field(texts: list[str], labels: list[str], steps: int = 30, rate: float
 
 
 def held_out(column: str = "doc_id") -> Column:
-    return F.crc32(F.col(column).cast("string")) % 5 == 0
+    return F.coalesce(F.crc32(F.col(column).cast("string")) % 5 == 0, F.lit(False))
 
 
 def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Field:

@@ -21,7 +21,8 @@ Each distinct word of the corpus gets its lattice once, not each occurrence:
    records are dealt out by a hash of the word (one shuffle, pre-aggregated);
 2. each bucket merges its records to distinct words with corpus counts, written once to the shared folder;
 3. EM reads words and counts only; what the driver gets is one number for each piece of the vocabulary;
-4. scoring reads everything, sums up by document, packed by batch (a second, small shuffle).
+4. scoring reads everything and sums up by document and class, packed by batch (a second, smaller shuffle; the model's
+   sums have 24 bits there).
 
 Words are compared by 64-bit hashes. Defined results: null text counts as empty and has the end only; a null doc_id
 is trained on; repeated rows count and are scored each; with no training text all words have count 0 and the pieces
@@ -41,7 +42,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vedette.llm.common import prepare, slices, table
-from vedette.llm.textkit import BYTE_CODE, Words, mix, prefix_hash, span_hash
+from vedette.llm.textkit import BYTE_CODE, Words, prefix_hash, span_hash
 from vedette.llm.tokenise import vocabulary
 from vedette.session import written
 
@@ -365,7 +366,8 @@ def _score(path: str, shared) -> object:
                     sums = [np.bincount(doc, x, n) for x in (times * (total[word] > 0), times * base[word])]
                     by_class = np.stack([np.bincount(doc, times * model[word, c], n) for c in range(model.shape[1])])
                     some = np.flatnonzero(np.bincount(doc, minlength=n))
-                    rows.append((record["chunk"], batch.column("bucket")[i].as_py(), some.astype("<u2").tobytes(), sums[0][some].astype("<i8").tobytes(), sums[1][some].astype("<f8").tobytes(), by_class[:, some].astype("<f8").tobytes(), record["head"]))
+                    seen = sums[0][some].astype("<u2" if sums[0].max(initial=0) < 65536 else "<u8")
+                    rows.append((record["chunk"], batch.column("bucket")[i].as_py(), some.astype("<u2").tobytes(), seen.tobytes(), sums[1][some].astype("<f8").tobytes(), by_class[:, some].astype("<f4").tobytes(), record["head"]))
                     if len(rows) == 64:
                         yield _partial(rows)
                         rows = []
@@ -385,16 +387,18 @@ def _gather(parts: pa.Table, model: Model) -> pa.Table:
     known, base, by_class = np.zeros(len(ids), np.int64), np.zeros(len(ids)), np.zeros((n_classes, len(ids)))
     for i in np.argsort(parts.column("bucket").to_numpy(), kind="stable").tolist():  # the same order of summing each time
         doc = np.frombuffer(parts.column("docs")[i].as_py(), "<u2")
-        known[doc] += np.frombuffer(parts.column("known")[i].as_py(), "<i8")
+        seen = parts.column("known")[i].as_py()
+        known[doc] += np.frombuffer(seen, "<u2" if len(seen) == 2 * len(doc) else "<u8").astype(np.int64)
         base[doc] += np.frombuffer(parts.column("base")[i].as_py(), "<f8")
-        by_class[:, doc] += np.frombuffer(parts.column("model")[i].as_py(), "<f8").reshape(n_classes, -1)
+        by_class[:, doc] += np.frombuffer(parts.column("model")[i].as_py(), "<f4").reshape(n_classes, -1)
     return pa.table({"doc_id": pa.array(ids, pa.int64(), mask=null.astype(bool)), "held_out": pa.array(held.astype(bool)), "n_words": pa.array(words), "n_known": pa.array(known), "base": pa.array(base), "model": pa.array(model.document_scores(by_class))})
 
 
-def _classes(rows: DataFrame, column: str) -> list[str]:
-    """The largest classes of the training rows."""
-    found = rows.where(~F.col("held_out") & F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("c")).agg(F.count("*").alias("n"))
-    return [r[0] for r in found.orderBy(F.desc("n"), "c").limit(CLASSES).collect()]
+def _classes(rows: DataFrame, column: str) -> tuple[list[str], bool]:
+    """The largest classes of the training rows, and whether there are other training rows."""
+    found = rows.where(~F.col("held_out")).groupBy(F.col(column).cast("string").alias("c")).agg(F.count("*").alias("n"))
+    top = found.where("c is not null").orderBy(F.desc("n"), "c").limit(CLASSES).collect()
+    return [r["c"] for r in top], (found.agg(F.sum("n")).first()[0] or 0) > sum(r["n"] for r in top)
 
 
 def lattice_scores(docs: DataFrame, held_out: Column | None = None, vocabulary_file: str | None = None, classes: str | None = None) -> DataFrame:
@@ -407,9 +411,9 @@ def lattice_scores(docs: DataFrame, held_out: Column | None = None, vocabulary_f
     n_buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     held = F.coalesce(held_out, F.lit(False)) if held_out is not None else F.lit(False)
     marked = docs.withColumn("held_out", held)
-    known = _classes(marked, classes) if classes else []
-    n_classes = len(known) + 1  # and all the rest
-    kind = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, known)), F.col(classes).cast("string")), F.lit(0)) - 1, F.lit(len(known))) if known else F.lit(0)
+    known, others = _classes(marked, classes) if classes else ([], True)
+    n_classes = len(known) + (others or not known)
+    kind = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, known)), F.col(classes).cast("string")), F.lit(0)) - 1, F.lit(n_classes - 1)) if known else F.lit(0)
     rows = marked.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), "held_out", kind.cast("int").alias("kind"))
     merged = written(rows.mapInArrow(_pack(n_buckets, n_classes), _RECORD).groupBy("bucket").applyInArrow(lambda key, records: _merge(key, records, n_classes), _MERGED), "lattice-words")
     sums = np.zeros(5 * (n_classes + 1), np.int64)
