@@ -53,6 +53,11 @@ _WEIGHTS = mix(np.arange(1, REACH + LENGTH + 1, dtype=np.uint64) * U(0x9E3779B97
 _NONE = 255  # a byte that UTF-8 does not have: before and after a document
 
 
+def _code(grams: np.ndarray) -> np.ndarray:
+    """Anchors are the least hashes of their windows, so they crowd at the low end: another mix spreads them again."""
+    return mix(grams ^ U(0x3C3C_F00D_5A5A_1234))
+
+
 def window_starts(offsets: np.ndarray) -> np.ndarray:
     """Every place where LENGTH bytes of one document begin."""
     count = np.maximum(np.diff(offsets) - LENGTH + 1, 0)
@@ -60,7 +65,7 @@ def window_starts(offsets: np.ndarray) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places, gram hashes) of all anchors, ascending."""
+    """(places, gram codes) of all anchors, places ascending."""
     starts = window_starts(offsets)
     if not len(starts):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -82,7 +87,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
         place = (least[mine] & U(2 * _BLOCK - 1)).astype(np.int64) + lo
         found.append(place[np.diff(place, prepend=-1) != 0])
     place = np.unique(np.concatenate(found))
-    return place, grams[place]
+    return place, _code(grams[place])
 
 
 def _rows(data: np.ndarray, at: np.ndarray, first: np.ndarray, last: np.ndarray, span: range) -> np.ndarray:
@@ -305,7 +310,7 @@ def _context_records(n_buckets: int):
             cold, cd = at[~is_hot], doc[~is_hot]
             rows = []
             if len(cold):
-                h = span_hash(prefix, cold, cold + GRAM)
+                h = _code(span_hash(prefix, cold, cold + GRAM))
                 order, edge = _split(h, n_buckets)
                 h, cold, cd = h[order], cold[order], cd[order]
                 for b in range(n_buckets):
