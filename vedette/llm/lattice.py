@@ -179,7 +179,7 @@ _MERGED = "bucket int, stats array<long>, sizes binary, letters binary, counts b
 def _pack(n_buckets: int, n_classes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
-        for batch in slices(batches, limit=4_000_000):
+        for batch in slices(batches, limit=3_000_000):
             chunk = part << 24 | number
             number += 1
             words = Words(batch.column(1))

@@ -456,7 +456,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     near = rows.select("did", "tk", "text", F.pmod(F.xxhash64("tk"), F.lit(1 << FILTER_BITS)).alias("bit")).mapInArrow(only, "did long, tk long, text string").dropDuplicates(["did", "tk"])
     marked = written(near.join(marks.hint("merge"), ["did", "tk"]).select("did", "tk", "text", "places", "hot"), "repeat-texts")
     contexts = marked.mapInArrow(_context_records(FINER * n_buckets), "kind int, bucket int, did binary, tk binary, begin binary, h1 binary, h2 binary, context binary")
-    found = contexts.groupBy("bucket").applyInArrow(lambda records: _found(records, n_buckets), "slot int, did binary, tk binary, begin binary, end binary")
+    found = contexts.groupBy("bucket").applyInArrow(lambda records: _found(records, max(8, n_buckets // 8)), "slot int, did binary, tk binary, begin binary, end binary")
     spans = written(found.groupBy("slot").applyInArrow(_united, "did long, tk long, begins binary, ends binary"), "repeat-spans")
     return marked.select("did", "tk", "text").join(spans.hint("merge"), ["did", "tk"]).select("did", "tk", "text", "begins", "ends").mapInArrow(_removed, "did long, tk long, begins binary, ends binary, n_removed long, n_spans long, kept_sha256 string")
 

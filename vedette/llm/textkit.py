@@ -63,9 +63,10 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefix_hash(codes: np.ndarray) -> np.ndarray:
-    """H with H[j] - H[i] = sum of codes[k] * BASE**k for i <= k < j."""
+    """H with H[j] - H[i] = sum of codes[k] * BASE**k for i <= k < j; `codes` is overwritten."""
     out = np.zeros(len(codes) + 1, np.uint64)
-    np.cumsum(codes * powers(BASE, len(codes)), out=out[1:])
+    codes *= powers(BASE, len(codes))
+    np.cumsum(codes, out=out[1:])
     return out
 
 
