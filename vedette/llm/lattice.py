@@ -176,6 +176,15 @@ _RECORD = "bucket int, chunk long, hashes binary, sizes binary, letters binary,
 _MERGED = "bucket int, stats array<long>, sizes binary, letters binary, counts binary, records array<struct<chunk: long, words: binary, n_docs: binary, docs: binary, times: binary, head: binary>>"
 
 
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """Counts in two bytes each where they fit, else in eight."""
+    return x.astype("<u2" if x.max(initial=0) < 65536 else "<u8")
+
+
+def _wide(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, "<u8" if n and len(raw) == 8 * n else "<u2")
+
+
 def _pack(n_buckets: int, n_classes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
@@ -212,6 +221,7 @@ def _pack(n_buckets: int, n_classes: int):
                 + ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes()
                 + np.asarray(ids.is_null()).astype(np.uint8).tobytes() + held.astype(np.uint8).tobytes() + kind.astype(np.uint8).tobytes() + words.count.astype("<i8").tobytes()
             ).to_pybytes()
+            seen, times = _narrow(seen), _narrow(times)
             rows: list[tuple] = []
             for b in range(n_buckets):
                 lo, hi = edge[b], edge[b + 1]
@@ -220,8 +230,8 @@ def _pack(n_buckets: int, n_classes: int):
                     continue
                 p = slice(pair_edge[lo], pair_edge[hi])
                 rows.append((
-                    b, chunk, uh[lo:hi].tobytes(), sizes[lo:hi].astype("<u4").tobytes(), letters[letters_at[lo] : letters_at[hi]].tobytes(), seen[lo:hi].astype("<u4").tobytes(),
-                    n_docs[lo:hi].astype("<u2").tobytes(), pd[p].astype("<u2").tobytes(), np.minimum(times[p], 2**32 - 1).astype("<u4").tobytes(), head if mine else None,
+                    b, chunk, uh[lo:hi].tobytes(), sizes[lo:hi].astype("<u4").tobytes(), letters[letters_at[lo] : letters_at[hi]].tobytes(), seen[lo:hi].tobytes(),
+                    n_docs[lo:hi].astype("<u2").tobytes(), pd[p].astype("<u2").tobytes(), times[p].tobytes(), head if mine else None,
                 ))
             kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 8]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["bucket", "chunk", "hashes", "sizes", "letters", "seen", "n_docs", "docs", "times", "head"])
@@ -237,7 +247,7 @@ def _merge(key: tuple, records: pa.Table, n_classes: int) -> pa.Table:
     hashes = _numbers(records.column("hashes"), "<u8")
     sizes = np.concatenate(_numbers(records.column("sizes"), "<u4")).astype(np.int64)
     letters = np.frombuffer(b"".join(x.as_py() for x in records.column("letters")), np.uint8)
-    seen = np.concatenate(_numbers(records.column("seen"), "<u4")).reshape(-1, n_classes)
+    seen = np.concatenate([_wide(x.as_py(), n_classes * len(h)) for x, h in zip(records.column("seen"), hashes, strict=True)]).reshape(-1, n_classes)
     unique, example, inverse = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
     counts = np.stack([np.bincount(inverse, seen[:, c], len(unique)) for c in range(n_classes)], axis=1).astype(np.int64)
     at = np.cumsum(sizes) - sizes
@@ -361,7 +371,8 @@ def _score(path: str, shared) -> object:
                 rows = []
                 for record in batch.column("records")[i].as_py():
                     word = np.repeat(np.frombuffer(record["words"], "<u4"), np.frombuffer(record["n_docs"], "<u2"))
-                    doc, times = np.frombuffer(record["docs"], "<u2").astype(np.int64), np.frombuffer(record["times"], "<u4").astype(float)
+                    doc = np.frombuffer(record["docs"], "<u2").astype(np.int64)
+                    times = _wide(record["times"], len(doc)).astype(float)
                     n = int(doc.max(initial=-1)) + 1
                     sums = [np.bincount(doc, x, n) for x in (times * (total[word] > 0), times * base[word])]
                     by_class = np.stack([np.bincount(doc, times * model[word, c], n) for c in range(model.shape[1])])
@@ -408,7 +419,7 @@ def lattice_scores(docs: DataFrame, held_out: Column | None = None, vocabulary_f
     spark = docs.sparkSession
     prepare(spark)
     path = vocabulary(vocabulary_file or VOCABULARY)
-    n_buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n_buckets = max(8, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     held = F.coalesce(held_out, F.lit(False)) if held_out is not None else F.lit(False)
     marked = docs.withColumn("held_out", held)
     known, others = _classes(marked, classes) if classes else ([], True)
