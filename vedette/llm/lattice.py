@@ -50,6 +50,8 @@ VOCABULARY = "piece_bpe_32k.model"
 RANK_SHIFT = 10.0
 EM_STEPS = 2
 CLASSES = 7
+#: Bytes of documents' sums that a scoring task holds before it sends them on.
+HELD = 32_000_000
 #: Longest piece in bytes; and what each piece is seen beyond its expected count, in all.
 LONGEST = 16
 SMOOTHING = 1.0
@@ -359,31 +361,53 @@ class Model:
         return np.logaddexp.reduce(x, axis=0) / _LOG10
 
 
+class _Sums:
+    """Documents' sums of several buckets, by batch of documents, up to HELD bytes."""
+
+    def __init__(self, n_classes: int) -> None:
+        self.n_classes, self.chunks, self.size = n_classes, {}, 0
+
+    def add(self, chunk: int, bucket: int, doc: np.ndarray, columns: list[np.ndarray], head: bytes | None) -> None:
+        n = int(doc.max(initial=-1)) + 1
+        held = self.chunks.setdefault(chunk, [bucket, np.zeros((2 + self.n_classes, 0)), np.zeros(0, bool), None])
+        if held[1].shape[1] < n:
+            wider, seen = np.zeros((2 + self.n_classes, n)), np.zeros(n, bool)
+            wider[:, : held[1].shape[1]], seen[: len(held[2])] = held[1], held[2]
+            self.size += wider.nbytes - held[1].nbytes
+            held[1], held[2] = wider, seen
+        for row, values in zip(held[1], columns, strict=True):
+            row[:n] += np.bincount(doc, values, n)
+        held[2][doc] = True
+        held[3] = head or held[3]
+        self.size += len(head or b"")
+
+    def rows(self) -> Iterator[tuple]:
+        for chunk, (bucket, sums, touched, head) in self.chunks.items():
+            some = np.flatnonzero(touched)
+            yield chunk, bucket, some.astype("<u2").tobytes(), _narrow(sums[0][some].astype(np.int64)).tobytes(), sums[1][some].astype("<f8").tobytes(), sums[2:, some].astype("<f4").tobytes(), head
+        self.chunks, self.size = {}, 0
+
+
 def _score(path: str, shared) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = pieces_of(path)
+        known, sums = pieces_of(path), None
         for batch in batches:
             for i in range(batch.num_rows):
                 data, starts, sizes, counts = _lattice_words(batch, i)
+                sums = sums or _Sums(counts.shape[1])
                 model = shared.value.word_scores(known, data, starts, sizes, counts)
                 total = counts.sum(axis=1)
                 base = np.log10(total + 1)
-                rows = []
                 for record in batch.column("records")[i].as_py():
                     word = np.repeat(np.frombuffer(record["words"], "<u4"), np.frombuffer(record["n_docs"], "<u2"))
                     doc = np.frombuffer(record["docs"], "<u2").astype(np.int64)
                     times = _wide(record["times"], len(doc)).astype(float)
-                    n = int(doc.max(initial=-1)) + 1
-                    sums = [np.bincount(doc, x, n) for x in (times * (total[word] > 0), times * base[word])]
-                    by_class = np.stack([np.bincount(doc, times * model[word, c], n) for c in range(model.shape[1])])
-                    some = np.flatnonzero(np.bincount(doc, minlength=n))
-                    seen = sums[0][some].astype("<u2" if sums[0].max(initial=0) < 65536 else "<u8")
-                    rows.append((record["chunk"], batch.column("bucket")[i].as_py(), some.astype("<u2").tobytes(), seen.tobytes(), sums[1][some].astype("<f8").tobytes(), by_class[:, some].astype("<f4").tobytes(), record["head"]))
-                    if len(rows) == 64:
-                        yield _partial(rows)
-                        rows = []
-                if rows:
-                    yield _partial(rows)
+                    columns = [times * (total[word] > 0), times * base[word], *(times * model[word, c] for c in range(model.shape[1]))]
+                    sums.add(record["chunk"], batch.column("bucket")[i].as_py(), doc, columns, record["head"])
+                    if sums.size > HELD:
+                        yield _partial(list(sums.rows()))
+        if sums and sums.chunks:
+            yield _partial(list(sums.rows()))
 
     return run
 
@@ -398,8 +422,7 @@ def _gather(parts: pa.Table, model: Model) -> pa.Table:
     known, base, by_class = np.zeros(len(ids), np.int64), np.zeros(len(ids)), np.zeros((n_classes, len(ids)))
     for i in np.argsort(parts.column("bucket").to_numpy(), kind="stable").tolist():  # the same order of summing each time
         doc = np.frombuffer(parts.column("docs")[i].as_py(), "<u2")
-        seen = parts.column("known")[i].as_py()
-        known[doc] += np.frombuffer(seen, "<u2" if len(seen) == 2 * len(doc) else "<u8").astype(np.int64)
+        known[doc] += _wide(parts.column("known")[i].as_py(), len(doc)).astype(np.int64)
         base[doc] += np.frombuffer(parts.column("base")[i].as_py(), "<f8")
         by_class[:, doc] += np.frombuffer(parts.column("model")[i].as_py(), "<f4").reshape(n_classes, -1)
     return pa.table({"doc_id": pa.array(ids, pa.int64(), mask=null.astype(bool)), "held_out": pa.array(held.astype(bool)), "n_words": pa.array(words), "n_known": pa.array(known), "base": pa.array(base), "model": pa.array(model.document_scores(by_class))})
