@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.helpers import awkward, empty
@@ -155,3 +156,13 @@ def test_secrets(spark):
     assert secrets.secret_spans(empty(spark), network).count() == 0
 
 
+def test_secrets_of_neighbouring_rows():
+    """Bare keys next to each other: rows wholly inside one run of the joined bytes are scanned too."""
+    network = secrets.fit_network(*(lambda r: (np.stack([secrets.encode(*q[:3]) for q in r]), np.array([q[3] for q in r], float)))(secrets.labelled_findings(240)), epochs=1)
+    network.threshold = 0.0  # every candidate
+    key, token = "0123456789abcdef" * 2, "aB3dE5fG7hJ9kL1mN3pQ"
+    for texts in ([key] * 4, ["cafe", key, "", "beef"], [key, None, token, token, "x", token, "é"], ["", *[token] * 3, ""], ["see f", key, "1 that"]):
+        got = secrets.scan(network, pa.array(texts, pa.large_string()))
+        assert got == [secrets.scan(network, pa.array([t], pa.large_string()))[0] for t in texts]
+        assert [b for b, _ in got] == [secrets.base_spans(t or "") for t in texts]
+        assert all(("model", 0, len(t)) in spans for t, (_, spans) in zip(texts, got, strict=True) if t == token)

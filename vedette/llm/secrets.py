@@ -218,8 +218,10 @@ def _with_runs(column: pa.Array) -> np.ndarray:
         turn = np.flatnonzero(inside[1:] != inside[:-1])
         starts, ends = turn[::2], turn[1::2]
         keep = (ends - starts >= least) & (not needs or digits[ends] > digits[starts])  # runs over two rows only look once more
-        hit[np.searchsorted(offsets, starts[keep], "right") - 1] = True
-        hit[np.searchsorted(offsets, ends[keep] - 1, "right") - 1] = True
+        # every row from a run's first to its last: rows between may lie wholly inside it
+        first, last = (np.searchsorted(offsets, at, "right") - 1 for at in (starts[keep], ends[keep] - 1))
+        n = len(hit)
+        hit |= np.cumsum(np.bincount(first, minlength=n + 1) - np.bincount(last + 1, minlength=n + 1))[:n] > 0
     return hit
 
 
