@@ -9,6 +9,7 @@ import pytest
 from tests.llm.helpers import awkward, empty
 from vedette.llm import chat, decontaminate, packing, secrets
 from vedette.llm.template import TemplateError, compile_template, fold, parse
+from vedette.llm.textkit import Words
 from vedette.llm.tokenise import Encoder
 
 
@@ -128,6 +129,20 @@ def test_block_max_wand_finds_all():
                 assert 5 in index.possible(np.full(len(terms), 5), terms, share)
 
 
+def test_decontamination_by_frequent_words_alone():
+    """Items that repeat have no rare word: windows of their words alone are searched all the same."""
+    rng = random.Random(4)
+    item = "which four rivers cross the old plain? rhine danube volga loire."
+    items = [item] * 9 + [" ".join(f"t{rng.randrange(900)}" for _ in range(12)) for _ in range(40)]
+    index = decontaminate.BlockMaxIndex(list(range(len(items))), items)
+    assert not index.rare[index.lookup(Words(pa.array([item]), strip=True).hash)[1]].any()
+    texts = [item, "so " * 80 + item + " and" * 90, "rhine danube", items[20], None, item + " " + items[30]]
+    got = {(m[0], m[1]) for m in decontaminate.matches(index, pa.array(texts, pa.large_string()))}
+    grams = lambda t: {tuple(w[i : i + 5]) for w in [re.findall(r"\w+", t or "")] for i in range(len(w) - 4)}
+    assert got == {(row, i) for row, t in enumerate(texts) for i, x in enumerate(items) if len(grams(x) & grams(t)) >= 0.8 * len(grams(x))}
+    assert {(0, i) for i in range(9)} <= got and (3, 20) in got
+
+
 def test_secrets(spark):
     network = secrets.fit_network(*(lambda r: (np.stack([secrets.encode(*q[:3]) for q in r]), np.array([q[3] for q in r], float)))(secrets.labelled_findings(720)), epochs=6)
     texts = [

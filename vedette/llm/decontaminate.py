@@ -7,8 +7,8 @@ length. Posting lists are cut in blocks that know their greatest impact.
 Queries: every document is cut in overlapping passages, each twice as long as the longest item and beginning one
 such length after the other, so every item that a document holds lies whole in a passage. A passage can only reach
 the threshold for an item if its rare words alone bring threshold minus the item's whole mass in frequent words; this
-upper bound is worked out for all passages of a batch together, and passages that can reach no item end there. The
-others are searched by block-max WAND, which gives every item above the threshold. Last the document's 5-word
+upper bound is worked out for all passages of a batch together, and passages that can reach no item end there (none
+does where an item reaches the threshold on frequent words alone, as repeated items may). The others are searched by block-max WAND, which gives every item above the threshold. Last the document's 5-word
 shingles are compared with the item's: OVERLAP of those within the question, half of those that end in the answer
 and OVERLAP of all must be there. (The answer is an item's last sentence; where there is but one sentence, its last
 quarter.)
@@ -108,6 +108,8 @@ class BlockMaxIndex:
 
     def possible(self, window: np.ndarray, term: np.ndarray, share: float) -> np.ndarray:
         """Windows (of distinct (window, term) pairs) whose upper bound reaches the share for some item."""
+        if (self.common_mass >= share - 1e-9).any():  # items of frequent words alone: every window may hold them
+            return np.unique(window)
         rare = self.rare[term]
         window, term = window[rare], term[rare]
         n = self.df[term]
@@ -115,9 +117,7 @@ class BlockMaxIndex:
         key = np.repeat(window, n) * self.n + self.p_item[at]
         key, where = np.unique(key, return_inverse=True)
         total = np.bincount(where, self.p_impact[at], len(key))
-        passed = np.unique(key[total >= share - self.common_mass[key % self.n] - 1e-9] // self.n)
-        lone = self.common_mass >= share - 1e-9  # items of frequent words alone: every window may hold them
-        return np.unique(window) if lone.any() else passed
+        return np.unique(key[total >= share - self.common_mass[key % self.n] - 1e-9] // self.n)
 
     def search(self, terms: np.ndarray, share: float) -> list[tuple[int, float]]:
         """Every (item, score) with a score of `share` or more for a set of distinct term numbers."""
