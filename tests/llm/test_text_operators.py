@@ -181,3 +181,24 @@ def test_secrets_of_neighbouring_rows():
         assert got == [secrets.scan(network, pa.array([t], pa.large_string()))[0] for t in texts]
         assert [b for b, _ in got] == [secrets.base_spans(t or "") for t in texts]
         assert all(("model", 0, len(t)) in spans for t, (_, spans) in zip(texts, got, strict=True) if t == token)
+
+
+@pytest.fixture(scope="module")
+def trained(spark):
+    return secrets.train(empty(spark))
+
+
+def test_secrets_glued_to_long_names_and_paths(trained):
+    rng = random.Random(8)
+    assert all(set(range(5, e)) == {i for a, b in secrets.windows(5, e) for i in range(a, b)} for e in (21, 45, 46, 60, 300))
+    key = lambda: "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789") for _ in range(32))
+    leads = ["/srv/deploy/config/production/credentials/", "the_long_name_of_a_variable_in_the_settings_module=", "/usr/share/lib/application/data/internal/storage/default/user/session/"]
+    texts = [f"see {lead}{key()} there" for lead in leads for _ in range(20)]
+    plain = [f"see {lead}part{i} there" for lead in leads for i in range(20)]
+    hit = [any(k == "model" for k, _, _ in spans) for _, spans in secrets.scan(trained, pa.array([*texts, *plain], pa.large_string()))]
+    assert sum(hit[:60]) >= 58 and sum(hit[60:]) <= 6
+    far = "/a1b" * 3000 + "/" + key() + "/a1b" * 3000  # more windows than go through the network together
+    seen = []
+    count = type("Counting", (secrets.Network,), {"probability": lambda self, x: seen.append(len(x)) or np.zeros(len(x))})
+    secrets.scan(count(**vars(trained)), pa.array([far], pa.large_string()))
+    assert sum(seen) == len(secrets.windows(0, len(far))) and max(seen) <= secrets.TOGETHER

@@ -1,12 +1,13 @@
 """Secret scans: base patterns, and a character convolutional network over every candidate and its context.
 
 Base patterns give spans of three kinds (assign, access, hex). Candidates are those spans and every run of 16 or
-more token characters with a digit in it. The network, plain numpy, reads the candidate's first characters and the
-text around it; a candidate outside all base spans that it accepts becomes a span of kind `model`. Base spans stay
-whatever it says.
+more token characters with a digit in it. The network, plain numpy, reads windows of WITHIN characters and the text
+around them, over the whole candidate; a candidate outside all base spans of which it accepts one becomes a span of
+kind `model`. Base spans stay whatever it says.
 
 Training, on the driver and the same for every run: labelled findings from a seeded generator of secrets and of
-things that look like them (card numbers, hosts, identifiers, paths), and the candidates in TRAIN_DOCS documents at
+things that look like them (card numbers, hosts, identifiers, paths), secrets glued to long names and paths, and the
+candidates in TRAIN_DOCS documents at
 most, labelled by the base patterns. A held-back quarter calibrates the network (Platt scaling) and sets the
 threshold: the largest that keeps RECALL of the true findings.
 
@@ -56,8 +57,10 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
-#: Input of the network: characters before the candidate, of it, and after it.
+#: Input of the network: characters before the window, of it, and after it; characters from a window to the next, and
+#: windows that go through the network together.
 BEFORE, WITHIN, AFTER = 24, 40, 12
+STEP, TOGETHER = 10, 2048
 LENGTH = BEFORE + WITHIN + AFTER
 _SYMBOLS = "abcdefghijklmnopqrstuvwxyz0123456789+/_.=-:\"' \n,;!?()[]{}<>@#$%&*|\\"
 _CODE = {c: i + 1 for i, c in enumerate(_SYMBOLS)}
@@ -65,6 +68,11 @@ N_SYMBOLS = len(_SYMBOLS) + 2
 FILTERS, WIDTH = 24, 5
 
 
+def windows(start: int, end: int) -> list[tuple[int, int]]:
+    """Overlapping windows of WITHIN characters over all of a candidate; the last ends with it."""
+    return [(s, s + WITHIN) for s in [*range(start, end - WITHIN, STEP), end - WITHIN]] if end - start > WITHIN else [(start, end)]
+
+
 def encode(text: str, start: int, end: int) -> np.ndarray:
     """[2, LENGTH]: symbols, and 1 inside the candidate, 2 there for a capital."""
     left, inside, right = text[max(0, start - BEFORE) : start], text[start : min(end, start + WITHIN)], text[end : end + AFTER]
@@ -179,6 +187,39 @@ def labelled_findings(n: int = 1600) -> list[tuple[str, int, int, int]]:
     return out
 
 
+def glued_findings(n: int = 480, seed: int = 6) -> list[tuple[str, int, int, int, int]]:
+    """Seeded (text, start, end, start of the secret, its end) of long candidates: a path or name with a secret at its end, or with none."""
+    rng = np.random.default_rng(seed)
+    pick = lambda chars, k: "".join(rng.choice(list(chars), k))
+    letters, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    mixed = letters + letters.upper() + digits
+    parts = (*"srv app config deploy production staging credentials service account private storage default internal backup client user settings session data model cache the and for".split(), *(pick(letters, int(rng.integers(2, 9))) for _ in range(200)))
+    out = []
+    for i in range(n):
+        mark, size = "/_-"[int(rng.integers(3))], int(rng.integers(24, 100))
+        lead = mark if mark == "/" else ""
+        while len(lead) < size:
+            lead += str(rng.choice(parts)) + (pick(digits, int(rng.integers(1, 5))) if rng.random() < 0.15 else "") + mark
+        if i % 2:
+            value = (pick(mixed, int(rng.integers(20, 41))), pick(mixed + "+", int(rng.integers(30, 41))), "sk_" + pick(mixed, 28), pick(mixed + "-_", 32))[int(rng.integers(4))]
+            lead = (lead[:-1] + "=") if mark != "/" and rng.random() < 0.5 else lead
+        else:
+            value, lead = "", lead + (f"v{pick(digits, 1)}", pick(digits, 4), f"{pick(digits, 4)}-{pick(digits, 2)}-{pick(digits, 2)}", f"part{pick(digits, 2)}")[int(rng.integers(4))]
+        before = f"{rng.choice(parts)} {rng.choice(parts)} "
+        at = len(before) + len(lead)
+        out.append((f"{before}{lead}{value} {rng.choice(parts)}", len(before), at + len(value), at, at + len(value)))
+    return out
+
+
+def glued_windows(n: int = 480, seed: int = 6) -> list[tuple[str, int, int, int]]:
+    """(text, start, end, is_secret) of the windows that hold 16 characters of a secret or none."""
+    rows = []
+    for text, start, end, s, e in glued_findings(n, seed):
+        held = [(a, b, max(0, min(b, e) - max(a, s))) for a, b in windows(start, end)]
+        rows += [(text, a, b, int(k > 0)) for a, b, k in held if k == 0 or k >= 16]
+    return rows
+
+
 def candidates(text: str, base: list[Span]) -> list[tuple[int, int]]:
     """Runs of token characters with a digit that touch no base span."""
     return [m.span() for m in CANDIDATE.finditer(text) if not any(s < m.end() and m.start() < e for _, s, e in base)]
@@ -188,14 +229,15 @@ def train(docs: DataFrame) -> Network:
     """The network; of `docs` it sees TRAIN_DOCS rows with a base-like match at most."""
     like = r"(?i)(password|passwd|secret|token|api_?key).{0,8}[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}|[A-Za-z0-9+/_=-]{16}"
     texts = sorted(r[0] for r in docs.where(F.col("text").rlike(like)).select(F.substring(F.col("text").cast("string"), 1, 1_000_000)).limit(TRAIN_DOCS).collect())
-    rows = labelled_findings()
+    rows = [*labelled_findings(), *glued_windows()]
+    bound = len(rows) + 8 * TRAIN_DOCS
     for text in texts:
         base = base_spans(text)
         for kind, s, e in base:
             m = ASSIGN.match(text, s) if kind == "assign" else None
-            rows.append((text, *(m.span(2) if m else (s, e)), 1))
-        rows += [(text, s, e, 0) for s, e in candidates(text, base)]
-    rows = rows[: 1600 + 8 * TRAIN_DOCS]
+            rows += [(text, *w, 1) for w in windows(*(m.span(2) if m else (s, e)))]
+        rows += [(text, *w, 0) for s, e in candidates(text, base) for w in windows(s, e)]
+    rows = rows[:bound]
     order = np.random.default_rng(3).permutation(len(rows))
     return fit_network(np.stack([encode(*rows[i][:3]) for i in order]), np.array([rows[i][3] for i in order], float))
 
@@ -228,26 +270,35 @@ def _with_runs(column: pa.Array) -> np.ndarray:
 def scan(network: Network, column: pa.Array) -> list[tuple[list[Span], list[Span]]]:
     """(base spans, all spans) of each row."""
     texts, runs = text_column(column).to_pylist(), _with_runs(column)
-    out: list[tuple[list[Span], list[Span]]] = []
+    out: list[list[Span]] = []
+    found: list[set[tuple[int, int]]] = [set() for _ in texts]
     seen: list[np.ndarray] = []
     places: list[tuple[int, int, int]] = []
+
+    def look() -> None:
+        for (i, s, e), p in zip(places, network.probability(np.stack(seen)), strict=True):
+            if p >= network.threshold:
+                found[i].add((s, e))
+        seen.clear()
+        places.clear()
+
     for i, text in enumerate(texts):
         if runs[i] or "AKIA" in text:
             base = base_spans(text)
         else:
             low = text.lower()
             base = base_spans(text) if any(w in low for w in _WORDS) else []
-        out.append((base, base))
+        out.append(base)
         if runs[i]:
             for s, e in candidates(text, base):
-                seen.append(encode(text, s, e))
-                places.append((i, s, e))
+                for w in windows(s, e):
+                    seen.append(encode(text, *w))
+                    places.append((i, s, e))
+                    if len(seen) == TOGETHER:
+                        look()
     if seen:
-        accepted = network.probability(np.stack(seen)) >= network.threshold
-        for (i, s, e), yes in zip(places, accepted, strict=True):
-            if yes:
-                out[i] = (out[i][0], [*out[i][1], ("model", s, e)])
-    return [(base, sorted(spans, key=lambda s: (s[1], KINDS.index(s[0])))) for base, spans in out]
+        look()
+    return [(base, sorted([*base, *(("model", s, e) for s, e in more)], key=lambda s: (s[1], KINDS.index(s[0])))) for base, more in zip(out, found, strict=True)]
 
 
 def joined(spans: list[Span]) -> str:
