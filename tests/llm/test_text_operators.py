@@ -202,3 +202,21 @@ def test_secrets_glued_to_long_names_and_paths(trained):
     count = type("Counting", (secrets.Network,), {"probability": lambda self, x: seen.append(len(x)) or np.zeros(len(x))})
     secrets.scan(count(**vars(trained)), pa.array([far], pa.large_string()))
     assert sum(seen) == len(secrets.windows(0, len(far))) and max(seen) <= secrets.TOGETHER
+
+
+def test_threshold_keeps_recall(trained):
+    """On rows whose truth is hard to tell, and on held-back findings outside the base patterns."""
+    rows = secrets.labelled_findings(720)
+    x, y = np.stack([secrets.encode(*q[:3]) for q in rows]), np.array([q[3] for q in rows], float)
+    y[np.random.default_rng(2).random(len(y)) < 0.4] = 0  # as where true findings are labelled 0
+    y[np.random.default_rng(3).random(len(y)) < 0.1] = 1
+    network = secrets.fit_network(x, y, epochs=2)
+    held = (np.arange(len(x)) % 4 == 3) & (y == 1)
+    accepted = network.probability(x[held]) >= network.threshold
+    assert accepted.mean() >= secrets.RECALL
+    found = secrets.recall_findings()
+    seen = {q[0] for q in [*secrets.labelled_findings(), *secrets.glued_findings()]}
+    assert len(found) > 500 and not any(t in seen or any(a < e and s < b for _, a, b in secrets.base_spans(t)) for t, s, e in found)
+    assert (secrets.best(trained, found) >= trained.threshold).mean() >= secrets.RECALL
+    fresh = secrets.recall_findings(91)
+    assert (secrets.best(trained, fresh) >= trained.threshold).mean() >= secrets.RECALL - 0.02
