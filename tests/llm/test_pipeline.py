@@ -1,7 +1,10 @@
+import numpy as np
+
 import corpus_pipeline
-from tests.llm.helpers import shingles, words
+from tests.llm.helpers import awkward, shingles, words
 from vedette.llm.common import table
 from vedette.llm.secrets import base_spans
+from vedette.llm.tokenise import Encoder
 
 SF = "/root/testdata/sf0.001"
 
@@ -40,3 +43,12 @@ def test_stages_one_by_one(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0 and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_packed_sequences_hold_the_tokens(spark):
+    docs = awkward(spark)
+    pieces = sorted(corpus_pipeline.pack_sequences(spark, docs, SF).collect(), key=lambda p: (p.sequence_id, p.offset))
+    stream = [t for p in pieces for t in np.frombuffer(p.ids, "<u4").tolist()]
+    assert len(stream) == sum(p.length for p in pieces)
+    want = Encoder().encode([r.text or "" for r in docs.collect()])
+    assert sorted(t for x in want for t in [*x, 0]) == sorted(stream)
