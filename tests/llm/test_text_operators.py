@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -6,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tests.llm.helpers import awkward, empty
+from tests.llm.helpers import awkward, empty, words
 from vedette.llm import chat, decontaminate, packing, secrets
 from vedette.llm.template import TemplateError, compile_template, fold, parse
 from vedette.llm.textkit import Words
@@ -143,6 +144,64 @@ def test_decontamination_by_frequent_words_alone():
     assert {(0, i) for i in range(9)} <= got and (3, 20) in got
 
 
+def all_pairs(docs, items, longest):
+    """(doc_id, item_id) by looking at every document with every item: BM25 share in some passage, then shingles."""
+    strip = lambda t: [w for w in (re.sub(r"^[\x00-\x2f\x3a-\x60\x7b-\x7f]+|[\x00-\x2f\x3a-\x60\x7b-\x7f]+$", "", w) for w in words(t)) if w]
+    item_words = [strip(t) for _, t in items]
+    have = [w for w in item_words if w]
+    mean, df = sum(map(len, have)) / len(have), {}
+    for w in have:
+        for x in set(w):
+            df[x] = df.get(x, 0) + 1
+    out, stride = set(), max(32, longest)
+    for (item, said), w in zip(items, item_words, strict=True):
+        if not w:
+            continue
+        norm = decontaminate.K1 * (1 - decontaminate.B + decontaminate.B * len(w) / mean)
+        impact = {x: math.log1p((len(have) - df[x] + 0.5) / (df[x] + 0.5)) * w.count(x) * (decontaminate.K1 + 1) / (w.count(x) + norm) for x in w}
+        total, k = sum(impact.values()), min(5, len(w))
+        parts = [x for x in re.split(r"(?<=[.!?])\s+|\n+", said.strip()) if x.strip()]
+        tail = len(strip(parts[-1])) if len(parts) > 1 else 0
+        tail = tail if 0 < tail < len(w) else max(1, len(w) // 4)
+        grams = [tuple(w[i : i + k]) for i in range(len(w) - k + 1)]
+        answer = {g for i, g in enumerate(grams) if i + k > len(w) - tail}
+        question = {g for i, g in enumerate(grams) if i + k <= len(w) - tail}
+        for doc, text_ in docs:
+            d = strip(text_)
+            share = max((sum(v for x, v in impact.items() if x in part) for lo in range(0, len(d), stride) for part in [set(d[lo : lo + 2 * stride])]), default=0) / total
+            seen = {tuple(d[i : i + k]) for i in range(len(d) - k + 1)}
+            q, a = len(question & seen), len(answer & seen)
+            if share >= decontaminate.SHARE - 1e-9 and q >= 0.8 * len(question) and a >= 0.5 * len(answer) and q + a >= 0.8 * (len(question) + len(answer)):
+                out.add((doc, item))
+    return out
+
+
+@pytest.mark.parametrize("block", [20_000, 3])
+def test_decontamination_equals_all_pairs(spark, monkeypatch, block):
+    """12 equal items, items of frequent words only, a benchmark in one block and over many block borders."""
+    monkeypatch.setattr(decontaminate, "ITEMS", block)
+    rng = random.Random(6)
+    equal = "which of the four old rivers is the longest one? the volga is the longest of them."
+    items = [equal] * 12 + [" ".join(rng.choice("the of a in to is".split()) for _ in range(9)) for _ in range(8)]
+    items += ["", None, "--", "one", *(" ".join(f"t{int(rng.paretovariate(0.8)) % 200}" for _ in range(rng.randrange(4, 60))) for _ in range(30))]
+    texts = [equal, "so " * 60 + equal + " and" * 90, " ".join(items[30].split()[1:]), items[13], items[14] + " " + items[40], None, "", "one", "the of a in to is " * 40]
+    for _ in range(40):
+        fill = " ".join(f"t{int(rng.paretovariate(0.8)) % 200}" for _ in range(rng.randrange(0, 300)))
+        part = items[rng.randrange(24, len(items))].split()
+        for _ in range(rng.randrange(0, 3)):
+            part[rng.randrange(len(part))] = "changed"
+        texts.append(f"{fill} {' '.join(part).upper()}, {fill}")
+    docs = [(100 + i, t) for i, t in enumerate(texts)]
+    rows = awkward(spark, docs).select("doc_id", "text").collect()
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    longest = max(len(words(t)) for t in items)
+    got = decontaminate.contaminated(awkward(spark, docs).repartition(4), bench).collect()
+    assert len(got) == len({(r.doc_id, r.item_id) for r in got})
+    want = all_pairs([(r.doc_id, r.text) for r in rows], [(i, t or "") for i, t in enumerate(items)], longest)
+    assert {(r.doc_id, r.item_id) for r in got} == want
+    assert {(100, i) for i in range(12)} <= want and len({i for _, i in want}) > 20
+
+
 def test_secrets(spark):
     network = secrets.fit_network(*(lambda r: (np.stack([secrets.encode(*q[:3]) for q in r]), np.array([q[3] for q in r], float)))(secrets.labelled_findings(720)), epochs=6)
     texts = [

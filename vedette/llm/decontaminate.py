@@ -14,7 +14,8 @@ and OVERLAP of all must be there. (The answer is an item's last sentence; where
 quarter.)
 
 One pass over the documents without a shuffle. The index goes to the executors in blocks of ITEMS items, however
-many there are; the word counts behind idf are each block's own.
+many there are, each built and sent before the next; what scores rest on (items that hold a word, their number and
+mean length, the longest) is counted over all items first, so the blocks change no score and no match.
 
 Defined results: null, empty or blank texts match nothing, nor do blank items; items that repeat a text all match;
 rows with a null doc_id or item_id are matched and returned as such; an empty table gives no rows. Other columns are
@@ -24,11 +25,12 @@ ignored (kept by `decontaminated`).
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from vedette.llm.common import prepare, slices, table
@@ -44,25 +46,56 @@ K1, B = 1.2, 0.75
 _TABLE_BITS = 20
 
 
+@dataclass(frozen=True)
+class Collection:
+    """Counts over all items that are not blank: how many, their words, the most words, items that hold each word."""
+
+    n: int
+    words: int
+    longest: int
+    terms: np.ndarray
+    df: np.ndarray
+
+
+def counted(blocks: Iterable[list[str]]) -> Collection:
+    """The counts of items that come in blocks: 16 bytes for each distinct word are held, and one block."""
+    n, total, longest, terms, df = 0, 0, 0, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for texts in blocks:
+        words = Words(pa.array(texts, pa.large_string()), strip=True)
+        n, total, longest = n + int((words.count > 0).sum()), total + len(words.hash), max(longest, int(words.count.max(initial=0)))
+        order = np.lexsort((words.doc, words.hash))
+        h, d = words.hash[order], words.doc[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
+        here, many = np.unique(h[new], return_counts=True)
+        terms, inverse = np.unique(np.concatenate([terms, here]), return_inverse=True)
+        df = np.bincount(inverse, np.concatenate([df, many]), len(terms)).astype(np.int64)
+    return Collection(n, total, longest, terms, df)
+
+
 class BlockMaxIndex:
-    """Impact-ordered by item number, in blocks; search() is document-at-a-time block-max WAND."""
+    """Impact-ordered by item number, in blocks; search() is document-at-a-time block-max WAND.
+
+    `whole`: the counts over all items, where these are but some of them."""
 
-    def __init__(self, ids: list, texts: list[str]) -> None:
+    def __init__(self, ids: list, texts: list[str], whole: Collection | None = None) -> None:
+        whole = whole or counted([texts])
         words = Words(pa.array(texts, pa.large_string()), strip=True)
         keep = np.flatnonzero(words.count > 0)
         self.ids = [ids[i] for i in keep]
         number = np.full(len(texts), -1)
         number[keep] = np.arange(len(keep))
         self.n = len(keep)
-        self.longest = int(words.count.max(initial=0))
+        self.longest = whole.longest
         self.terms, term = np.unique(words.hash, return_inverse=True)
         item = number[words.doc]
         pair, tf = np.unique(item * max(1, len(self.terms)) + term, return_counts=True)
         p_item, p_term = np.divmod(pair, max(1, len(self.terms)))
         self.df = np.bincount(p_term, minlength=len(self.terms))
-        idf = np.log1p((self.n - self.df + 0.5) / (self.df + 0.5))
+        everywhere = whole.df[np.searchsorted(whole.terms, self.terms)]
+        idf = np.log1p((whole.n - everywhere + 0.5) / (everywhere + 0.5))
         length = words.count[keep].astype(float)
-        norm = K1 * (1 - B + B * length / max(1.0, length.mean() if self.n else 1.0))
+        norm = K1 * (1 - B + B * length / max(1.0, whole.words / max(1, whole.n)))
         impact = idf[p_term] * tf * (K1 + 1) / (tf + norm[p_item])
         impact /= np.bincount(p_item, impact, self.n)[p_item]
         order = np.lexsort((p_item, p_term))
@@ -212,18 +245,26 @@ def matches(index: BlockMaxIndex, column: pa.Array) -> list[tuple[int, int, floa
     return out
 
 
-def indexes(benchmark: DataFrame) -> list[BlockMaxIndex]:
-    """Indexes of ITEMS items each, over all rows of the benchmark (held by the driver one block at a time)."""
-    rows = benchmark.select(F.col("item_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))).orderBy("item_id")
-    out, block = [], []
-    for row in rows.toLocalIterator():
+def _blocks(benchmark: DataFrame) -> Iterator[list[Row]]:
+    """All rows of the benchmark in order, ITEMS at a time."""
+    block = []
+    for row in benchmark.select(F.col("item_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).orderBy("item_id", "text").toLocalIterator():
         block.append(row)
         if len(block) == ITEMS:
-            out.append(BlockMaxIndex([r[0] for r in block], [r[1] for r in block]))
+            yield block
             block = []
-    if block or not out:
-        out.append(BlockMaxIndex([r[0] for r in block], [r[1] for r in block]))
-    return out
+    if block:
+        yield block
+
+
+def indexes(benchmark: DataFrame) -> Iterator[BlockMaxIndex]:
+    """Indexes of ITEMS items each, over all rows of the benchmark; the driver holds one at a time."""
+    whole = counted([r[1] for r in block] for block in _blocks(benchmark))
+    for block in _blocks(benchmark):
+        yield BlockMaxIndex([r[0] for r in block], [r[1] for r in block], whole)
+
+
+_MATCH = "doc_id long, item_id long, bm25_share double, question_overlap double, answer_overlap double"
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -242,9 +283,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     ids = pa.array([shared.value.ids[i] for i in items], pa.int64())
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), ids, *(pa.array(x, pa.float64()) for x in rest)], ["doc_id", "item_id", "bm25_share", "question_overlap", "answer_overlap"])
 
-        part = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, item_id long, bm25_share double, question_overlap double, answer_overlap double")
+        part = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _MATCH)
         out = part if out is None else out.unionByName(part)
-    return out
+    return spark.createDataFrame([], _MATCH) if out is None else out
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
