@@ -19,9 +19,13 @@
 Bands have 6 bins for thresholds of 85 and more, else 5, and there are as many as make the chance that a pair at
 the threshold shares no bucket less than one in a million.
 
+A class goes by its smallest doc_id and a sum of its set (`node`), so classes that share a doc_id stay apart, and the
+smallest node of a component holds the smallest doc_id.
+
 Defined results: null, empty and blank texts have no set, are linked with nothing and kept; rows with a null doc_id
-likewise, with a null component_id; rows that repeat a doc_id are each returned, by their own text's class. Other
-columns are ignored.
+likewise, with a null component_id; rows that repeat a doc_id are each returned, by their own text's class, and all of
+one class and doc_id alike. Other columns are ignored. `one_of_each` leaves one row of each component: of rows that
+repeat a doc_id and a set any one, of different texts under the component's doc_id those of the smallest node.
 """
 
 from __future__ import annotations
@@ -33,6 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vedette.llm.common import prepare, slices, table
 from vedette.llm.components import components
@@ -44,6 +49,7 @@ SALT = 200
 #: Bits of the filter that spares the shuffle all documents without candidates.
 FILTER_BITS = 24
 U = np.uint64
+NODE = "struct<id: bigint, k1: bigint>"
 
 
 def bands_for(percent: int) -> tuple[int, int]:
@@ -91,11 +97,7 @@ def signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
             for j in range(rows):
                 keys = mix(keys * U(5) + signature[:, j::rows] + U(j + 1))
             keys = mix(keys + np.arange(1, n_bands + 1, dtype=np.uint64))
-            k1, k2 = np.zeros(words.n_docs, np.uint64), np.zeros(words.n_docs, np.uint64)
-            some = np.flatnonzero(size)
-            if len(h):
-                heads = (np.cumsum(size) - size)[some]
-                k1[some], k2[some] = np.add.reduceat(mix(h), heads), np.add.reduceat(mix(h ^ U(0x5555_AAAA_1234_5678)), heads)
+            k1, k2 = _sums(h, size)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, words.n_docs * n_bands + 1, n_bands, dtype=np.int32)), pa.array(keys.reshape(-1).view(np.int64)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(size.astype(np.int64)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), lists],
@@ -120,12 +122,22 @@ def bitmap(ids: DataFrame, column: str) -> np.ndarray:
     return np.unpackbits(out.view(np.uint8), bitorder="little").view(bool)
 
 
+def _sums(h: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two sums over each row's set."""
+    k1, k2 = np.zeros(len(size), np.uint64), np.zeros(len(size), np.uint64)
+    some = np.flatnonzero(size)
+    if len(h):
+        heads = (np.cumsum(size) - size)[some]
+        k1[some], k2[some] = np.add.reduceat(mix(h), heads), np.add.reduceat(mix(h ^ U(0x5555_AAAA_1234_5678)), heads)
+    return k1, k2
+
+
 def full_sets(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
-    """doc_id and its sorted distinct shingle hashes as binary, of the documents in `wanted`.
+    """node and its sorted distinct shingle hashes as binary, of the classes in `wanted` (node).
 
-    A small bitmap lets nearly only those through before anything is shuffled; the join drops the few others. With
-    ever more ids it lets more through, never fewer."""
-    chosen = docs.sparkSession.sparkContext.broadcast(bitmap(wanted, "doc_id"))
+    A small bitmap lets nearly only their documents through before anything is shuffled; the join drops the others.
+    With ever more ids it lets more through, never fewer."""
+    chosen = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select("node.id"), "id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -135,24 +147,25 @@ def full_sets(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
                 h, _, size = sorted_sets(*words.shingles(k), words.n_docs)
                 offsets = pa.py_buffer(np.concatenate([[0], np.cumsum(size) * 8]).astype(np.int32))
                 sets = pa.Array.from_buffers(pa.binary(), words.n_docs, [None, offsets, pa.py_buffer(h)])
-                yield pa.RecordBatch.from_arrays([part.column(0), sets], ["doc_id", "shingles"])
+                node = pa.StructArray.from_arrays([part.column(0), pa.array(_sums(h, size)[0].view(np.int64))], ["id", "k1"])
+                yield pa.RecordBatch.from_arrays([node, sets], ["node", "shingles"])
 
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rows = rows.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS)).alias("bit"))
-    return rows.mapInArrow(run, "doc_id long, shingles binary").join(wanted.hint("merge"), "doc_id").dropDuplicates(["doc_id"])
+    return rows.mapInArrow(run, f"node {NODE}, shingles binary").join(wanted.hint("merge"), "node").dropDuplicates(["node"])
 
 
 def _confirm(percent: int, differences: bool):
     def run(key: tuple, centre: pa.Table, members: pa.Table) -> pa.Table:
-        ids, linked, deltas, prefix = [], [], [], []
-        if centre.num_rows and members.num_rows:
+        linked, deltas, prefix = [], [], []
+        n = members.num_rows if centre.num_rows else 0
+        if n:
             c = np.frombuffer(centre.column("centre_set")[0].as_buffer(), np.uint64)
-            for i in range(members.num_rows):
+            for i in range(n):
                 m = np.frombuffer(members.column("shingles")[i].as_buffer(), np.uint64)
                 at = np.searchsorted(c, m)
                 known = c[np.minimum(at, len(c) - 1)] == m
                 shared = int(known.sum())
-                ids.append(members.column("member")[i].as_py())
                 linked.append(100 * shared >= percent * (len(c) + len(m) - shared))
                 if differences:
                     gone = np.ones(len(c), bool)
@@ -161,7 +174,9 @@ def _confirm(percent: int, differences: bool):
                     added, removed = len(m) - shared, len(c) - shared
                     least = (added + removed) * (100 + percent) + (100 - percent) * (removed - added)  # over 2 (100 + percent)
                     prefix.append(added + removed - max(0, least // (2 * (100 + percent))))
-        out = {"u": pa.array([key[0].as_py()] * len(ids), pa.int64()), "v": pa.array(ids, pa.int64()), "linked": pa.array(linked, pa.bool_())}
+        first = pa.array(np.zeros(n, np.int64))
+        u = centre.column("head").combine_chunks().take(first) if n else pa.array([], members.schema.field("member").type)
+        out = {"u": u, "v": members.column("member").slice(0, n), "salt": members.column("salt").slice(0, n), "linked": pa.array(linked, pa.bool_())}
         if differences:
             out |= {"prefix": pa.array(prefix, pa.int64()), "delta": pa.array(deltas, pa.list_(pa.int64()))}
         return pa.table(out)
@@ -169,26 +184,35 @@ def _confirm(percent: int, differences: bool):
     return run
 
 
+def _of_salts(heads: DataFrame) -> DataFrame:
+    """One row for each salt of each row with `salts`."""
+    return heads.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, differences: bool = False) -> DataFrame:
-    """(u, v, linked) for the distinct (centre, member) pairs: whether their full sets reach the threshold; with
-    `differences` also what they differ in, and how many of these a prefix filter must look up."""
+    """(u, v, salt, linked) for the distinct (centre, member) pairs: whether their full sets reach the threshold; with
+    `differences` also what they differ in, and how many of these a prefix filter must look up. A centre's members are
+    dealt into groups (salt) of about SALT."""
     pairs = written(pairs.distinct(), "mh-pairs")
     counts = pairs.groupBy("centre").agg(F.ceil(F.count("*") / SALT).alias("salts"))
-    salted = pairs.join(counts, "centre").select("centre", "member", F.pmod(F.hash("member"), F.col("salts")).cast("long").alias("salt"))
-    members = salted.join(sets.withColumnRenamed("doc_id", "member").hint("merge"), "member").select("centre", "salt", "member", "shingles")
-    heads = counts.join(sets.select(F.col("doc_id").alias("centre"), F.col("shingles").alias("centre_set")).hint("merge"), "centre")
-    centres = heads.select(F.col("centre").alias("head"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("head_salt"), "centre_set")
-    schema = "u long, v long, linked boolean" + ", prefix long, delta array<long>" * differences
+    salted = pairs.join(counts, "centre").select("centre", "member", F.pmod(F.xxhash64("member"), F.col("salts")).cast("long").alias("salt"))
+    members = salted.join(sets.withColumnRenamed("node", "member").hint("merge"), "member").select("centre", "salt", "member", "shingles")
+    heads = counts.join(sets.select(F.col("node").alias("centre"), F.col("shingles").alias("centre_set")).hint("merge"), "centre")
+    centres = _of_salts(heads).select(F.col("centre").alias("head"), F.col("salt").alias("head_salt"), "centre_set")
+    schema = f"u {NODE}, v {NODE}, salt long, linked boolean" + ", prefix long, delta array<long>" * differences
     return centres.groupBy("head", "head_salt").cogroup(members.groupBy("centre", "salt")).applyInArrow(_confirm(percent, differences), schema)
 
 
 def missed_by_stars(tested: DataFrame, labels: DataFrame) -> DataFrame:
-    """(centre, member) pairs in different components that stars may have missed, from confirmed(differences=True)."""
+    """(centre, member) pairs in different components that stars may have missed, from confirmed(differences=True).
+
+    What is known of a centre is joined by centre and salt, so no task gets all members of one centre."""
     label = lambda name: labels.select(F.col("node").alias(name), F.col("component").alias(f"{name}_component"))
-    known = tested.join(label("u"), "u", "left").join(label("v"), "v", "left")
-    known = known.select("u", "v", "linked", "prefix", "delta", F.coalesce("v_component", "v").alias("component"), (F.coalesce("u_component", "u") != F.coalesce("v_component", "v")).alias("apart"))
-    open_stars = known.where("apart").select("u").distinct()
-    spread = known.join(open_stars, "u").select("u", "v", "apart", "prefix", "component", F.explode("delta").alias("e"))
+    heads = tested.groupBy("u").agg((F.max("salt") + 1).alias("salts")).join(label("u"), "u", "left")
+    known = tested.join(_of_salts(heads).drop("salts"), ["u", "salt"]).join(label("v"), "v", "left")
+    known = known.select("u", "v", "salt", "prefix", "delta", F.coalesce("v_component", "v").alias("component"), (F.coalesce("u_component", "u") != F.coalesce("v_component", "v")).alias("apart"))
+    open_stars = known.groupBy("u").agg(F.max("apart").alias("open"), (F.max("salt") + 1).alias("salts")).where("open")
+    spread = known.join(_of_salts(open_stars).select("u", "salt"), ["u", "salt"]).select("u", "v", "apart", "prefix", "component", F.explode("delta").alias("e"))
     spread = written(spread, "mh-differences")
     often = spread.groupBy("u", "e").agg(F.count("*").alias("n")).where("n > 1")  # a difference of one member is in common with none
     rare_first = Window.partitionBy("u", "v").orderBy(F.coalesce("n", F.lit(1)), "e")
@@ -198,49 +222,71 @@ def missed_by_stars(tested: DataFrame, labels: DataFrame) -> DataFrame:
     return left.join(right, ["u", "e"]).where("a <> b").select(F.greatest("centre", "member").alias("centre"), F.least("centre", "member").alias("member"))
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for each row of `docs`."""
+def classed(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles, k1, k2 and component (a node; null without a set or doc_id) for each row of `docs`."""
     prepare(docs.sparkSession)
     found = written(signatures(docs, k, percent), "mh-signatures")
     known = found.where("n_shingles > 0 and doc_id is not null")
     # these sides grow with the input, so they are merged and not broadcast while they happen to be small
     # (and written, so that a class of many copies is a join's hot key, which Spark splits, and no aggregate's)
     classes = written(known.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "mh-reps")
-    classed = written(known.join(classes.hint("merge"), ["k1", "k2"]).select("doc_id", "k1", "k2", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("keys")).alias("keys")), "mh-classes")
-    buckets = classed.where("keys is not null").select("rep", F.explode("keys").alias("key"))
+    node = F.struct(F.col("rep").alias("id"), "k1").alias("node")
+    first = written(known.join(classes.hint("merge"), ["k1", "k2"]).where("doc_id = rep").select(node, "keys"), "mh-classes")
+    buckets = first.select("node", F.explode("keys").alias("key"))
     shared = buckets.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    hits = written(buckets.join(shared.hint("merge"), "key").select("rep", "key", "m").distinct(), "mh-hits")
-    central = hits.groupBy("rep").agg(F.sum("m").alias("c"))
-    hits = written(hits.join(central.hint("merge"), "rep").select("key", "rep", "m", "c"), "mh-central")
-    wanted = hits.select(F.col("rep").alias("doc_id")).distinct()
+    hits = written(buckets.join(shared.hint("merge"), "key").select("node", "key", "m").distinct(), "mh-hits")
+    central = hits.groupBy("node").agg(F.sum("m").alias("c"))
+    hits = written(hits.join(central.hint("merge"), "node").select("key", "node", "m", "c"), "mh-central")
+    wanted = hits.select("node").distinct()
     sets = written(full_sets(docs, k, wanted), "mh-sets")
-    centres = hits.groupBy("key").agg(F.max(F.struct("c", (-F.col("rep")).alias("r"))).alias("x")).select("key", (-F.col("x.r")).alias("centre"))
-    pairs = hits.join(centres.hint("merge"), "key").where("rep <> centre").select("centre", F.col("rep").alias("member"))
+    centres = hits.groupBy("key").agg(F.max(F.struct("c", F.bitwise_not("node.id").alias("r"), F.bitwise_not("node.k1").alias("s"))).alias("x"))  # of equal ones the smallest node
+    centres = centres.select("key", F.struct(F.bitwise_not("x.r").alias("id"), F.bitwise_not("x.s").alias("k1")).alias("centre"))
+    pairs = hits.join(centres.hint("merge"), "key").where("node <> centre").select("centre", F.col("node").alias("member"))
     tested = written(confirmed(pairs, sets, percent, differences=True), "mh-stars")
     links = tested.where("linked").select("u", "v")
     labels = components(links)
     more = written(confirmed(missed_by_stars(tested, labels), sets, percent).where("linked").select("u", "v"), "mh-links")
     if not more.isEmpty():
         labels = components(links.union(more))
-    final = written(classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("class_component")), "mh-final")
-    out = found.join(final.hint("merge"), ["k1", "k2"], "left")
-    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("class_component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (component.isNull() | (component == F.col("doc_id"))).alias("kept"))
+    final = written(classes.select("k1", "k2", node).join(labels, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("class_component")), "mh-final")
+    out = found.drop("keys").join(final.hint("merge"), ["k1", "k2"], "left")
+    return out.select("doc_id", "n_shingles", "k1", "k2", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("class_component")).alias("component"))
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for each row of `docs`."""
+    component = F.coalesce("component.id", "doc_id")
+    return classed(docs, k, percent).select("doc_id", "n_shingles", component.alias("component_id"), (component.isNull() | (component == F.col("doc_id"))).alias("kept"))
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """Those rows of `docs`, all columns, whose document is kept.
-
-    Documents outside a bitmap of the removed ids stay where they are; only the others, the removed ones and few
-    besides, go through the join that decides exactly."""
-    gone = written(near_duplicates(docs, k, percent).where(~F.col("kept")).select("doc_id").distinct(), "mh-gone")
-    bits = F.broadcast(bitmap_words(gone, "doc_id"))  # 2**(FILTER_BITS - 5) rows at most
-    bit = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << FILTER_BITS))
-    seen = docs.withColumn("_bit", bit).join(bits, F.shiftright("_bit", 5) == F.col("_w"), "left")
-    maybe = F.coalesce(F.col("_b").bitwiseAND(F.expr("shiftleft(1L, cast(_bit % 32 as int))")) != 0, F.lit(False))
-    names = docs.columns
-    tested = seen.where(maybe).select(*names).join(gone.withColumnRenamed("doc_id", "_gone").hint("merge"), F.col("doc_id") == F.col("_gone"), "left_anti")
-    return seen.where(~maybe).select(*names).unionByName(tested.select(*names))
+    """One row of `docs`, all columns, of each component, and all rows without a set or doc_id.
+
+    Documents outside a bitmap of the ids that lose rows stay where they are; only the others, those that lose rows and
+    few besides, get their sets once more and go through the join that decides exactly."""
+    found = classed(docs, k, percent).where("component is not null")
+    mine = (F.col("doc_id") == F.col("component.id")) & (F.col("k1") == F.col("component.k1"))
+    many = found.groupBy("doc_id", "k1", "k2").agg(F.count("*").alias("rows"), F.min(mine).alias("stays")).where("rows > 1 or not stays")
+    many = written(many.select("doc_id", "k1", "k2", "stays"), "mh-gone")
+    bits = F.broadcast(bitmap_words(many, "doc_id").select(F.struct("_w", "_b").alias("filter")))  # 2**(FILTER_BITS - 5) rows at most
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    rows = rows.withColumn("bit", F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS)))
+    seen = rows.join(bits, F.shiftright("bit", 5) == F.col("filter._w"), "left")
+    maybe = F.coalesce(F.col("filter._b").bitwiseAND(F.expr("shiftleft(1L, cast(bit % 32 as int))")) != 0, F.lit(False))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            words = Words(batch.column(2))
+            h, _, size = sorted_sets(*words.shingles(k), words.n_docs)
+            k1, k2 = (pa.array(x.view(np.int64), mask=size == 0) for x in _sums(h, size))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), k1, k2], ["row", "id", "k1", "k2"])
+
+    schema = T.StructType([T.StructField("row", docs.schema), *(T.StructField(c, T.LongType()) for c in ("id", "k1", "k2"))])
+    tested = written(seen.where(maybe).select("row", "id", "text").mapInArrow(run, schema), "mh-maybe")
+    judged = tested.join(many.withColumnRenamed("doc_id", "id").hint("merge"), ["id", "k1", "k2"], "left")
+    alone = judged.where("stays is null").select("row.*")
+    one = judged.where("stays").dropDuplicates(["id", "k1", "k2"]).select("row.*")
+    return seen.where(~maybe).select("row.*").union(alone).union(one)
 
 
 def op8_minhash_star(spark: SparkSession, sf_dir: str) -> DataFrame:
