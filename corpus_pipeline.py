@@ -21,8 +21,7 @@ ORACLE_SQL = None
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the pairwise ranking puts above its threshold (op 10). Nothing is rejected where no labels are."""
     prepare(spark)
-    ranking = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.quality_scores(docs, ranking).where("quality_predicted = 1").select(*docs.columns)
+    return quality.accepted(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.helpers import awkward, shingles, words
@@ -41,6 +42,27 @@ def test_stages_one_by_one(spark):
     assert {r.doc_id for r in docs.collect()} == set(clean)
 
 
+def test_stages_of_an_awkward_table(spark):
+    """Nulls, ties, repeated rows and columns named as the stages name theirs; then a table without rows."""
+    clashing = ["quality_score", "quality_predicted", "_bit", "_b", "_w", "_gone", "bit", "row", "filter", "id", "k1", "node", "kept", "component", "c d"]
+    item = table(spark, SF, "benchmark").orderBy("item_id").first().text
+    docs = awkward(spark, [(30, item), (31, "so " + item)]).select("*", *(F.lit(n).alias(c) for n, c in enumerate(clashing)))
+    for df in (docs.repartition(3), docs.where("false")):
+        n = df.count()
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, df, SF).persist()
+            assert out.schema.names == docs.schema.names and out.count() <= n, name
+            if name == "near_duplicates" and n:
+                ids = [r.doc_id for r in out.collect()]
+                assert len(set(ids) - {None}) == len([i for i in ids if i is not None])
+            if name == "quality" and n:
+                out = df  # all documents go on to the other stages
+            if name == "decontamination" and n:
+                assert not {30, 31} & {r.doc_id for r in out.collect()}
+            df = out
+        assert corpus_pipeline.STAGES[-1][1](spark, df, SF).count() >= bool(n)
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0 and corpus_pipeline.ORACLE_SQL is None
 
