@@ -113,6 +113,46 @@ def test_marginals_over_blocks_equal_plain_ones():
         at += n
 
 
+def log_partition(s, t, start):
+    a = start + s[0]
+    for x in s[1:]:
+        z = a[:, None] + t
+        a = np.log(np.exp(z - z.max(0)).sum(0)) + z.max(0) + x
+    return np.log(np.exp(a - a.max()).sum()) + a.max()
+
+
+def test_expected_counts_are_the_likelihoods_gradient():
+    """Finite differences of the log partition over three labels, for words, first labels and transitions."""
+    rng = np.random.default_rng(4)
+    counts = np.array([1, 5, 0, 70, 130])
+    s, t, start = rng.normal(size=(counts.sum(), 3)) * 2, rng.normal(size=(3, 3)), rng.normal(size=3)
+    cuts = np.cumsum(counts)[:-1]
+    whole = lambda s, t, start: sum(log_partition(x, t, start) for x in np.split(s, cuts) if len(x))
+    p, pairs = langid.forward_backward(s, t, start, counts, pairs=True)
+    assert pairs.sum() == pytest.approx((counts[counts > 0] - 1).sum())
+    h = 1e-5
+    for i in range(3):
+        up = np.eye(3)[i] * h
+        first = p[[0, 1, 6, 76]].sum(axis=0)[i]
+        assert first == pytest.approx((whole(s, t, start + up) - whole(s, t, start - up)) / (2 * h), rel=1e-5)
+        for j in range(3):
+            up = np.zeros((3, 3))
+            up[i, j] = h
+            assert pairs[i, j] == pytest.approx((whole(s, t + up, start) - whole(s, t - up, start)) / (2 * h), rel=1e-5)
+    for at in (0, 3, 100, 205):
+        up = np.zeros_like(s)
+        up[at, 1] = h
+        assert p[at, 1] == pytest.approx((whole(s + up, t, start) - whole(s - up, t, start)) / (2 * h), rel=1e-4)
+
+
+def test_rare_languages_are_learnt(spark):
+    rng = random.Random(2)
+    rows = [(i, speech(rng, "aa" if i % 40 else "bb"), "aa" if i % 40 else "bb") for i in range(400)] + [(7, "eau oui", None), (None, "que", "cc"), (8, "again", "aa")]
+    field = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows=16)
+    assert field.languages == ["aa", "bb"]
+    assert field.predict(pa.array([speech(rng, "bb"), speech(rng, "aa")], pa.large_string()))[0] == ["bb", "aa"]
+
+
 def speech(rng, kind, n=40):
     parts = {"aa": ["ka", "lo", "mi"], "bb": ["sch", "tz", "ung"], "cc": ["eau", "oui", "que"]}[kind]
     return " ".join("".join(rng.choice(parts) for _ in range(rng.randrange(1, 4))) for _ in range(n))

@@ -4,14 +4,17 @@ A word's features are its prefixes and suffixes, its byte n-grams and the word i
 weights per language; learned transitions tie neighbours, so words of code-switched text get a language each. A
 document's language is the one with the greatest mean marginal probability over its words; that mean is its score.
 
-Training, on the driver: TRAIN_ROWS labelled documents of TRAIN_CHARS characters at most (those with the smallest
-hashes of doc_id, whole texts), cut in stretches, of which some are joined across languages so that switches are seen; the conditional
-likelihood's gradient comes from the same forward-backward. Labelling is one pass without a shuffle. Inside a worker
+Training, on the driver: TRAIN_ROWS labelled documents of TRAIN_CHARS characters at most (of each language in turn the
+one with the next smallest hash of doc_id, so rare languages are learnt too; whole texts), cut in stretches, of which
+some are joined across languages so that switches are seen. The conditional likelihood's gradient for features, first
+labels and transitions is observed minus expected counts, all from the same forward-backward: a pair of neighbours
+counts by alpha_i T e_j beta_j over its sum. Labelling is one pass without a shuffle. Inside a worker
 long documents are cut in blocks whose transfer matrices are multiplied side by side, which gives the same marginals
 as word after word.
 
 Defined results: null texts and texts without a letter are `und` with score 0; where nothing can be learnt, all are.
-Null languages are not learnt from; repeated rows are labelled each; other columns are ignored.
+Null languages are not learnt from, and of texts that share a doc_id and language the smallest only; repeated rows are
+labelled each; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vedette.llm.common import prepare, slices, table, text_column
@@ -30,6 +33,8 @@ from vedette.llm.textkit import Words, span_hash
 TRAIN_ROWS = 600
 TRAIN_CHARS = 10_000
 STRETCH = 16
+#: Parts of a language whose first rows are looked up side by side.
+PARTS = 64
 TABLE_BITS = 18
 BLOCK = 64
 U = np.uint64
@@ -68,9 +73,16 @@ def marginals(scores: np.ndarray, transition: np.ndarray, start: np.ndarray, cou
     """[words, labels] posterior probabilities; `counts` words in each sequence, one after the other.
 
     transition[i, j] and start[j] are log weights."""
+    return forward_backward(scores, transition, start, counts)[0]
+
+
+def forward_backward(scores: np.ndarray, transition: np.ndarray, start: np.ndarray, counts: np.ndarray, pairs: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The marginals, and with `pairs` [labels, labels]: how often a label is expected next to another, over all
+    neighbours in the sequences."""
     n, k = scores.shape
+    expected = np.zeros((k, k))
     if not n:
-        return scores
+        return scores, expected
     full = counts[counts > 0]
     blocks = -(-full // BLOCK)
     first_block = np.cumsum(blocks) - blocks
@@ -122,8 +134,15 @@ def marginals(scores: np.ndarray, transition: np.ndarray, start: np.ndarray, cou
         beta[:, j] = b
         x = (b * e[:, j]) @ t.T
         b = np.where(used[:, j][:, None], x / x.max(axis=1, keepdims=True), b)
-    p = (alpha * beta)[block, place]
-    return p / p.sum(axis=1, keepdims=True)
+    a, b = alpha[block, place], beta[block, place]
+    if pairs:
+        inner = np.flatnonzero(within > 0)
+        into = (e[block, place] * b)[inner]
+        from_ = a[inner - 1]
+        total = np.einsum("ni,ij,nj->n", from_, t, into)
+        expected = t * ((from_ / total[:, None]).T @ into)
+    p = a * b
+    return p / p.sum(axis=1, keepdims=True), expected
 
 
 @dataclass(frozen=True)
@@ -192,21 +211,22 @@ def fit_field(texts: list[str], labels: list[str], steps: int = 30, rate: float
     seen = np.zeros((k, k))
     inner = np.flatnonzero(~first)
     np.add.at(seen, (y[inner - 1], y[inner]), 1)
-    squares, t_squares = np.full(weights.shape, 1e-8), np.full((k, k), 1e-8)
+    opened = one[first].sum(axis=0)
+    squares, t_squares, s_squares = np.full(weights.shape, 1e-8), np.full((k, k), 1e-8), np.full(k, 1e-8)
     n = max(1, len(order))
     for _ in range(steps):
         scores = emissions(weights, bucket, word, len(rows))[which]
-        p = marginals(scores, transition, start, counts)
+        p, expected = forward_backward(scores, transition, start, counts, pairs=True)
         gap = np.stack([np.bincount(which, one[:, j] - p[:, j], len(rows)) for j in range(k)], axis=1)
         g = np.stack([np.bincount(bucket, gap[word, j], len(weights)) for j in range(k)], axis=1) / n - 1e-7 * weights
         squares += g * g
         weights += rate * g / np.sqrt(squares)
-        # expected transitions: neighbours' joint marginals, from both sides' marginals and the transition weights
-        joint = p[inner - 1][:, :, None] * np.exp(transition)[None] * p[inner][:, None, :]
-        expected = (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
         tg = (seen - expected) / n - 1e-4 * transition / n
         t_squares += tg * tg
         transition += 0.3 * tg / np.sqrt(t_squares)
+        sg = (opened - p[first].sum(axis=0)) / n - 1e-4 * start / n
+        s_squares += sg * sg
+        start += 0.3 * sg / np.sqrt(s_squares)
     return Field(languages, weights.astype(np.float32), transition, start)
 
 
@@ -215,12 +235,17 @@ def held_out(column: str = "doc_id") -> Column:
 
 
 def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Field:
-    known = docs.where(F.col("lang").isNotNull() & (F.length("text") <= TRAIN_CHARS) & F.col("doc_id").isNotNull() & ~held_out()).select(F.col("doc_id").cast("long"))
-    ids = known.distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect()  # `rows` at most
-    picked = F.broadcast(docs.sparkSession.createDataFrame([(r[0],) for r in ids], "doc_id long"))
-    found = docs.where(F.col("lang").isNotNull() & (F.length("text") <= TRAIN_CHARS)).select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")).join(picked, "doc_id").collect()
-    found = sorted(found, key=lambda r: (r[0], r[2], r[1]))
-    return fit_field([r[1] for r in found], [r[2] for r in found])
+    able = F.col("lang").isNotNull() & (F.length("text") <= TRAIN_CHARS) & F.col("doc_id").isNotNull() & ~held_out()
+    known = docs.where(able).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang")).distinct()
+    # the first `rows` of each language by hash, from the first of each of its parts: no task sorts a whole language
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    for by in (["lang", F.pmod(F.hash("doc_id"), F.lit(PARTS))], ["lang"]):
+        known = known.withColumn("turn", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("turn") <= rows)
+    ids = known.orderBy("turn", *order, "lang").limit(rows).select("doc_id", "lang").collect()  # `rows` at most
+    picked = F.broadcast(docs.sparkSession.createDataFrame([tuple(r) for r in ids], "doc_id long, lang string"))
+    found = docs.where(able).select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")).join(picked, ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect()
+    found = sorted(found, key=lambda r: (r["doc_id"], r["lang"]))
+    return fit_field([r["text"] for r in found], [r["lang"] for r in found])
 
 
 def languages(docs: DataFrame, field: Field) -> DataFrame:
