@@ -1,5 +1,7 @@
+import base64
 import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -9,16 +11,18 @@ from pyspark.sql import functions as F
 
 from tests.llm.helpers import awkward, empty, words
 from vedette.llm import langid, lattice, quality
+from vedette.llm.common import bucket_count
 from vedette.llm.tokenise import vocabulary
 
 
 def brute(pieces, weights, text):
     """Sum over all segmentations, by recursion over prefixes with plain dictionaries."""
     raw, table = b" " + text, dict(zip(pieces.texts, weights, strict=True))
-    alpha = [1.0] + [0.0] * len(raw)
+    alpha = [0.0]
     for end in range(1, len(raw) + 1):
-        alpha[end] = sum(alpha[b] * math.exp(table[raw[b:end]]) for b in range(max(0, end - pieces.longest), end) if raw[b:end] in table)
-    return math.log(alpha[-1])
+        terms = [alpha[b] + table[raw[b:end]] for b in range(max(0, end - pieces.longest), end) if raw[b:end] in table]
+        alpha.append(max(terms) + math.log(sum(math.exp(t - max(terms)) for t in terms)))
+    return alpha[-1]
 
 
 def packed(texts):
@@ -28,20 +32,45 @@ def packed(texts):
 
 def test_word_lattices_equal_brute_force():
     pieces = lattice.pieces_of(vocabulary(lattice.VOCABULARY))
-    texts = [b"a", b"the", b"therefore", "éèß".encode(), "漢字".encode(), b"\x00\xff", b"x" * 40, b"abstract", b"internationalisation"]
-    got = lattice.word_log_probabilities(pieces, pieces.first[None], *packed(texts))[:, 0]
+    assert pieces.longest > 16 and max(len(t) for t in pieces.texts) == pieces.longest  # none is too long
+    texts = [b"a", b"the", b"therefore", "éèß".encode(), "漢字".encode(), b"\x00\xff", b"x" * 40, b"abstract", b"internationalisation", "правительства".encode(), b"therefore" * 20, b"\xfe" * 90]
+    got = lattice.word_log_probabilities(pieces, pieces.first, *packed(texts))
     assert got == pytest.approx([brute(pieces, pieces.first, t) for t in texts])
-    e = lattice.expected_counts(pieces, pieces.first, *packed([b"the"]), np.array([2.0]))
+    e = lattice.expected_counts(pieces, pieces.first, *packed([b"the"]))
     used = sum(n * len(pieces.texts[i]) for i, n in enumerate(e) if n)
-    assert used == pytest.approx(2 * 4)  # every byte of " the" is in one piece of each segmentation
+    assert used == pytest.approx(4)  # every byte of " the" is in one piece of each segmentation
 
 
-def test_scores_of_awkward_documents(spark):
-    docs = awkward(spark)
+def test_long_words_equal_short_ones(monkeypatch):
+    """The same sums and expected counts whether words go together or alone, in any stretches, under rough weights."""
+    pieces = lattice.pieces_of(vocabulary(lattice.VOCABULARY))
+    rng = np.random.default_rng(1)
+    weights = np.log(rng.dirichlet(np.full(len(pieces.texts), 0.02)) + 1e-18)
+    texts = [b"a", b"therefore", "правительства".encode() * 9, b"internationalisation" * 6, bytes(rng.integers(128, 256, 700, dtype=np.uint8)), b"ab\xfe" * 100 + b"government" * 10]
+    monkeypatch.setattr(lattice, "LONG", 10**6)
+    for w in (pieces.first, weights):
+        monkeypatch.setattr(lattice, "LONG", 10**6)
+        sums, counts = lattice.word_log_probabilities(pieces, w, *packed(texts)), lattice.expected_counts(pieces, w, *packed(texts))
+        for stretch in (1, 7, 64, 1 << 16):
+            monkeypatch.setattr(lattice, "LONG", 0)
+            monkeypatch.setattr(lattice, "STRETCH", stretch)
+            assert lattice.word_log_probabilities(pieces, w, *packed(texts)) == pytest.approx(sums)
+            assert lattice.expected_counts(pieces, w, *packed(texts)) == pytest.approx(counts, rel=1e-6, abs=1e-9)
+
+
+def test_a_word_of_a_megabyte_takes_seconds():
+    pieces = lattice.pieces_of(vocabulary(lattice.VOCABULARY))
+    word = base64.b64encode(np.random.default_rng(0).bytes(750_000))
+    began = time.perf_counter()
+    assert lattice.word_log_probabilities(pieces, pieces.first, *packed([word]))[0] < -1e6
+    assert time.perf_counter() - began < 60
+
+
+def test_scores_of_awkward_documents(spark, monkeypatch):
+    """Base columns, score and lattice score against plain dictionaries, in one chunk for each task and in many."""
+    docs = awkward(spark, [(16, "z" * 300 + " word " + "z" * 300)])
     held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
-    got = lattice.lattice_scores(docs.repartition(3), held).collect()
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    assert len(got) == len(rows)
     out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
     counts, ends = {}, 0
     for i, t in rows:
@@ -50,15 +79,38 @@ def test_scores_of_awkward_documents(spark):
             for w in words(t):
                 counts[w] = counts.get(w, 0) + 1
     n, v = sum(counts.values()) + ends, len(counts) + 1
+    pieces = lattice.pieces_of(vocabulary(lattice.VOCABULARY))
+    weights = pieces.first
+    for _ in range(lattice.EM_STEPS):
+        mass = lattice.expected_counts(pieces, weights, *packed([w.encode() for w in counts])) + np.exp(weights)
+        weights = np.log(mass / mass.sum())
+    once, twice = (sum(c == k for c in counts.values()) for k in (1, 2))
+    d, end, space = min(max(once / (once + 2 * twice), 0.05), 0.95), (ends + 1) / (ends + n - ends + 2), math.exp(weights[pieces.texts.index(b" ")])
+    spell = {w: (brute(pieces, weights, w.encode()) - math.log1p(-space)) / math.log(10) for w in {w for _, t in rows for w in words(t)}}
+    total = n - ends
     by = {}
     for i, t in rows:
         w = words(t)
         base = sum(math.log10((counts.get(x, 0) + 1) / (n + v + 1)) for x in w) + math.log10((ends + 1) / (n + v + 1))
-        by.setdefault(i, []).append((len(w) + 1, sum(x in counts for x in w) + 1, base, out(i)))
-    for r in got:
-        assert r.train_tokens == n and r.score < 0
-        assert any((r.n_tokens, r.n_known, r.held_out) == (a, b, h) and r.base_score == pytest.approx(c) for a, b, c, h in by[r.doc_id])
+        known = [max(counts.get(x, 0) - d, 0) / total for x in w]
+        lone = [spell[x] for x in w]
+        rest = math.log10(d * len(counts) / total)
+        score = sum(math.log10(k + 10 ** (rest + s)) if k else rest + s for k, s in zip(known, lone, strict=True))
+        on = len(w) * math.log10(1 - end) + math.log10(end)
+        by.setdefault(i, []).append((len(w) + 1, sum(x in counts for x in w) + 1, base, out(i), score + on, sum(lone) + on))
+    for chunk in (lattice.CHUNK_BYTES, 50):
+        monkeypatch.setattr(lattice, "CHUNK_BYTES", chunk)
+        got = lattice.lattice_scores(docs.repartition(3) if chunk > 50 else docs.coalesce(1), held).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            assert r.train_tokens == n
+            assert any((r.n_tokens, r.n_known, r.held_out) == (a, b, h) and (r.base_score, r.score, r.lattice_score) == pytest.approx((c, s, l)) for a, b, c, h, s, l in by[r.doc_id]), r
     assert lattice.lattice_scores(empty(spark)).count() == 0
+    assert lattice.lattice_scores(docs, F.lit(True)).where("n_known > 0 or score > 0").count() == 0
+
+
+def test_buckets_follow_the_bytes():
+    assert [bucket_count(n) for n in (0, 1, 16_000_001, 10**9, 10**11, 10**14)] == [1, 1, 2, 63, 4097, 100_000]
 
 
 def test_words_of_a_model_add_up_to_one():
@@ -66,20 +118,16 @@ def test_words_of_a_model_add_up_to_one():
     pieces = lattice.pieces_of(vocabulary(lattice.VOCABULARY))
     alphabet = [b"a", b"b"]
     words_ = [x + y for x in [b"", *alphabet] for y in alphabet]
-    counts = np.array([[3, 0], [0, 1], [0, 0], [2, 2], [0, 0], [1, 0]])
-    weights = np.full((3, len(pieces.texts)), -50.0)
+    counts = np.array([3, 1, 0, 4, 0, 1])
+    weights = np.full(len(pieces.texts), -50.0)
     for t, p in ((b" ", 0.5), (b"a", 0.25), (b"b", 0.25)):
-        weights[:, pieces.texts.index(t)] = math.log(p)
-    stats = [np.array(x) for x in ([1, 1, 2], [*counts.sum(axis=0), counts.sum()], [3, 2, 4], [1, 1, 1], [1, 1, 1])]
-    model = lattice.Model(weights, *stats)
-    got = 10 ** model.word_scores(pieces, *packed(words_), counts) / (1 - model.ends()[:-1])
-    lattice_mass = sum(0.25 ** len(w) for w in words_)  # the rest of F is with longer words
-    d = model.discounts()
-    below = d * model.distinct / model.words
-    for k in range(2):
-        rest = below[k] * (0.5 * (1 - lattice_mass) + 0.5 * below[-1] * (1 - lattice_mass))
-        seen = (np.maximum(counts[:, k] - d[k], 0) / model.words[k] * (counts[:, k] > 0)).sum()
-        assert seen + below[k] == pytest.approx(1) and got[:, k].sum() + rest == pytest.approx(1, abs=1e-6)
+        weights[pieces.texts.index(t)] = math.log(p)
+    model = lattice.Model(weights, 2, 9, 4, 2, 0)
+    score, alone = (10**x / (1 - model.end()) for x in model.word_scores(pieces, *packed(words_), counts))
+    rest = 1 - sum(0.25 ** len(w) for w in words_)  # of F, with longer words
+    d = model.discount()
+    assert alone.sum() + rest == pytest.approx(1, abs=1e-6)
+    assert score.sum() + d * 4 / 9 * rest == pytest.approx(1, abs=1e-6)
 
 
 def test_lattice_prefers_what_it_has_read(spark):

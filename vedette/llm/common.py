@@ -13,6 +13,8 @@ from vedette.session import ship
 
 #: Text bytes that a worker looks at together; a single longer document is still taken whole.
 SLICE_BYTES = 1_000_000
+#: Text bytes behind a bucket of a packed shuffle: least and most, and how many buckets come before it grows.
+SMALL, LARGE, MANY = 16_000_000, 1_000_000_000, 4096
 
 
 def prepare(spark: SparkSession) -> None:
@@ -26,9 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def buckets(spark: SparkSession) -> int:
-    """Hash buckets for packed shuffles: they follow the session's shuffle partitions, hence the input's size."""
-    return max(8, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+def bucket_count(text_bytes: int) -> int:
+    """Buckets for a packed shuffle over so many bytes of text: one for SMALL bytes, up to MANY of them; from there on
+    as many while their share grows to LARGE bytes; then one for LARGE bytes. So what a task reads does not follow the
+    input, and packed records (one for each chunk and bucket) are not more than need be."""
+    return max(1, -(-int(text_bytes) // min(max(int(text_bytes) // MANY, SMALL), LARGE)))
 
 
 def text_column(column: pa.Array) -> pa.Array:

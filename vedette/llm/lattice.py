@@ -1,28 +1,32 @@
 """LM scoring: the marginal probability of a text over all its segmentations into subword pieces.
 
-The pieces and their first weights come from an existing vocabulary (a piece at rank r of its scores weighs
+The pieces and their first weights come from an existing vocabulary, all of it (a piece at rank r of its scores weighs
 1 / (r + RANK_SHIFT)); EM_STEPS rounds of forward-backward over the training words' lattices turn them into
-probabilities of this corpus. A word is preceded by a space, pieces do not cross words, and every single byte is a
-piece, so every text has a segmentation. F(w), the sum over all segmentations of word w, is found by a forward
-recursion in log space; F adds up to 1 over all words (the empty one, a lone space, is ruled out by division). A word that was seen c > 0 times in the N training words has
-one more arc over its lattice, the whole word: its probability is (c - D) / N + D V / N * F(w), V distinct words,
-D = n1 / (n1 + 2 n2) from the words seen once and twice (absolute discounting with the lattice below it; the pieces
-are therefore fitted to distinct words). Words are drawn until the end comes, each time with the share of ends among
-words and ends.
-
-Where the training rows have a class (a language, say), each of the CLASSES largest has word arcs, pieces and ends of
-its own, discounted the same way; half of what its arcs leave goes to its own lattices, half to the common model. A document's probability is the sum over the classes of the
-class's share times the product over the words: the class is summed out, like the segmentation, and nothing but the
-text is looked at to score it.
-
-Each distinct word of the corpus gets its lattice once, not each occurrence:
-
-1. every batch of documents is reduced to its distinct words, and for each the documents that hold it; these packed
-   records are dealt out by a hash of the word (one shuffle, pre-aggregated);
-2. each bucket merges its records to distinct words with corpus counts, written once to the shared folder;
-3. EM reads words and counts only; what the driver gets is one number for each piece of the vocabulary;
-4. scoring reads everything and sums up by document and class, packed by batch (a second, smaller shuffle; the model's
-   sums have 24 bits there).
+probabilities of this corpus. A word is preceded by a space, pieces do not cross words (those with white space inside
+fit nowhere), and every single byte is a piece, so every text has a segmentation. F(w), the sum over all segmentations
+of word w, is found by a forward recursion in log space; F adds up to 1 over all words (the empty one, a lone space, is
+ruled out by division).
+
+A word that was seen c > 0 times in the N training words has one more arc over its lattice, the whole word: its
+probability is (c - D) / N + D V / N * F(w), V distinct words, D = n1 / (n1 + 2 n2) from the words seen once and twice
+(absolute discounting with the lattice below it; the pieces are therefore fitted to distinct words). Words are drawn
+until the end comes, each time with the share of ends among words and ends. `lattice_score` is the same without word
+arcs: what the segmentations alone give.
+
+Each distinct word of the corpus gets its lattice once, not each occurrence, and documents stay where they are until
+the last step:
+
+1. a task reduces every CHUNK_BYTES of text to a chunk: its distinct words with their counts, and for each the documents
+   that hold it; written once to the shared folder;
+2. chunks ask for their words: packed requests, dealt out by a hash of the word to so many buckets that each has about
+   the same share of the input whatever the input's size (`bucket_count`);
+3. each bucket merges its requests to distinct words with corpus counts, written too;
+4. EM reads words and counts only; what the driver gets is one number for each piece of the vocabulary;
+5. buckets answer: for each word of a request its count and log probabilities, packed by chunk, where they meet the
+   chunk's documents. No answer is by document, so more buckets make no more of them.
+
+Words of up to LONG bytes go through the recursion together with those of their length; a longer one, however long,
+alone and by blocks of positions, in time linear in its length.
 
 Words are compared by 64-bit hashes. Defined results: null text counts as empty and has the end only; a null doc_id
 is trained on; repeated rows count and are scored each; with no training text all words have count 0 and the pieces
@@ -31,6 +35,7 @@ keep their first weights; an empty table gives no rows. Other columns are ignore
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -41,19 +46,19 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vedette.llm.common import prepare, slices, table
+from vedette.llm.common import bucket_count, prepare, slices, table
 from vedette.llm.textkit import BYTE_CODE, Words, prefix_hash, span_hash
 from vedette.llm.tokenise import vocabulary
 from vedette.session import written
 
 VOCABULARY = "piece_bpe_32k.model"
 RANK_SHIFT = 10.0
-EM_STEPS = 2
-CLASSES = 7
-#: Bytes of documents' sums that a scoring task holds before it sends them on.
-HELD = 32_000_000
-#: Longest piece in bytes; and what each piece is seen beyond its expected count, in all.
-LONGEST = 16
+EM_STEPS = 4
+#: Text bytes and documents of a chunk at most, but for one document that is longer.
+CHUNK_BYTES, CHUNK_DOCS = 16_000_000, 60_000
+#: Longest word that is looked at together with others; positions of a longer one that are looked at together.
+LONG, STRETCH = 64, 1 << 16
+#: What each piece is seen beyond its expected count, in all.
 SMOOTHING = 1.0
 _LOG10 = np.log(10)
 _FILTER_BITS = 19
@@ -61,14 +66,18 @@ _FILTER_BITS = 19
 
 @dataclass(frozen=True)
 class Pieces:
-    """Sorted hashes of the pieces, their numbers' log weights, and a filter for look-ups."""
+    """Sorted hashes of the pieces, their numbers' log weights, a filter for look-ups, and the pieces' lengths."""
 
     texts: tuple[bytes, ...]
     first: np.ndarray
     hashes: np.ndarray
     numbers: np.ndarray
     filter: np.ndarray
-    longest: int
+    sizes: np.ndarray
+
+    @property
+    def longest(self) -> int:
+        return int(self.sizes[-1])
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Piece numbers, -1 where there is none."""
@@ -92,9 +101,11 @@ def pieces_of(path: str) -> Pieces:
             continue
         text, score = model.id_to_piece(i).replace("▁", " "), model.get_score(i)
         raw = text.encode()
-        if score > -1e8 and 0 < len(raw) <= LONGEST and not any(c in raw[1:] for c in b" \t\n\r\v\f"):
+        if raw and not any(c in raw[1:] for c in b" \t\n\r\v\f"):
             rank[raw] = min(-score, rank.get(raw, np.inf))
-    worst = max(rank.values(), default=0.0)
+    ranked = [r for r in rank.values() if r < 1e8]
+    worst = max(ranked, default=0.0)
+    rank = {raw: min(r, worst + 1) for raw, r in rank.items()}  # pieces without a place of their own come last
     for b in range(256):
         rank.setdefault(bytes([b]), worst + 1)
     texts = tuple(sorted(rank))
@@ -105,14 +116,14 @@ def pieces_of(path: str) -> Pieces:
     order = np.argsort(hashes)
     known = np.zeros(1 << _FILTER_BITS, bool)
     known[(hashes >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
-    return Pieces(texts, np.log(weight / weight.sum()), hashes[order], order.astype(np.int32), known, int(sizes.max()))
+    return Pieces(texts, np.log(weight / weight.sum()), hashes[order], order.astype(np.int32), known, np.unique(sizes))
 
 
 def _groups(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, cells: int = 1_500_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(words' numbers, their bytes after a space as a matrix) by length, in bounded pieces."""
-    order = np.argsort(sizes, kind="stable")
-    cut = np.flatnonzero(np.diff(sizes[order], prepend=-1))
-    for lo, hi in zip(cut, np.append(cut[1:], len(order)), strict=True):
+    """(words' numbers, their bytes after a space as a matrix) by length up to LONG, in bounded pieces."""
+    order = np.argsort(sizes, kind="stable")[: int((sizes <= LONG).sum())]
+    cut = np.flatnonzero(np.diff(sizes[order], prepend=-1)) if len(order) else order
+    for lo, hi in zip(cut, np.append(cut[1:], len(order))[: len(cut)], strict=True):
         size = int(sizes[order[lo]])
         step = max(1, cells // (size + 1))
         for at in range(lo, hi, step):
@@ -122,6 +133,12 @@ def _groups(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, cells: int
             yield rows, text
 
 
+def _long_words(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(word's number, its bytes after a space) of those longer than LONG."""
+    for i in np.flatnonzero(sizes > LONG).tolist():
+        yield i, np.concatenate([np.array([32], np.uint8), data[starts[i] : starts[i] + sizes[i]]])
+
+
 def _matches(pieces: Pieces, text: np.ndarray) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
     """(begin, end, rows, piece numbers) of all pieces in words of one length, by end."""
     n, width = text.shape
@@ -129,7 +146,7 @@ def _matches(pieces: Pieces, text: np.ndarray) -> list[tuple[int, int, np.ndarra
     at = np.arange(n)[:, None] * width
     out = []
     for end in range(1, width + 1):
-        begins = np.arange(max(0, end - pieces.longest), end)
+        begins = end - pieces.sizes[pieces.sizes <= end]
         found = pieces.find(span_hash(prefix, (at + begins[None, :]).reshape(-1), np.broadcast_to(at + end, (n, len(begins))).reshape(-1))).reshape(n, len(begins))
         for j, begin in enumerate(begins.tolist()):
             rows = np.flatnonzero(found[:, j] >= 0)
@@ -146,18 +163,64 @@ def _forward(matches: list, weights: np.ndarray, n: int, width: int) -> np.ndarr
     return alpha
 
 
+def _stretch(pieces: Pieces, raw: np.ndarray, lo: int, hi: int, mirrored: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(begin, end, piece) of the pieces that end in (lo, hi] of one word, by end; `mirrored` counts from the word's end
+    (and swaps begin and end)."""
+    n, found = len(raw), []
+    base = n - hi if mirrored else max(0, lo + 1 - pieces.longest)
+    prefix = prefix_hash(BYTE_CODE[raw[base : min(n, n - lo + pieces.longest) if mirrored else hi]])
+    for size in pieces.sizes.tolist():
+        begins = np.arange(base, min(n - lo, n - size + 1)) if mirrored else np.arange(max(0, lo + 1 - size), hi - size + 1)
+        piece = pieces.find(span_hash(prefix, begins - base, begins - base + size))
+        some = np.flatnonzero(piece >= 0)
+        found.append((begins[some], begins[some] + size, piece[some]))
+    begin, end, piece = (np.concatenate(x) for x in zip(*found, strict=True))
+    if mirrored:
+        begin, end = n - end, n - begin
+    order = np.argsort(end, kind="stable")
+    return begin[order], end[order], piece[order]
+
+
+def _long_sums(pieces: Pieces, weights: np.ndarray, raw: np.ndarray, mirrored: bool = False) -> np.ndarray:
+    """log of the sum over all segmentations up to every place of one word (`mirrored`: from its end): plain floats,
+    whose scale is kept as a logarithm. What a rescaling may make infinite is too far back for any piece to reach."""
+    n, reach = len(raw), pieces.longest
+    out, scale, sums = np.zeros(n + 1), 0.0, [0.0] * (reach - 1) + [1.0]
+    for lo in range(0, n, STRETCH):
+        hi = min(lo + STRETCH, n)
+        begin, end, piece = _stretch(pieces, raw, lo, hi, mirrored)
+        source, weight = (begin - lo + reach - 1).tolist(), np.exp(weights[piece]).tolist()
+        edge = np.searchsorted(end, np.arange(lo + 1, hi + 2)).tolist()
+        values, scales = [], []
+        for i in range(hi - lo):
+            x = 0.0
+            for k in range(edge[i], edge[i + 1]):
+                x += sums[source[k]] * weight[k]
+            if x < 1e-100:
+                scale += math.log(x)
+                for j in range(i, i + reach):
+                    sums[j] /= x
+                x = 1.0
+            sums.append(x)
+            values.append(x)
+            scales.append(scale)
+        out[lo + 1 : hi + 1] = np.log(values) + scales
+        sums = sums[-reach:]
+    return out
+
+
 def word_log_probabilities(pieces: Pieces, weights: np.ndarray, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """[words, models] natural log of each word's marginal probability under each row of `weights`."""
-    out = np.zeros((len(starts), len(weights)))
+    """Natural log of each word's marginal probability."""
+    out = np.zeros(len(starts))
     for rows, text in _groups(data, starts, sizes):
-        matches = _matches(pieces, text)
-        for k, w in enumerate(weights):
-            out[rows, k] = _forward(matches, w, len(rows), text.shape[1])[-1]
+        out[rows] = _forward(_matches(pieces, text), weights, len(rows), text.shape[1])[-1]
+    for i, raw in _long_words(data, starts, sizes):
+        out[i] = _long_sums(pieces, weights, raw)[-1]
     return out
 
 
-def expected_counts(pieces: Pieces, weights: np.ndarray, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """How often each piece is expected in the words, each taken `counts` times."""
+def expected_counts(pieces: Pieces, weights: np.ndarray, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """How often each piece is expected in the words."""
     out = np.zeros(len(weights))
     for rows, text in _groups(data, starts, sizes):
         n, width = text.shape
@@ -167,17 +230,18 @@ def expected_counts(pieces: Pieces, weights: np.ndarray, data: np.ndarray, start
         beta[width] = 0
         for begin, end, some, piece in reversed(matches):
             beta[begin, some] = np.logaddexp(beta[begin, some], beta[end, some] + weights[piece])
-        total, times = alpha[width], counts[rows]
+        total = alpha[width]
         for begin, end, some, piece in matches:
-            share = np.exp(alpha[begin, some] + weights[piece] + beta[end, some] - total[some]) * times[some]
+            share = np.exp(alpha[begin, some] + weights[piece] + beta[end, some] - total[some])
             out += np.bincount(piece, share, len(out))
+    for _, raw in _long_words(data, starts, sizes):
+        alpha, beta = _long_sums(pieces, weights, raw), _long_sums(pieces, weights, raw, mirrored=True)[::-1]
+        for lo in range(0, len(raw), STRETCH):
+            begin, end, piece = _stretch(pieces, raw, lo, min(lo + STRETCH, len(raw)), False)
+            out += np.bincount(piece, np.exp(alpha[begin] + weights[piece] + beta[end] - alpha[-1]), len(out))
     return out
 
 
-_RECORD = "bucket int, chunk long, hashes binary, sizes binary, letters binary, seen binary, n_docs binary, docs binary, times binary, head binary"
-_MERGED = "bucket int, stats array<long>, sizes binary, letters binary, counts binary, records array<struct<chunk: long, words: binary, n_docs: binary, docs: binary, times: binary, head: binary>>"
-
-
 def _narrow(x: np.ndarray) -> np.ndarray:
     """Counts in two bytes each where they fit, else in eight."""
     return x.astype("<u2" if x.max(initial=0) < 65536 else "<u8")
@@ -187,110 +251,119 @@ def _wide(raw: bytes, n: int) -> np.ndarray:
     return np.frombuffer(raw, "<u8" if n and len(raw) == 8 * n else "<u2")
 
 
-def _pack(n_buckets: int, n_classes: int):
+_CHUNK = "chunk long, text_bytes long, train_docs long, head binary, hashes binary, sizes binary, letters binary, seen binary, n_docs binary, docs binary, times binary"
+_CHUNK_KINDS = [pa.int64()] * 3 + [pa.binary()] * 8
+
+
+def _gathered(letters: np.ndarray, sizes: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """The letters of the chosen words, one after the other."""
+    at, size = (np.cumsum(sizes) - sizes)[chosen], sizes[chosen]
+    return letters[np.repeat(at - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+
+
+class _Chunk:
+    """Slices of documents that are being reduced to one chunk."""
+
+    def __init__(self) -> None:
+        self.parts, self.heads, self.docs, self.bytes = [], [], 0, 0
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        words = Words(batch.column(1))
+        held = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+        # distinct (word, document) pairs with their numbers, by word
+        order = np.argsort(words.hash, kind="stable")
+        h, d = words.hash[order], words.doc[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
+        pair = np.flatnonzero(new)
+        times = np.diff(np.append(pair, len(h)))
+        h, d = h[pair], d[pair]
+        first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
+        seen = np.add.reduceat(np.where(held[d], 0, times), first) if len(first) else np.zeros(0, np.int64)
+        example = order[pair[first]]
+        sizes = words.ends - words.starts
+        letters = words.data[np.repeat(words.starts[example] - (np.cumsum(sizes[example]) - sizes[example]), sizes[example]) + np.arange(sizes[example].sum())]
+        self.parts.append((h[first], sizes[example], letters, seen, np.diff(np.append(first, len(h))), d + self.docs, times))
+        ids = batch.column(0)
+        self.heads.append((ids.fill_null(0).to_numpy(zero_copy_only=False), np.asarray(ids.is_null()), held, words.count))
+        self.docs, self.bytes = self.docs + batch.num_rows, self.bytes + len(words.data)
+
+    def row(self, chunk: int) -> pa.RecordBatch:
+        ids, null, held, count = (np.concatenate(x) for x in zip(*self.heads, strict=True))
+        head = np.array([len(ids)], "<i8").tobytes() + ids.astype("<i8").tobytes() + null.astype(np.uint8).tobytes() + held.astype(np.uint8).tobytes() + count.astype("<i8").tobytes()
+        hashes, sizes, letters, seen, n_docs, docs, times = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        unique, example, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        word = np.repeat(inverse, n_docs)
+        order = np.argsort(word, kind="stable")
+        values = [
+            chunk, self.bytes, int((~held).sum()), head, unique.tobytes(), sizes[example].astype("<u4").tobytes(), _gathered(letters, sizes, example).tobytes(),
+            np.bincount(inverse, seen, len(unique)).astype("<u4").tobytes(), np.bincount(word, minlength=len(unique)).astype("<u2").tobytes(), docs[order].astype("<u2").tobytes(), _narrow(times[order]).tobytes(),
+        ]
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, _CHUNK_KINDS, strict=True)], _CHUNK.replace(",", "").split()[::2])
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    part, number, chunk = TaskContext.get().partitionId(), 0, _Chunk()
+    for batch in slices(batches, rows=CHUNK_DOCS):
+        size = batch.column(1).nbytes
+        if chunk.docs and (chunk.bytes + size > CHUNK_BYTES or chunk.docs + batch.num_rows > CHUNK_DOCS):
+            yield chunk.row(part << 24 | number)
+            number, chunk = number + 1, _Chunk()
+        chunk.add(batch)
+    if chunk.docs:
+        yield chunk.row(part << 24 | number)
+
+
+_REQUEST = "bucket int, chunk long, hashes binary, sizes binary, letters binary, seen binary"
+
+
+def _requests(n_buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number = TaskContext.get().partitionId(), 0
-        for batch in slices(batches, limit=3_000_000):
-            chunk = part << 24 | number
-            number += 1
-            words = Words(batch.column(1))
-            held = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            kind = batch.column(3).to_numpy()
-            ids = batch.column(0)
-            # distinct (word, document) pairs with their numbers, ordered by word
-            order = np.argsort(words.hash, kind="stable")
-            h, d = words.hash[order], words.doc[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-            pair = np.flatnonzero(new)
-            times = np.diff(np.append(pair, len(h)))
-            ph, pd = h[pair], d[pair]
-            first = np.flatnonzero(np.diff(ph, prepend=ph[:1] ^ np.uint64(1)) != 0) if len(ph) else np.zeros(0, np.int64)
-            n_docs = np.diff(np.append(first, len(ph)))
-            seen = np.zeros((len(first), n_classes), np.int64)  # occurrences in training rows, by class
-            if len(first):
-                for c in range(n_classes):
-                    seen[:, c] = np.add.reduceat(np.where(held[pd] | (kind[pd] != c), 0, times), first)
-            uh, example = ph[first], order[pair[first]]
-            sizes = (words.ends - words.starts)[example]
-            bucket = ((uh >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)  # ascending, as uh is
-            edge, pair_edge = np.searchsorted(bucket, np.arange(n_buckets + 1)), np.append(first, len(ph))
-            letters_at = np.concatenate([[0], np.cumsum(sizes)])
-            where = np.repeat(words.starts[example] - letters_at[:-1], sizes) + np.arange(letters_at[-1])
-            letters = words.data[where]
-            head = pa.py_buffer(
-                np.array([batch.num_rows], "<i8").tobytes()
-                + ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes()
-                + np.asarray(ids.is_null()).astype(np.uint8).tobytes() + held.astype(np.uint8).tobytes() + kind.astype(np.uint8).tobytes() + words.count.astype("<i8").tobytes()
-            ).to_pybytes()
-            seen, times = _narrow(seen), _narrow(times)
-            rows: list[tuple] = []
-            for b in range(n_buckets):
-                lo, hi = edge[b], edge[b + 1]
-                mine = chunk % n_buckets == b
-                if lo == hi and not mine:
-                    continue
-                p = slice(pair_edge[lo], pair_edge[hi])
-                rows.append((
-                    b, chunk, uh[lo:hi].tobytes(), sizes[lo:hi].astype("<u4").tobytes(), letters[letters_at[lo] : letters_at[hi]].tobytes(), seen[lo:hi].tobytes(),
-                    n_docs[lo:hi].astype("<u2").tobytes(), pd[p].astype("<u2").tobytes(), times[p].tobytes(), head if mine else None,
-                ))
-            kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 8]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["bucket", "chunk", "hashes", "sizes", "letters", "seen", "n_docs", "docs", "times", "head"])
+        for batch in batches:
+            for chunk, hashes, sizes, letters, seen in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                h, sizes, seen = np.frombuffer(hashes, "<u8"), np.frombuffer(sizes, "<u4"), np.frombuffer(seen, "<u4")
+                bucket = ((h >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)  # ascending, as h is
+                used, first = np.unique(bucket, return_index=True)
+                at = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+                cuts = list(zip(first.tolist(), np.append(first[1:], len(h)).tolist(), strict=True)) if len(h) else []
+                columns = [used, [chunk] * len(cuts), [h[a:b].tobytes() for a, b in cuts], [sizes[a:b].tobytes() for a, b in cuts], [letters[at[a] : at[b]] for a, b in cuts], [seen[a:b].tobytes() for a, b in cuts]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int32(), pa.int64(), *[pa.binary()] * 4], strict=True)], ["bucket", "chunk", "hashes", "sizes", "letters", "seen"])
 
     return run
 
 
-def _numbers(column: pa.ChunkedArray, kind: str) -> list[np.ndarray]:
-    return [np.frombuffer(x.as_py() or b"", kind) for x in column]
+_MERGED = "stats array<long>, sizes binary, letters binary, counts binary, requests array<struct<chunk: bigint, bucket: int, words: binary>>"
 
 
-def _merge(key: tuple, records: pa.Table, n_classes: int) -> pa.Table:
-    hashes = _numbers(records.column("hashes"), "<u8")
-    sizes = np.concatenate(_numbers(records.column("sizes"), "<u4")).astype(np.int64)
-    letters = np.frombuffer(b"".join(x.as_py() for x in records.column("letters")), np.uint8)
-    seen = np.concatenate([_wide(x.as_py(), n_classes * len(h)) for x, h in zip(records.column("seen"), hashes, strict=True)]).reshape(-1, n_classes)
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All requests of a task, which are those of one bucket, as one row."""
+    rows = [r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+    if not rows:
+        return
+    bucket, chunk, hashes, sizes, letters, seen = zip(*rows, strict=True)
+    hashes = [np.frombuffer(h, "<u8") for h in hashes]
+    sizes, seen = (np.concatenate([np.frombuffer(x, "<u4") for x in y]).astype(np.int64) for y in (sizes, seen))
     unique, example, inverse = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
-    counts = np.stack([np.bincount(inverse, seen[:, c], len(unique)) for c in range(n_classes)], axis=1).astype(np.int64)
-    at = np.cumsum(sizes) - sizes
-    size = sizes[example]
-    fill = np.cumsum(size) - size
-    text = letters[np.repeat(at[example] - fill, size) + np.arange(size.sum())]
-    cuts = np.cumsum([len(h) for h in hashes])[:-1]
-    of = np.split(inverse.astype("<u4"), cuts)
-    heads = [x.as_py() for x in records.column("head")]
-    train_docs = sum((np.bincount(kind[held == 0], minlength=n_classes) for _, _, held, kind, _ in (head_of(h) for h in heads if h)), np.zeros(n_classes, np.int64))
-    every = np.column_stack([counts, counts.sum(axis=1)])  # each class, then all
-    stats = np.concatenate([train_docs, [train_docs.sum()], every.sum(axis=0), (every > 0).sum(axis=0), (every == 1).sum(axis=0), (every == 2).sum(axis=0)])
-    packed = [
-        {"chunk": c.as_py(), "words": w.tobytes(), "n_docs": n.as_py(), "docs": d.as_py(), "times": t.as_py(), "head": h}
-        for c, w, n, d, t, h in zip(records.column("chunk"), of, records.column("n_docs"), records.column("docs"), records.column("times"), heads, strict=True)
-    ]
-    inner = pa.struct([("chunk", pa.int64()), *((x, pa.binary()) for x in ("words", "n_docs", "docs", "times", "head"))])
-    values = [[key[0].as_py()], [stats.tolist()], [size.astype("<u4").tobytes()], [text.tobytes()], [counts.astype("<i8").tobytes()], [packed]]
-    kinds = [pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.list_(inner)]
-    names = ["bucket", "stats", "sizes", "letters", "counts", "records"]
-    return pa.table([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names)
-
-
-def head_of(head: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """doc_ids, which are null, which are held out, classes, number of words."""
-    n = int(np.frombuffer(head, "<i8", 1)[0])
-    ids, flags = np.frombuffer(head, "<i8", n, 8), np.frombuffer(head, np.uint8, 3 * n, 8 + 8 * n)
-    return ids, flags[:n], flags[n : 2 * n], flags[2 * n :], np.frombuffer(head, "<i8", n, 8 + 11 * n)
+    counts = np.bincount(inverse, seen, len(unique)).astype(np.int64)
+    text = _gathered(np.frombuffer(b"".join(letters), np.uint8), sizes, example)
+    words = np.split(inverse.astype("<u4"), np.cumsum([len(h) for h in hashes])[:-1])
+    stats = [int(counts.sum()), int((counts > 0).sum()), int((counts == 1).sum()), int((counts == 2).sum())]
+    requests = [{"chunk": c, "bucket": b, "words": w.tobytes()} for c, b, w in zip(chunk, bucket, words, strict=True)]
+    inner = pa.struct([("chunk", pa.int64()), ("bucket", pa.int32()), ("words", pa.binary())])
+    values = [[stats], [sizes[example].astype("<u4").tobytes()], [text.tobytes()], [counts.astype("<i8").tobytes()], [requests]]
+    kinds = [pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.list_(inner)]
+    yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], ["stats", "sizes", "letters", "counts", "requests"])
 
 
 def _lattice_words(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     sizes = np.frombuffer(batch.column("sizes")[i].as_py(), "<u4").astype(np.int64)
-    return np.frombuffer(batch.column("letters")[i].as_py(), np.uint8), np.cumsum(sizes) - sizes, sizes, np.frombuffer(batch.column("counts")[i].as_py(), "<i8").reshape(len(sizes), -1)
+    return np.frombuffer(batch.column("letters")[i].as_py(), np.uint8), np.cumsum(sizes) - sizes, sizes, np.frombuffer(batch.column("counts")[i].as_py(), "<i8")
 
 
-def fit(merged: DataFrame, path: str, n_classes: int, steps: int = EM_STEPS) -> np.ndarray:
-    """[classes and all, pieces] log probabilities, from the distinct training words of each class and of all."""
+def fit(merged: DataFrame, path: str, steps: int = EM_STEPS) -> np.ndarray:
+    """Log probabilities of the pieces, from the distinct training words."""
     spark = merged.sparkSession
-    pieces = pieces_of(path)
-    n = len(pieces.first)
-    weights = np.tile(pieces.first, (n_classes + 1, 1))
+    weights = pieces_of(path).first
     for _ in range(steps):
         shared = spark.sparkContext.broadcast(weights)
 
@@ -299,172 +372,114 @@ def fit(merged: DataFrame, path: str, n_classes: int, steps: int = EM_STEPS) ->
             for batch in batches:
                 for i in range(batch.num_rows):
                     data, starts, sizes, counts = _lattice_words(batch, i)
-                    for k in range(n_classes + 1):
-                        some = np.flatnonzero(counts[:, k] if k < n_classes else counts.any(axis=1))
-                        if len(some):
-                            sums[k] += expected_counts(known, shared.value[k], data, starts[some], sizes[some], np.ones(len(some)))
+                    some = np.flatnonzero(counts)
+                    sums += expected_counts(known, shared.value, data, starts[some], sizes[some])
             which = np.flatnonzero(sums)
-            yield pa.RecordBatch.from_arrays([pa.array(which.astype(np.int32)), pa.array(sums.reshape(-1)[which])], ["piece", "expected"])
+            yield pa.RecordBatch.from_arrays([pa.array(which.astype(np.int32)), pa.array(sums[which])], ["piece", "expected"])
 
-        found = merged.select("sizes", "letters", "counts").mapInArrow(run, "piece int, expected double").groupBy("piece").agg(F.sum("expected").alias("expected")).toArrow()  # a row for each piece and class
-        expected = np.zeros((n_classes + 1) * n)
+        found = merged.select("sizes", "letters", "counts").mapInArrow(run, "piece int, expected double").groupBy("piece").agg(F.sum("expected").alias("expected")).toArrow()  # a row for each piece
+        expected = np.zeros(len(weights))
         expected[found.column("piece").to_numpy()] = found.column("expected").to_numpy()
-        expected = expected.reshape(n_classes + 1, n)
-        mass = expected + SMOOTHING * np.exp(weights[-1:] if expected.any() else pieces.first)
-        weights = np.log(mass / mass.sum(axis=1, keepdims=True))
+        mass = expected + SMOOTHING * np.exp(weights)
+        weights = np.log(mass / mass.sum())
     return weights
 
 
-_PARTIAL = "chunk long, bucket int, docs binary, known binary, base binary, model binary, head binary"
-
-
 @dataclass(frozen=True)
 class Model:
-    """For each class, then for all: piece weights, training documents, words, distinct words, those seen once and those
-    seen twice."""
+    """Piece weights; training documents, words, distinct words, those seen once and those seen twice."""
 
     weights: np.ndarray
-    docs: np.ndarray
-    words: np.ndarray
-    distinct: np.ndarray
-    once: np.ndarray
-    twice: np.ndarray
+    docs: int
+    words: int
+    distinct: int
+    once: int
+    twice: int
 
-    def discounts(self) -> np.ndarray:
-        return np.where(self.once > 0, np.clip(self.once / np.maximum(self.once + 2 * self.twice, 1), 0.05, 0.95), 0.5)
+    def discount(self) -> float:
+        return min(max(self.once / (self.once + 2 * self.twice), 0.05), 0.95) if self.once else 0.5
 
-    def ends(self) -> np.ndarray:
-        """Probability that a document ends, by class, at each of its places."""
+    def end(self) -> float:
+        """Probability that a document ends, at each of its places."""
         return (self.docs + 1) / (self.docs + self.words + 2)
 
-    def shares(self) -> np.ndarray:
-        return (self.docs[:-1] + 0.5) / (self.docs[:-1] + 0.5).sum()
-
-    def _above(self, below: np.ndarray, counts: np.ndarray, k: int) -> np.ndarray:
-        if not self.words[k]:
-            return below
-        discount = self.discounts()[k]
-        with np.errstate(divide="ignore"):
-            arc = np.log(np.maximum(counts - discount, 0) / self.words[k])
-        return np.logaddexp(arc, below + np.log(discount * self.distinct[k] / self.words[k]))
-
-    def word_scores(self, known: Pieces, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """[words, classes] log10 probabilities of distinct words, with the chance to go on."""
-        lattice = word_log_probabilities(known, self.weights, data, starts, sizes) - np.log1p(-np.exp(self.weights[:, known.texts.index(b" ")]))
-        common = self._above(lattice[:, -1], counts.sum(axis=1), -1)
-        by_class = [self._above(np.logaddexp(common, lattice[:, k]) - np.log(2), counts[:, k], k) if self.words[k] else common for k in range(counts.shape[1])]
-        return (np.stack(by_class, axis=1) + np.log1p(-self.ends()[:-1])) / _LOG10
-
-    def document_scores(self, sums: np.ndarray) -> np.ndarray:
-        """log10 probability of documents from their words' sums [classes, documents]."""
-        x = sums * _LOG10 + np.log(self.shares() * self.ends()[:-1])[:, None]
-        return np.logaddexp.reduce(x, axis=0) / _LOG10
-
-
-class _Sums:
-    """Documents' sums of several buckets, by batch of documents, up to HELD bytes."""
-
-    def __init__(self, n_classes: int) -> None:
-        self.n_classes, self.chunks, self.size = n_classes, {}, 0
-
-    def add(self, chunk: int, bucket: int, doc: np.ndarray, columns: list[np.ndarray], head: bytes | None) -> None:
-        n = int(doc.max(initial=-1)) + 1
-        held = self.chunks.setdefault(chunk, [bucket, np.zeros((2 + self.n_classes, 0)), np.zeros(0, bool), None])
-        if held[1].shape[1] < n:
-            wider, seen = np.zeros((2 + self.n_classes, n)), np.zeros(n, bool)
-            wider[:, : held[1].shape[1]], seen[: len(held[2])] = held[1], held[2]
-            self.size += wider.nbytes - held[1].nbytes
-            held[1], held[2] = wider, seen
-        for row, values in zip(held[1], columns, strict=True):
-            row[:n] += np.bincount(doc, values, n)
-        held[2][doc] = True
-        held[3] = head or held[3]
-        self.size += len(head or b"")
-
-    def rows(self) -> Iterator[tuple]:
-        for chunk, (bucket, sums, touched, head) in self.chunks.items():
-            some = np.flatnonzero(touched)
-            yield chunk, bucket, some.astype("<u2").tobytes(), _narrow(sums[0][some].astype(np.int64)).tobytes(), sums[1][some].astype("<f8").tobytes(), sums[2:, some].astype("<f4").tobytes(), head
-        self.chunks, self.size = {}, 0
-
-
-def _score(path: str, shared) -> object:
+    def word_scores(self, known: Pieces, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 probabilities of distinct words, with the chance to go on: with word arcs, and of the lattices alone."""
+        lattice = word_log_probabilities(known, self.weights, data, starts, sizes) - np.log1p(-np.exp(self.weights[known.texts.index(b" ")]))
+        score = lattice
+        if self.words:
+            with np.errstate(divide="ignore"):
+                arc = np.log(np.maximum(counts - self.discount(), 0) / self.words)
+            score = np.logaddexp(arc, lattice + np.log(self.discount() * self.distinct / self.words))
+        on = np.log1p(-self.end())
+        return (score + on) / _LOG10, (lattice + on) / _LOG10
+
+
+_MEETING = "chunk long, bucket int, head binary, n_docs binary, docs binary, times binary, counts binary, score binary, lattice binary"
+
+
+def _answers(path: str, shared) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, sums = pieces_of(path), None
+        known = pieces_of(path)
         for batch in batches:
             for i in range(batch.num_rows):
                 data, starts, sizes, counts = _lattice_words(batch, i)
-                sums = sums or _Sums(counts.shape[1])
-                model = shared.value.word_scores(known, data, starts, sizes, counts)
-                total = counts.sum(axis=1)
-                base = np.log10(total + 1)
-                for record in batch.column("records")[i].as_py():
-                    word = np.repeat(np.frombuffer(record["words"], "<u4"), np.frombuffer(record["n_docs"], "<u2"))
-                    doc = np.frombuffer(record["docs"], "<u2").astype(np.int64)
-                    times = _wide(record["times"], len(doc)).astype(float)
-                    columns = [times * (total[word] > 0), times * base[word], *(times * model[word, c] for c in range(model.shape[1]))]
-                    sums.add(record["chunk"], batch.column("bucket")[i].as_py(), doc, columns, record["head"])
-                    if sums.size > HELD:
-                        yield _partial(list(sums.rows()))
-        if sums and sums.chunks:
-            yield _partial(list(sums.rows()))
+                score, lattice = shared.value.word_scores(known, data, starts, sizes, counts)
+                requests = batch.column("requests")[i].as_py()
+                words = [np.frombuffer(r["words"], "<u4") for r in requests]
+                columns = [[r["chunk"] for r in requests], [r["bucket"] for r in requests], *[[None] * len(words)] * 4, [counts[w].astype("<i8").tobytes() for w in words], [score[w].tobytes() for w in words], [lattice[w].tobytes() for w in words]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64(), pa.int32(), *[pa.binary()] * 7], strict=True)], _MEETING.replace(",", "").split()[::2])
 
     return run
 
 
-def _partial(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [pa.int64(), pa.int32(), *[pa.binary()] * 5], strict=True)], ["chunk", "bucket", "docs", "known", "base", "model", "head"])
-
+_DOCUMENT = "doc_id long, held_out boolean, n_words long, n_known long, base double, model double, lattice double"
 
-def _gather(parts: pa.Table, model: Model) -> pa.Table:
-    ids, null, held, _, words = head_of(next(x.as_py() for x in parts.column("head") if x.as_py()))
-    n_classes = len(model.docs) - 1
-    known, base, by_class = np.zeros(len(ids), np.int64), np.zeros(len(ids)), np.zeros((n_classes, len(ids)))
-    for i in np.argsort(parts.column("bucket").to_numpy(), kind="stable").tolist():  # the same order of summing each time
-        doc = np.frombuffer(parts.column("docs")[i].as_py(), "<u2")
-        known[doc] += _wide(parts.column("known")[i].as_py(), len(doc)).astype(np.int64)
-        base[doc] += np.frombuffer(parts.column("base")[i].as_py(), "<f8")
-        by_class[:, doc] += np.frombuffer(parts.column("model")[i].as_py(), "<f4").reshape(n_classes, -1)
-    return pa.table({"doc_id": pa.array(ids, pa.int64(), mask=null.astype(bool)), "held_out": pa.array(held.astype(bool)), "n_words": pa.array(words), "n_known": pa.array(known), "base": pa.array(base), "model": pa.array(model.document_scores(by_class))})
 
-
-def _classes(rows: DataFrame, column: str) -> tuple[list[str], bool]:
-    """The largest classes of the training rows, and whether there are other training rows."""
-    found = rows.where(~F.col("held_out")).groupBy(F.col(column).cast("string").alias("c")).agg(F.count("*").alias("n"))
-    top = found.where("c is not null").orderBy(F.desc("n"), "c").limit(CLASSES).collect()
-    return [r["c"] for r in top], (found.agg(F.sum("n")).first()[0] or 0) > sum(r["n"] for r in top)
+def _documents(parts: pa.Table) -> pa.Table:
+    """A chunk and the answers to it, whose words follow each other by bucket as they do in the chunk."""
+    bucket = parts.column("bucket").to_numpy()
+    order = np.argsort(bucket, kind="stable").tolist()  # the chunk itself has bucket -1
+    own = {c: parts.column(c)[order[0]].as_py() for c in ("head", "n_docs", "docs", "times")}
+    counts, score, lattice = (np.frombuffer(b"".join(parts.column(c)[i].as_py() for i in order[1:]), t) for c, t in (("counts", "<i8"), ("score", "<f8"), ("lattice", "<f8")))
+    head = own["head"]
+    n = int(np.frombuffer(head, "<i8", 1)[0])
+    ids, null, held = np.frombuffer(head, "<i8", n, 8), np.frombuffer(head, np.uint8, n, 8 + 8 * n), np.frombuffer(head, np.uint8, n, 8 + 9 * n)
+    word, doc = np.repeat(np.arange(len(counts)), np.frombuffer(own["n_docs"], "<u2")), np.frombuffer(own["docs"], "<u2").astype(np.int64)
+    times = _wide(own["times"], len(doc)).astype(float)
+    total = lambda values: np.bincount(doc, times * values[word], n)
+    columns = [pa.array(ids, pa.int64(), mask=null.astype(bool)), pa.array(held.astype(bool)), pa.array(np.frombuffer(head, "<i8", n, 8 + 10 * n)), pa.array(total(counts > 0).astype(np.int64)), *(pa.array(total(x)) for x in (np.log10(counts + 1), score, lattice))]
+    return pa.table(columns, ["doc_id", "held_out", "n_words", "n_known", "base", "model", "lattice"])
 
 
-def lattice_scores(docs: DataFrame, held_out: Column | None = None, vocabulary_file: str | None = None, classes: str | None = None) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (both log10) of each row of `docs`.
+def lattice_scores(docs: DataFrame, held_out: Column | None = None, vocabulary_file: str | None = None) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and lattice_score (log10) of each row of `docs`.
 
-    `held_out`: a condition for the rows not to learn from; none by default. `classes`: a column of training classes."""
+    `held_out`: a condition for the rows not to learn from; none by default."""
     spark = docs.sparkSession
     prepare(spark)
     path = vocabulary(vocabulary_file or VOCABULARY)
-    n_buckets = max(8, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     held = F.coalesce(held_out, F.lit(False)) if held_out is not None else F.lit(False)
-    marked = docs.withColumn("held_out", held)
-    known, others = _classes(marked, classes) if classes else ([], True)
-    n_classes = len(known) + (others or not known)
-    kind = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, known)), F.col(classes).cast("string")), F.lit(0)) - 1, F.lit(n_classes - 1)) if known else F.lit(0)
-    rows = marked.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), "held_out", kind.cast("int").alias("kind"))
-    merged = written(rows.mapInArrow(_pack(n_buckets, n_classes), _RECORD).groupBy("bucket").applyInArrow(lambda key, records: _merge(key, records, n_classes), _MERGED), "lattice-words")
-    sums = np.zeros(5 * (n_classes + 1), np.int64)
-    for r in merged.select(F.posexplode("stats").alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n")).collect():  # 40 numbers at most
-        sums[r["at"]] = r["n"]
-    model = Model(fit(merged, path, n_classes), *sums.reshape(5, -1))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held.alias("held_out"))
+    chunks = written(rows.mapInArrow(_chunks, _CHUNK), "lattice-chunks")
+    text_bytes, train_docs = chunks.agg(F.coalesce(F.sum("text_bytes"), F.lit(0)), F.coalesce(F.sum("train_docs"), F.lit(0))).first()
+    n_buckets = bucket_count(text_bytes)
+    requests = chunks.select("chunk", "hashes", "sizes", "letters", "seen").mapInArrow(_requests(n_buckets), _REQUEST)
+    merged = written(requests.repartitionById(n_buckets, "bucket").mapInArrow(_merge, _MERGED), "lattice-words")
+    stats = merged.agg(*(F.coalesce(F.sum(F.col("stats")[i]), F.lit(0)) for i in range(4))).first()
+    model = Model(fit(merged, path), int(train_docs), *map(int, stats))
     shared = spark.sparkContext.broadcast(model)
-    scored = merged.select("bucket", "sizes", "letters", "counts", "records").mapInArrow(_score(path, shared), _PARTIAL)
-    found = scored.groupBy("chunk").applyInArrow(lambda parts: _gather(parts, shared.value), "doc_id long, held_out boolean, n_words long, n_known long, base double, model double")
-    n_docs, train_tokens = int(model.docs[-1]), int(model.words[-1] + model.docs[-1])
-    distinct = int(model.distinct[-1]) + (n_docs > 0)
+    answers = merged.select("sizes", "letters", "counts", "requests").mapInArrow(_answers(path, shared), _MEETING)
+    own = chunks.select("chunk", F.lit(-1).alias("bucket"), "head", "n_docs", "docs", "times", *(F.lit(None).cast("binary").alias(c) for c in ("counts", "score", "lattice")))
+    found = own.union(answers).repartition(n_buckets, "chunk").groupBy("chunk").applyInArrow(_documents, _DOCUMENT)
+    train_tokens, distinct = model.words + model.docs, model.distinct + (model.docs > 0)
+    last = float(np.log10(model.end()))
     return found.select(
-        "doc_id", "held_out", (F.col("n_words") + 1).alias("n_tokens"), (F.col("n_known") + int(n_docs > 0)).alias("n_known"), F.lit(train_tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.lit(float(np.log10(n_docs + 1))) - (F.col("n_words") + 1) * F.lit(float(np.log10(train_tokens + distinct + 1)))).alias("base_score"),
-        F.col("model").alias("score"),
+        "doc_id", "held_out", (F.col("n_words") + 1).alias("n_tokens"), (F.col("n_known") + int(model.docs > 0)).alias("n_known"), F.lit(train_tokens).cast("long").alias("train_tokens"),
+        (F.col("base") + F.lit(float(np.log10(model.docs + 1))) - (F.col("n_words") + 1) * F.lit(float(np.log10(train_tokens + distinct + 1)))).alias("base_score"),
+        (F.col("model") + F.lit(last)).alias("score"), (F.col("lattice") + F.lit(last)).alias("lattice_score"),
     )
 
 
 def op1_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lattice_scores(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 7 == 2, classes="lang")
+    return lattice_scores(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
