@@ -33,8 +33,8 @@ from vedette.llm.textkit import Words, span_hash
 TRAIN_ROWS = 600
 TRAIN_CHARS = 10_000
 STRETCH = 16
-#: Parts of a language whose first rows are looked up side by side.
-PARTS = 64
+#: Bits of a hash's ranges in which the rows of a language are counted.
+PART_BITS = 12
 TABLE_BITS = 18
 BLOCK = 64
 U = np.uint64
@@ -237,10 +237,12 @@ def held_out(column: str = "doc_id") -> Column:
 def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Field:
     able = F.col("lang").isNotNull() & (F.length("text") <= TRAIN_CHARS) & F.col("doc_id").isNotNull() & ~held_out()
     known = docs.where(able).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang")).distinct()
-    # the first `rows` of each language by hash, from the first of each of its parts: no task sorts a whole language
+    # the first `rows` of each language by hash: counts by ranges of the hash tell which ranges hold them
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    for by in (["lang", F.pmod(F.hash("doc_id"), F.lit(PARTS))], ["lang"]):
-        known = known.withColumn("turn", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("turn") <= rows)
+    known = known.withColumn("part", F.shiftright(order[0], 64 - PART_BITS))
+    earlier = Window.partitionBy("lang").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # 2**PART_BITS counts of a language at most
+    needed = known.groupBy("lang", "part").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).where(F.col("before") < rows)
+    known = known.join(needed.select("lang", "part"), ["lang", "part"]).withColumn("turn", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("turn") <= rows)
     ids = known.orderBy("turn", *order, "lang").limit(rows).select("doc_id", "lang").collect()  # `rows` at most
     picked = F.broadcast(docs.sparkSession.createDataFrame([tuple(r) for r in ids], "doc_id long, lang string"))
     found = docs.where(able).select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")).join(picked, ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect()
