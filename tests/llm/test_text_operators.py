@@ -238,8 +238,8 @@ def test_secrets_of_neighbouring_rows():
     for texts in ([key] * 4, ["cafe", key, "", "beef"], [key, None, token, token, "x", token, "é"], ["", *[token] * 3, ""], ["see f", key, "1 that"]):
         got = secrets.scan(network, pa.array(texts, pa.large_string()))
         assert got == [secrets.scan(network, pa.array([t], pa.large_string()))[0] for t in texts]
-        assert [b for b, _ in got] == [secrets.base_spans(t or "") for t in texts]
-        assert all(("model", 0, len(t)) in spans for t, (_, spans) in zip(texts, got, strict=True) if t == token)
+        assert [b for b, _, _ in got] == [secrets.base_spans(t or "") for t in texts]
+        assert all(("model", 0, len(t)) in spans for t, (_, spans, _) in zip(texts, got, strict=True) if t == token)
 
 
 @pytest.fixture(scope="module")
@@ -254,7 +254,7 @@ def test_secrets_glued_to_long_names_and_paths(trained):
     leads = ["/srv/deploy/config/production/credentials/", "the_long_name_of_a_variable_in_the_settings_module=", "/usr/share/lib/application/data/internal/storage/default/user/session/"]
     texts = [f"see {lead}{key()} there" for lead in leads for _ in range(20)]
     plain = [f"see {lead}part{i} there" for lead in leads for i in range(20)]
-    hit = [any(k == "model" for k, _, _ in spans) for _, spans in secrets.scan(trained, pa.array([*texts, *plain], pa.large_string()))]
+    hit = [any(k == "model" for k, _, _ in spans) for _, spans, _ in secrets.scan(trained, pa.array([*texts, *plain], pa.large_string()))]
     assert sum(hit[:60]) >= 58 and sum(hit[60:]) <= 6
     far = "/a1b" * 3000 + "/" + key() + "/a1b" * 3000  # more windows than go through the network together
     seen = []
@@ -263,6 +263,41 @@ def test_secrets_glued_to_long_names_and_paths(trained):
     assert sum(seen) == len(secrets.windows(0, len(far))) and max(seen) <= secrets.TOGETHER
 
 
+def test_recall_on_documents(spark):
+    """Secrets outside the base patterns planted in the fixture's texts are found; documents without stay as they are."""
+    rng = random.Random(21)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    texts = [r.text or "" for r in docs.orderBy("doc_id").collect()]
+    mixed = "ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789"
+    pick = lambda chars, k: "".join(rng.choice(chars) for _ in range(k))
+    makers = [lambda: "sk_live_" + pick(mixed, 24), lambda: "ghp_" + pick(mixed, 36), lambda: pick(mixed + "+/", 43) + "=", lambda: pick(mixed, 32), lambda: "xoxb-" + pick("0123456789", 11) + "-" + pick(mixed, 24), lambda: pick(mixed + "-_", 40)]
+    planted = []
+    for n, t in enumerate(texts):
+        w = t.split(" ")
+        at = rng.randrange(len(w) + 1)
+        secret = makers[n % len(makers)]()
+        lead = rng.choice(["", "key ", "Authorization: Bearer ", "use "])
+        start = len(" ".join([*w[:at], lead])) if at else len(lead)
+        whole = " ".join([*w[:at], lead + secret, *w[at:]])
+        start = whole.index(secret)
+        if secrets.candidates(whole, secrets.base_spans(whole)).count((start, start + len(secret))):
+            planted.append((whole, start, start + len(secret)))
+    network = secrets.train(docs)
+    found = [any(k == "model" and a < e and s < b for k, a, b in spans) for (_, s, e), (_, spans, _) in zip(planted, secrets.scan(network, pa.array([t for t, _, _ in planted], pa.large_string())), strict=True)]
+    assert len(planted) > 150 and sum(found) >= 0.9 * len(found)
+    clean = secrets.scan(network, pa.array(texts, pa.large_string()))
+    assert sum(any(k == "model" for k, _, _ in spans) for _, spans, _ in clean) <= 0.02 * len(texts)
+    based = secrets.scan(network, pa.array([f"api_key = '{pick(mixed, 32)}' and AKIA{pick('ABCDEFGH23456789', 16)}" for _ in range(50)], pa.large_string()))
+    assert all(len(b) == 2 and b == spans for b, spans, _ in based) and sum(n for _, _, n in based) >= 90  # scored, and kept in any case
+
+
+def test_candidates_in_a_long_dump():
+    text = "token = abcdef1234567890 zz0123456789012345zz " * 4000
+    base = secrets.base_spans(text)
+    plain = [m.span() for m in secrets.CANDIDATE.finditer(text[:4000]) if not any(s < m.end() and m.start() < e for _, s, e in base[:100])]
+    assert secrets.candidates(text, base)[: len(plain) - 1] == plain[:-1] and len(secrets.candidates(text, base)) == 4000
+
+
 def test_threshold_keeps_recall(trained):
     """On rows whose truth is hard to tell, and on held-back findings outside the base patterns."""
     rows = secrets.labelled_findings(720)

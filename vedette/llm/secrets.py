@@ -3,15 +3,17 @@
 Base patterns give spans of three kinds (assign, access, hex). Candidates are those spans and every run of 16 or
 more token characters with a digit in it. The network, plain numpy, reads windows of WITHIN characters and the text
 around them, over the whole candidate; a candidate outside all base spans of which it accepts one becomes a span of
-kind `model`. Base spans stay whatever it says.
+kind `model`.
 
 Training, on the driver and the same for every run: labelled findings from a seeded generator of secrets and of
-things that look like them (card numbers, hosts, identifiers, paths), secrets glued to long names and paths, and the
-candidates in TRAIN_DOCS documents at
-most, labelled by the base patterns. A held-back quarter calibrates the network (Platt scaling). The threshold is the
-largest that keeps RECALL of held-back findings (other seeds, never trained on) outside the base patterns, the only
-ones it decides; each is taken as scan() sees it, the whole run by its best window. No corpus finding sets it, as none
-outside the base patterns is known to be true.
+things that look like them (card numbers, hosts, identifiers, paths), secrets glued to long names and paths, and windows
+of the base spans of all documents, of distinct ones those TRAIN_WINDOWS with the smallest hashes. Candidates outside the
+base spans are no examples of anything, as nobody has labelled them. A held-back quarter calibrates the network (Platt
+scaling). The threshold is the largest that keeps RECALL of held-back findings (other seeds, never trained on) outside
+the base patterns, the only ones it decides; each is taken as scan() sees it, the whole run by its best window.
+
+Every candidate and every base span is scored; base spans stay whatever the score, n_confirmed counts those of them
+that the network accepts.
 
 One pass without a shuffle. Offsets are code points, ends exclusive. Defined results: null text counts as empty and
 has no span; repeated rows are scanned each; an empty table gives no rows; other columns are ignored (kept by
@@ -33,7 +35,8 @@ from pyspark.sql import functions as F
 from vedette.llm.common import prepare, slices, table, text_column
 from vedette.llm.textkit import text_bytes
 
-TRAIN_DOCS = 400
+#: Windows of base spans that the network is trained on at most.
+TRAIN_WINDOWS = 3_200
 RECALL = 0.98
 KINDS = ("assign", "access", "hex", "model")
 
@@ -227,8 +230,15 @@ def glued_windows(n: int = 480, seed: int = 6) -> list[tuple[str, int, int, int]
 
 
 def candidates(text: str, base: list[Span]) -> list[tuple[int, int]]:
-    """Runs of token characters with a digit that touch no base span."""
-    return [m.span() for m in CANDIDATE.finditer(text) if not any(s < m.end() and m.start() < e for _, s, e in base)]
+    """Runs of token characters with a digit that touch no base span; `base` is in order of its starts."""
+    out, at, reach = [], 0, 0
+    for m in CANDIDATE.finditer(text):
+        while at < len(base) and base[at][1] < m.end():
+            reach = max(reach, base[at][2])
+            at += 1
+        if reach <= m.start():
+            out.append(m.span())
+    return out
 
 
 def recall_findings(seed: int = 17) -> list[tuple[str, int, int]]:
@@ -243,19 +253,29 @@ def best(network: Network, found: list[tuple[str, int, int]]) -> np.ndarray:
     return np.array([network.probability(np.stack([encode(t, *w) for w in windows(s, e)])).max() for t, s, e in found])
 
 
+def base_windows(docs: DataFrame) -> DataFrame:
+    """(context, start, end): the distinct windows of all base spans (of `assign`, its value), with what the network sees
+    around them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            rows = set()
+            for text, base in _based(batch.column(0)):
+                for kind, s, e in base:
+                    for a, b in windows(*ASSIGN.match(text, s).span(2) if kind == "assign" else (s, e)):
+                        left = max(0, a - BEFORE)
+                        rows.add((text[left : b + AFTER], a - left, b - left))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*sorted(rows), strict=True), (pa.string(), pa.int32(), pa.int32()), strict=True)], ["context", "start", "end"])
+
+    return docs.select(F.col("text").cast("string")).mapInArrow(run, "context string, start int, end int").distinct()
+
+
 def train(docs: DataFrame) -> Network:
-    """The network; of `docs` it sees TRAIN_DOCS rows with a base-like match at most."""
-    like = r"(?i)(password|passwd|secret|token|api_?key).{0,8}[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}|[A-Za-z0-9+/_=-]{16}"
-    texts = sorted(r[0] for r in docs.where(F.col("text").rlike(like)).select(F.substring(F.col("text").cast("string"), 1, 1_000_000)).limit(TRAIN_DOCS).collect())
-    rows = [*labelled_findings(), *glued_windows()]
-    bound = len(rows) + 8 * TRAIN_DOCS
-    for text in texts:
-        base = base_spans(text)
-        for kind, s, e in base:
-            m = ASSIGN.match(text, s) if kind == "assign" else None
-            rows += [(text, *w, 1) for w in windows(*(m.span(2) if m else (s, e)))]
-        rows += [(text, *w, 0) for s, e in candidates(text, base) for w in windows(s, e)]
-    rows = rows[:bound]
+    """The network; the driver gets TRAIN_WINDOWS windows of `docs` at most."""
+    prepare(docs.sparkSession)
+    found = base_windows(docs).orderBy(F.xxhash64("context", "start", "end"), "context", "start", "end").limit(TRAIN_WINDOWS).collect()
+    rows = [*labelled_findings(), *glued_windows(), *((*r, 1) for r in found)]
     order = np.random.default_rng(3).permutation(len(rows))
     network = fit_network(np.stack([encode(*rows[i][:3]) for i in order]), np.array([rows[i][3] for i in order], float))
     network.threshold = recall_threshold(best(network, recall_findings()))
@@ -287,38 +307,41 @@ def _with_runs(column: pa.Array) -> np.ndarray:
     return hit
 
 
-def scan(network: Network, column: pa.Array) -> list[tuple[list[Span], list[Span]]]:
-    """(base spans, all spans) of each row."""
-    texts, runs = text_column(column).to_pylist(), _with_runs(column)
+def _based(column: pa.Array) -> Iterator[tuple[str, list[Span]]]:
+    """(text, base spans) of each row; where no pattern can match none is tried."""
+    for text, runs in zip(text_column(column).to_pylist(), _with_runs(column), strict=True):
+        low = "" if runs else text.lower()
+        yield text, base_spans(text) if runs or "AKIA" in text or any(w in low for w in _WORDS) else []
+
+
+def scan(network: Network, column: pa.Array) -> list[tuple[list[Span], list[Span], int]]:
+    """(base spans, all spans, how many base spans the network accepts) of each row."""
     out: list[list[Span]] = []
-    found: list[set[tuple[int, int]]] = [set() for _ in texts]
+    found: list[set[Span]] = []
     seen: list[np.ndarray] = []
-    places: list[tuple[int, int, int]] = []
+    places: list[tuple[int, Span]] = []
 
     def look() -> None:
-        for (i, s, e), p in zip(places, network.probability(np.stack(seen)), strict=True):
+        for (i, span), p in zip(places, network.probability(np.stack(seen)), strict=True):
             if p >= network.threshold:
-                found[i].add((s, e))
+                found[i].add(span)
         seen.clear()
         places.clear()
 
-    for i, text in enumerate(texts):
-        if runs[i] or "AKIA" in text:
-            base = base_spans(text)
-        else:
-            low = text.lower()
-            base = base_spans(text) if any(w in low for w in _WORDS) else []
+    runs = _with_runs(column)
+    for i, (text, base) in enumerate(_based(column)):
         out.append(base)
-        if runs[i]:
-            for s, e in candidates(text, base):
-                for w in windows(s, e):
-                    seen.append(encode(text, *w))
-                    places.append((i, s, e))
-                    if len(seen) == TOGETHER:
-                        look()
+        found.append(set())
+        for kind, s, e in [*base, *(("model", *c) for c in (candidates(text, base) if runs[i] else ()))]:
+            for w in windows(*ASSIGN.match(text, s).span(2) if kind == "assign" else (s, e)):
+                seen.append(encode(text, *w))
+                places.append((i, (kind, s, e)))
+                if len(seen) == TOGETHER:
+                    look()
     if seen:
         look()
-    return [(base, sorted([*base, *(("model", s, e) for s, e in more)], key=lambda s: (s[1], KINDS.index(s[0])))) for base, more in zip(out, found, strict=True)]
+    by_start = lambda s: (s[1], KINDS.index(s[0]))
+    return [(base, sorted([*base, *(x for x in more if x[0] == "model")], key=by_start), sum(x[0] != "model" for x in more)) for base, more in zip(out, found, strict=True)]
 
 
 def joined(spans: list[Span]) -> str:
@@ -326,21 +349,21 @@ def joined(spans: list[Span]) -> str:
 
 
 def secret_spans(docs: DataFrame, network: Network | None = None) -> DataFrame:
-    """doc_id, counts by kind, the base spans' digest and all spans."""
+    """doc_id, counts by kind, the base spans' digest, all spans, and how many base spans the network accepts."""
     prepare(docs.sparkSession)
     network = network or train(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             found = scan(network, batch.column(1))
-            count = lambda kind: pa.array([sum(s[0] == kind for s in spans) for _, spans in found], pa.int64())
+            count = lambda kind: pa.array([sum(s[0] == kind for s in spans) for _, spans, _ in found], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(count(k) for k in ("assign", "access", "hex")), pa.array([hashlib.sha256(joined(b).encode()).hexdigest() for b, _ in found]), pa.array([joined(s) for _, s in found]), count("model")],
-                ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_model"],
+                [batch.column(0), *(count(k) for k in ("assign", "access", "hex")), pa.array([hashlib.sha256(joined(b).encode()).hexdigest() for b, _, _ in found]), pa.array([joined(s) for _, s, _ in found]), count("model"), pa.array([n for _, _, n in found], pa.int64())],
+                ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_model", "n_confirmed"],
             )
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_model long")
+    return rows.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_model long, n_confirmed long")
 
 
 def redact(text: str, spans: list[Span]) -> str:
@@ -363,9 +386,9 @@ def redacted(docs: DataFrame, network: Network | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             found = scan(network, batch.column(at))
-            if any(spans for _, spans in found):
+            if any(spans for _, spans, _ in found):
                 texts = batch.column(at).to_pylist()
-                changed = {i: redact(texts[i], spans) for i, (_, spans) in enumerate(found) if spans}
+                changed = {i: redact(texts[i], spans) for i, (_, spans, _) in enumerate(found) if spans}
                 batch = batch.set_column(at, batch.schema.field(at), pa.array([changed.get(i, t) for i, t in enumerate(texts)], batch.schema.field(at).type))
                 if "n_chars" in names:
                     n = names.index("n_chars")
