@@ -15,6 +15,8 @@ Very frequent anchors (more than HOT occurrences) take another exact way, so tha
 themselves are compared by 128-bit hashes, of each window only the first occurrence in a batch of documents is sent
 on, and only the first of those stays.
 
+Buckets follow the bytes of the input (`bucket_count`), so what a task reads does not grow with it.
+
 What moves: 11 bytes for each anchor, packed; then the texts of documents with repeated anchors only (a fixed-size
 bitmap stops the others before the shuffle); then contexts, compressed. `removals` returns one row for each document.
 
@@ -35,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vedette.llm.common import prepare, slices, table
+from vedette.llm.common import bucket_count, prepare, release, slices, table
 from vedette.llm.minhash import FILTER_BITS, bitmap
 from vedette.llm.textkit import BYTE_CODE, mix, prefix_hash, span_hash, text_bytes
 from vedette.session import written
@@ -46,6 +48,8 @@ REACH = LENGTH - GRAM  # an anchor lies at most so far into its window
 HOT = 400
 #: Contexts take more room than anchors, so they are dealt out to so many times as many buckets.
 FINER = 3
+#: Text bytes and documents whose anchors are packed together.
+CHUNK_BYTES, CHUNK_DOCS = 16_000_000, 60_000
 U = np.uint64
 _BLOCK = 1 << 20
 _SECOND_CODE = mix(BYTE_CODE ^ U(0xA5A5_5A5A_0F0F_F0F0))
@@ -220,29 +224,53 @@ _INT, _LONG, _BYTES = pa.int32(), pa.int64(), pa.binary()
 
 
 def _anchor_records(n_buckets: int):
+    """Packed anchors: a record for each bucket of every CHUNK_BYTES of text (and the chunk's documents once)."""
     names, kinds = ["bucket", "chunk", "hashes", "docs", "places", "head"], [_INT, _LONG, *[_BYTES] * 4]
 
+    def packed(chunk: int, parts: list[tuple], heads: list[tuple]) -> pa.RecordBatch:
+        h, docs, places = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order, edge = _split(h, n_buckets)
+        low = np.ascontiguousarray(h[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])  # the bucket knows the top bits; chance twins are told apart later
+        docs, places = docs[order], places[order]
+        head = b"".join(np.concatenate(x).astype("<i8").tobytes() for x in zip(*heads, strict=True))
+        rows, own = [], chunk % n_buckets
+        for b in np.union1d(np.flatnonzero(np.diff(edge)), [own]).tolist():
+            lo, hi = edge[b], edge[b + 1]
+            rows.append((b, chunk, low[lo:hi].tobytes(), docs[lo:hi].tobytes(), places[lo:hi].tobytes(), head if b == own else None))
+        return _batch(rows, names, kinds)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number = TaskContext.get().partitionId(), 0
+        part, number, size, n, parts, heads = TaskContext.get().partitionId(), 0, 0, 0, [], []
         for batch in slices(batches):
-            chunk = part << 24 | number
-            number += 1
             data, offsets = text_bytes(batch.column(2))
+            if parts and (size + len(data) > CHUNK_BYTES or n + batch.num_rows > CHUNK_DOCS):
+                yield packed(part << 24 | number, parts, heads)
+                number, size, n, parts, heads = number + 1, 0, 0, [], []
             place, h = anchors(data, offsets)
             if not len(h):
                 continue
-            order, edge = _split(h, n_buckets)
             doc = np.searchsorted(offsets, place, "right") - 1
-            docs, places = doc[order].astype("<u2"), (place - offsets[doc])[order].astype("<u4")
-            low = np.ascontiguousarray(h[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])  # the bucket knows the top bits; chance twins are told apart later
-            head = batch.column(0).to_numpy().astype("<i8").tobytes() + batch.column(1).to_numpy().astype("<i8").tobytes()
-            rows = []
-            for b in range(n_buckets):
-                lo, hi = edge[b], edge[b + 1]
-                mine = chunk % n_buckets == b
-                if lo < hi or mine:
-                    rows.append((b, chunk, low[lo:hi].tobytes(), docs[lo:hi].tobytes(), places[lo:hi].tobytes(), head if mine else None))
-            yield _batch(rows, names, kinds)
+            parts.append((h, (doc + n).astype("<u2"), (place - offsets[doc]).astype("<u4")))
+            heads.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            size, n = size + len(data), n + batch.num_rows
+        if parts:
+            yield packed(part << 24 | number, parts, heads)
+
+    return run
+
+
+def _each_bucket(merge):
+    """A task's records, which `repartitionById` made those of one bucket, merged by bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if held:
+            table = pa.Table.from_batches(held)
+            bucket = table.column("bucket").to_numpy()
+            del held
+            for b in np.unique(bucket):
+                yield from merge(table.filter(pa.array(bucket == b))).combine_chunks().to_batches()
+        release()
 
     return run
 
@@ -251,7 +279,7 @@ def _blobs(column: pa.ChunkedArray, kind: str) -> list[np.ndarray]:
     return [np.frombuffer(x.as_py() or b"", kind) for x in column]
 
 
-def _repeated(key: tuple, records: pa.Table) -> pa.Table:
+def _repeated(records: pa.Table) -> pa.Table:
     low = _blobs(records.column("hashes"), np.uint8)
     hashes = np.zeros((sum(map(len, low)) // 5, 8), np.uint8)
     hashes[:, :5] = np.concatenate(low).reshape(-1, 5)
@@ -299,7 +327,7 @@ def _runs(doc: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarr
 
 def _context_records(n_buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches):  # contexts are larger than texts, so a slice is enough for a record
             data, offsets = text_bytes(batch.column(2))
             did, tk = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             places, hot = _blobs(batch.column(3), "<u4"), _blobs(batch.column(4), np.uint8)
@@ -442,11 +470,12 @@ def repeats(docs: DataFrame) -> DataFrame:
     of what is left; documents with nothing to remove are absent."""
     spark = docs.sparkSession
     prepare(spark)
-    n_buckets = max(8, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = _identified(docs)
+    n_buckets = bucket_count(rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
+    finer, slots = FINER * n_buckets, max(8, n_buckets // 8)
     records = rows.select("did", "tk", "text").mapInArrow(_anchor_records(n_buckets), "bucket int, chunk long, hashes binary, docs binary, places binary, head binary")
-    parts = records.groupBy("bucket").applyInArrow(_repeated, "chunk long, docs binary, places binary, hot binary, head binary")
-    marks = written(parts.groupBy("chunk").applyInArrow(_marks, "did long, tk long, places binary, hot binary"), "repeat-marks").dropDuplicates(["did", "tk"])
+    parts = records.repartitionById(n_buckets, "bucket").mapInArrow(_each_bucket(_repeated), "chunk long, docs binary, places binary, hot binary, head binary")
+    marks = written(parts.repartition(n_buckets, "chunk").groupBy("chunk").applyInArrow(_marks, "did long, tk long, places binary, hot binary"), "repeat-marks").dropDuplicates(["did", "tk"])
     chosen = spark.sparkContext.broadcast(bitmap(marks, "tk"))
 
     def only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -455,9 +484,9 @@ def repeats(docs: DataFrame) -> DataFrame:
 
     near = rows.select("did", "tk", "text", F.pmod(F.xxhash64("tk"), F.lit(1 << FILTER_BITS)).alias("bit")).mapInArrow(only, "did long, tk long, text string").dropDuplicates(["did", "tk"])
     marked = written(near.join(marks.hint("merge"), ["did", "tk"]).select("did", "tk", "text", "places", "hot"), "repeat-texts")
-    contexts = marked.mapInArrow(_context_records(FINER * n_buckets), "kind int, bucket int, did binary, tk binary, begin binary, h1 binary, h2 binary, context binary")
-    found = contexts.groupBy("bucket").applyInArrow(lambda records: _found(records, max(8, n_buckets // 8)), "slot int, did binary, tk binary, begin binary, end binary")
-    spans = written(found.groupBy("slot").applyInArrow(_united, "did long, tk long, begins binary, ends binary"), "repeat-spans")
+    contexts = marked.mapInArrow(_context_records(finer), "kind int, bucket int, did binary, tk binary, begin binary, h1 binary, h2 binary, context binary")
+    found = contexts.repartitionById(finer, "bucket").mapInArrow(_each_bucket(lambda records: _found(records, slots)), "slot int, did binary, tk binary, begin binary, end binary")
+    spans = written(found.repartitionById(slots, "slot").groupBy("slot").applyInArrow(_united, "did long, tk long, begins binary, ends binary"), "repeat-spans")
     return marked.select("did", "tk", "text").join(spans.hint("merge"), ["did", "tk"]).select("did", "tk", "text", "begins", "ends").mapInArrow(_removed, "did long, tk long, begins binary, ends binary, n_removed long, n_spans long, kept_sha256 string")
 
 
