@@ -8,6 +8,8 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,9 +55,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a local master gets a folder of its
+    own; on a cluster there is none that all could see, so the call fails."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + os.path.realpath(tempfile.mkdtemp(prefix="vedette-shared-"))
         atexit.register(shutil.rmtree, folder.removeprefix("file://"), ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", folder)
@@ -63,23 +68,59 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+#: Spark's setting that removes a query's shuffle files when it has ended.
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as a table in the shared folder and read it back: lineage ends at replicated storage,
-    so a lost executor costs no recomputation of what stands before."""
+    so a lost executor costs no recomputation of what stands before. The write's shuffle files go when it has ended."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_TIDY, None)
+    spark.conf.set(_TIDY, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_TIDY)
+        else:
+            spark.conf.set(_TIDY, before)
     _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
-    spark.sparkContext._jvm.System.gc()  # Spark removes shuffle files when the driver collects what refers to them
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["_written"] = path
+    return out
 
 
-def discard(spark: SparkSession) -> int:
-    """Delete the tables that this application has written() so far; call it when no result that was built on them is
-    needed any more. Returns how many there were."""
-    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+def _delete(spark: SparkSession, paths: list[str]) -> None:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for path in paths:
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(conf).delete(where, True)
+
+
+def discard(spark: SparkSession) -> int:
+    """Delete the tables that this application has written() so far; call it when no result that was built on them is
+    needed any more. Returns how many there were."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    _delete(spark, paths)
     return len(paths)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables written() inside are deleted at its end, but for those that the function it gives is called with: what is
+    returned must rest on these alone."""
+    every = _WRITTEN.setdefault(spark.sparkContext.applicationId, [])
+    first, kept = len(every), set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df.__dict__["_written"])
+        return df
+
+    try:
+        yield keep
+    finally:
+        gone = [p for p in every[first:] if p not in kept]
+        every[first:] = [p for p in every[first:] if p in kept]
+        _delete(spark, gone)
