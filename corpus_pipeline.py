@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vedette.llm import decontaminate, minhash, packing, quality, secrets
 from vedette.llm.common import prepare, table
-from vedette.session import written
+from vedette.session import scratch, written
 
 #: SQL can't express the stages; tests/llm compare them with brute force.
 ORACLE_SQL = None
@@ -54,8 +54,9 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`."""
+    """All stages over `documents`; what a stage wrote for itself goes when its result is written."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch(spark) as keep:
+            docs = keep(written(stage(spark, docs, sf_dir), f"stage-{name}"))
     return STAGES[-1][1](spark, docs, sf_dir)

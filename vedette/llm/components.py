@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vedette.session import written
+from vedette.session import scratch, written
 
 
 def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
@@ -16,14 +16,17 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     before the shuffle, and the joins are plain equi-joins that Spark splits where a key is hot. Every round ends
     in a written table. Self loops are allowed; null ends are left out."""
     pairs = edges.select(F.col(u).alias("a"), F.col(v).alias("b")).where("a is not null and b is not null")
-    both = written(pairs.union(pairs.select("b", "a")).distinct(), "cc-edges")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "cc-labels")
-    while True:
-        near = both.join(labels.withColumnRenamed("node", "a"), "a").groupBy(F.col("b").alias("node")).agg(F.min("component").alias("near"))
-        lower = labels.join(near, "node").select("node", F.least("component", "near").alias("component"), F.col("component").alias("old"))
-        lower = written(lower, "cc-lower")
-        jump = lower.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        moved = written(lower.join(jump, "component").select("node", F.least("component", "further").alias("component"), "old"), "cc-labels")
-        labels = moved.select("node", "component")
-        if moved.where("component <> old").isEmpty():
-            return labels
+    spark = edges.sparkSession
+    with scratch(spark) as last:
+        both = written(pairs.union(pairs.select("b", "a")).distinct(), "cc-edges")
+        labels, done = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "cc-labels"), False
+        while not done:
+            with scratch(spark) as keep:
+                near = both.join(labels.withColumnRenamed("node", "a"), "a").groupBy(F.col("b").alias("node")).agg(F.min("component").alias("near"))
+                lower = labels.join(near, "node").select("node", F.least("component", "near").alias("component"), F.col("component").alias("old"))
+                lower = written(lower, "cc-lower")
+                jump = lower.select(F.col("node").alias("component"), F.col("component").alias("further"))
+                labels = keep(written(lower.join(jump, "component").select("node", F.least("component", "further").alias("component"), "old"), "cc-labels"))
+                done = labels.where("component <> old").isEmpty()
+        last(labels)
+    return labels.select("node", "component")

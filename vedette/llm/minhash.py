@@ -42,7 +42,7 @@ from pyspark.sql import types as T
 from vedette.llm.common import prepare, slices, table
 from vedette.llm.components import components
 from vedette.llm.textkit import Words, mix, sorted_sets
-from vedette.session import written
+from vedette.session import scratch, written
 
 #: Members that one task confirms against a centre at a time.
 SALT = 200
@@ -227,28 +227,29 @@ def classed(docs: DataFrame, k: int, percent: int) -> DataFrame:
     prepare(docs.sparkSession)
     found = written(signatures(docs, k, percent), "mh-signatures")
     known = found.where("n_shingles > 0 and doc_id is not null")
-    # these sides grow with the input, so they are merged and not broadcast while they happen to be small
-    # (and written, so that a class of many copies is a join's hot key, which Spark splits, and no aggregate's)
-    classes = written(known.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "mh-reps")
-    node = F.struct(F.col("rep").alias("id"), "k1").alias("node")
-    first = written(known.join(classes.hint("merge"), ["k1", "k2"]).where("doc_id = rep").select(node, "keys"), "mh-classes")
-    buckets = first.select("node", F.explode("keys").alias("key"))
-    shared = buckets.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    hits = written(buckets.join(shared.hint("merge"), "key").select("node", "key", "m").distinct(), "mh-hits")
-    central = hits.groupBy("node").agg(F.sum("m").alias("c"))
-    hits = written(hits.join(central.hint("merge"), "node").select("key", "node", "m", "c"), "mh-central")
-    wanted = hits.select("node").distinct()
-    sets = written(full_sets(docs, k, wanted), "mh-sets")
-    centres = hits.groupBy("key").agg(F.max(F.struct("c", F.bitwise_not("node.id").alias("r"), F.bitwise_not("node.k1").alias("s"))).alias("x"))  # of equal ones the smallest node
-    centres = centres.select("key", F.struct(F.bitwise_not("x.r").alias("id"), F.bitwise_not("x.s").alias("k1")).alias("centre"))
-    pairs = hits.join(centres.hint("merge"), "key").where("node <> centre").select("centre", F.col("node").alias("member"))
-    tested = written(confirmed(pairs, sets, percent, differences=True), "mh-stars")
-    links = tested.where("linked").select("u", "v")
-    labels = components(links)
-    more = written(confirmed(missed_by_stars(tested, labels), sets, percent).where("linked").select("u", "v"), "mh-links")
-    if not more.isEmpty():
-        labels = components(links.union(more))
-    final = written(classes.select("k1", "k2", node).join(labels, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("class_component")), "mh-final")
+    with scratch(docs.sparkSession) as keep:
+        # these sides grow with the input, so they are merged and not broadcast while they happen to be small
+        # (and written, so that a class of many copies is a join's hot key, which Spark splits, and no aggregate's)
+        classes = written(known.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "mh-reps")
+        node = F.struct(F.col("rep").alias("id"), "k1").alias("node")
+        first = written(known.join(classes.hint("merge"), ["k1", "k2"]).where("doc_id = rep").select(node, "keys"), "mh-classes")
+        buckets = first.select("node", F.explode("keys").alias("key"))
+        shared = buckets.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+        hits = written(buckets.join(shared.hint("merge"), "key").select("node", "key", "m").distinct(), "mh-hits")
+        central = hits.groupBy("node").agg(F.sum("m").alias("c"))
+        hits = written(hits.join(central.hint("merge"), "node").select("key", "node", "m", "c"), "mh-central")
+        wanted = hits.select("node").distinct()
+        sets = written(full_sets(docs, k, wanted), "mh-sets")
+        centres = hits.groupBy("key").agg(F.max(F.struct("c", F.bitwise_not("node.id").alias("r"), F.bitwise_not("node.k1").alias("s"))).alias("x"))  # of equal ones the smallest node
+        centres = centres.select("key", F.struct(F.bitwise_not("x.r").alias("id"), F.bitwise_not("x.s").alias("k1")).alias("centre"))
+        pairs = hits.join(centres.hint("merge"), "key").where("node <> centre").select("centre", F.col("node").alias("member"))
+        tested = written(confirmed(pairs, sets, percent, differences=True), "mh-stars")
+        links = tested.where("linked").select("u", "v")
+        labels = components(links)
+        more = written(confirmed(missed_by_stars(tested, labels), sets, percent).where("linked").select("u", "v"), "mh-links")
+        if not more.isEmpty():
+            labels = components(links.union(more))
+        final = keep(written(classes.select("k1", "k2", node).join(labels, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("class_component")), "mh-final"))
     out = found.drop("keys").join(final.hint("merge"), ["k1", "k2"], "left")
     return out.select("doc_id", "n_shingles", "k1", "k2", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("class_component")).alias("component"))
 
@@ -264,10 +265,11 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     Documents outside a bitmap of the ids that lose rows stay where they are; only the others, those that lose rows and
     few besides, get their sets once more and go through the join that decides exactly."""
-    found = classed(docs, k, percent).where("component is not null")
-    mine = (F.col("doc_id") == F.col("component.id")) & (F.col("k1") == F.col("component.k1"))
-    many = found.groupBy("doc_id", "k1", "k2").agg(F.count("*").alias("rows"), F.min(mine).alias("stays")).where("rows > 1 or not stays")
-    many = written(many.select("doc_id", "k1", "k2", "stays"), "mh-gone")
+    with scratch(docs.sparkSession) as keep:
+        found = classed(docs, k, percent).where("component is not null")
+        mine = (F.col("doc_id") == F.col("component.id")) & (F.col("k1") == F.col("component.k1"))
+        many = found.groupBy("doc_id", "k1", "k2").agg(F.count("*").alias("rows"), F.min(mine).alias("stays")).where("rows > 1 or not stays")
+        many = keep(written(many.select("doc_id", "k1", "k2", "stays"), "mh-gone"))
     bits = F.broadcast(bitmap_words(many, "doc_id").select(F.struct("_w", "_b").alias("filter")))  # 2**(FILTER_BITS - 5) rows at most
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("bit", F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS)))

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from vedette.llm.common import bucket_count, prepare, release, slices, table
 from vedette.llm.minhash import FILTER_BITS, bitmap
 from vedette.llm.textkit import BYTE_CODE, mix, prefix_hash, span_hash, text_bytes
-from vedette.session import written
+from vedette.session import scratch, written
 
 LENGTH = 100
 GRAM = 57
@@ -473,20 +473,21 @@ def repeats(docs: DataFrame) -> DataFrame:
     rows = _identified(docs)
     n_buckets = bucket_count(rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
     finer, slots = FINER * n_buckets, max(8, n_buckets // 8)
-    records = rows.select("did", "tk", "text").mapInArrow(_anchor_records(n_buckets), "bucket int, chunk long, hashes binary, docs binary, places binary, head binary")
-    parts = records.repartitionById(n_buckets, "bucket").mapInArrow(_each_bucket(_repeated), "chunk long, docs binary, places binary, hot binary, head binary")
-    marks = written(parts.repartition(n_buckets, "chunk").groupBy("chunk").applyInArrow(_marks, "did long, tk long, places binary, hot binary"), "repeat-marks").dropDuplicates(["did", "tk"])
-    chosen = spark.sparkContext.broadcast(bitmap(marks, "tk"))
-
-    def only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(chosen.value[batch.column(3).to_numpy()])).select(["did", "tk", "text"])
-
-    near = rows.select("did", "tk", "text", F.pmod(F.xxhash64("tk"), F.lit(1 << FILTER_BITS)).alias("bit")).mapInArrow(only, "did long, tk long, text string").dropDuplicates(["did", "tk"])
-    marked = written(near.join(marks.hint("merge"), ["did", "tk"]).select("did", "tk", "text", "places", "hot"), "repeat-texts")
-    contexts = marked.mapInArrow(_context_records(finer), "kind int, bucket int, did binary, tk binary, begin binary, h1 binary, h2 binary, context binary")
-    found = contexts.repartitionById(finer, "bucket").mapInArrow(_each_bucket(lambda records: _found(records, slots)), "slot int, did binary, tk binary, begin binary, end binary")
-    spans = written(found.repartitionById(slots, "slot").groupBy("slot").applyInArrow(_united, "did long, tk long, begins binary, ends binary"), "repeat-spans")
+    with scratch(spark) as keep:
+        records = rows.select("did", "tk", "text").mapInArrow(_anchor_records(n_buckets), "bucket int, chunk long, hashes binary, docs binary, places binary, head binary")
+        parts = records.repartitionById(n_buckets, "bucket").mapInArrow(_each_bucket(_repeated), "chunk long, docs binary, places binary, hot binary, head binary")
+        marks = written(parts.repartition(n_buckets, "chunk").groupBy("chunk").applyInArrow(_marks, "did long, tk long, places binary, hot binary"), "repeat-marks").dropDuplicates(["did", "tk"])
+        chosen = spark.sparkContext.broadcast(bitmap(marks, "tk"))
+
+        def only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(chosen.value[batch.column(3).to_numpy()])).select(["did", "tk", "text"])
+
+        near = rows.select("did", "tk", "text", F.pmod(F.xxhash64("tk"), F.lit(1 << FILTER_BITS)).alias("bit")).mapInArrow(only, "did long, tk long, text string").dropDuplicates(["did", "tk"])
+        marked = keep(written(near.join(marks.hint("merge"), ["did", "tk"]).select("did", "tk", "text", "places", "hot"), "repeat-texts"))
+        contexts = marked.mapInArrow(_context_records(finer), "kind int, bucket int, did binary, tk binary, begin binary, h1 binary, h2 binary, context binary")
+        found = contexts.repartitionById(finer, "bucket").mapInArrow(_each_bucket(lambda records: _found(records, slots)), "slot int, did binary, tk binary, begin binary, end binary")
+        spans = keep(written(found.repartitionById(slots, "slot").groupBy("slot").applyInArrow(_united, "did long, tk long, begins binary, ends binary"), "repeat-spans"))
     return marked.select("did", "tk", "text").join(spans.hint("merge"), ["did", "tk"]).select("did", "tk", "text", "begins", "ends").mapInArrow(_removed, "did long, tk long, begins binary, ends binary, n_removed long, n_spans long, kept_sha256 string")
 
 
