@@ -38,40 +38,44 @@ def distances(x: np.ndarray, refs: np.ndarray, metric: str, p: float) -> np.ndar
     return out
 
 
-def _blocks(refs: DataFrame, oid: str, vector: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Blocks of references in order of oid; the driver holds one at a time."""
-    ids, rows, size = [], [], 0
-    for r in refs.select(oid, vector).orderBy(oid).toLocalIterator(prefetchPartitions=True):
+def _blocks(refs: DataFrame, oid: str, vector: str, by: str | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Blocks (numbers, vectors, groups) of references in order of oid; the driver holds one at a time."""
+    ids, rows, groups, size = [], [], [], 0
+    cut = lambda: (np.array(ids, np.int64), np.array(rows, float), np.array(groups, np.int64))
+    for r in refs.select(oid, vector, F.col(by) if by else F.lit(0)).orderBy(oid).toLocalIterator(prefetchPartitions=True):
         ids.append(r[0])
         rows.append(r[1])
-        size += 8 * len(r[1]) + 8
+        groups.append(r[2])
+        size += 8 * len(r[1]) + 16
         if size >= BLOCK_BYTES:
-            yield np.array(ids, np.int64), np.array(rows, float)
-            ids, rows, size = [], [], 0
+            yield cut()
+            ids, rows, groups, size = [], [], [], 0
     if ids:
-        yield np.array(ids, np.int64), np.array(rows, float)
+        yield cut()
 
 
-def knn(points: DataFrame, refs: DataFrame, k: int, metric: str = "euclidean", p: float = 3.0, oid: str = "oid", vector: str = "o", x: str = "x") -> DataFrame:
+def knn(points: DataFrame, refs: DataFrame, k: int, metric: str = "euclidean", p: float = 3.0, oid: str = "oid", vector: str = "o", x: str = "x", by: str | None = None) -> DataFrame:
     """`points` with nn: array<struct<d double, oid long>>, the k nearest references by (distance, oid); all of them
-    where there are fewer."""
+    where there are fewer. With `by`, a whole-number column of both, among the references of the same group."""
     if metric not in METRICS:
         raise ValueError(f"metric is one of {METRICS}, not {metric!r}")
     spark = points.sparkSession
     ship(spark)
     out = points.withColumn("nn", F.array().cast("array<struct<d: double, oid: bigint>>"))
     names, schema = out.columns, out.schema
-    at, nn = names.index(x), names.index("nn")
-    for block in _blocks(refs, oid, vector):
+    at, nn, group = names.index(x), names.index("nn"), names.index(by) if by else -1
+    for block in _blocks(refs, oid, vector, by):
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, matrix = shared.value
+            ids, matrix, groups = shared.value
             for whole in batches:
                 for lo in range(0, whole.num_rows, ROWS):
                     batch = whole.slice(lo, ROWS)
                     n = batch.num_rows
                     d = distances(_matrix(batch.column(at)), matrix, metric, p)
+                    if by:
+                        d[batch.column(group).to_numpy()[:, None] != groups[None, :]] = np.inf
                     o = np.broadcast_to(ids, d.shape)
                     old = batch.column(nn)
                     had = len(old.flatten()) // n
@@ -90,7 +94,7 @@ def knn(points: DataFrame, refs: DataFrame, k: int, metric: str = "euclidean", p
                     yield pa.RecordBatch.from_arrays([lists if i == nn else batch.column(i) for i in range(len(names))], names)
 
         out = out.mapInArrow(run, schema)
-    return out
+    return out.withColumn("nn", F.filter("nn", lambda e: e["d"] < float("inf"))) if by else out
 
 
 def knn_sql(points: DataFrame, refs: DataFrame, k: int, metric: str = "euclidean", p: float = 3.0, id: str = "id") -> DataFrame:

@@ -1,8 +1,9 @@
 """Metrics: ranking, confusion, agreement of partitions, and summaries over datasets.
 
 Ranked metrics need each row's place among all. Rows are dealt into buckets between approximate quantiles of the score,
-so buckets are of like size whatever the scores look like; a bucket's offset is the sum over those before it, and no
-task sorts all rows.
+and rows of one score, where it is a frequent one, between quantiles of the id, so buckets are of like size whatever
+the scores look like; a bucket's offset is the sum over those before it, and no task sorts all rows. NaN ranks above all
+numbers, null below.
 """
 
 from __future__ import annotations
@@ -12,28 +13,55 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 512
-
+from vedette.operators.points import FEW, quantile_buckets
 
-def _bucketed(df: DataFrame, score: str) -> DataFrame:
-    """`df` with _b, rising with the score."""
-    from pyspark.ml.feature import Bucketizer
-
-    at = F.array(*(F.lit(i / BUCKETS) for i in range(1, BUCKETS)))
-    found = df.agg(F.percentile_approx(score, at, F.lit(10 * BUCKETS))).first()[0] or [0.0]
-    edges = [-math.inf, *sorted({float(v) for v in found}), math.inf]
-    return Bucketizer(splits=edges, inputCol=score, outputCol="_b").transform(df)
+BUCKETS = 512
+#: Accuracy of an approximate quantile: a rank is off by this part of all at most.
+ACCURACY = 10_000
 
 
 def _place(df: DataFrame, score: str, id: str) -> DataFrame:
     """rank (1-based, score descending, then id), cs (true outliers up to there)."""
-    tagged = _bucketed(df, score).withColumn("_b", -F.col("_b"))
-    sums = tagged.groupBy("_b").agg(F.count("*").alias("_n"), F.sum("y").alias("_y"))
-    earlier = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    before = sums.select("_b", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_y").over(earlier), F.lit(0)).alias("_y0"))
-    w = Window.partitionBy("_b").orderBy(F.desc(score), id)
+    tagged = quantile_buckets(df.withColumn("_key", F.when(F.col(score).isNull(), -math.inf).otherwise(F.col(score))), "_key", "_b", BUCKETS)
+    whole = tagged.groupBy("_b").agg(F.min("_key").alias("_lo"), F.max("_key").alias("_hi"))  # BUCKETS rows
+    tied = F.broadcast(whole.select(F.col("_b").alias("_t"), (F.col("_lo") == F.col("_hi")).alias("_tied")))
+    tagged = quantile_buckets(tagged, id, "_i", BUCKETS).join(tied, F.col("_b") == F.col("_t"))
+    tagged = tagged.withColumns({"_b": -F.col("_b"), "_i": F.when(F.col("_tied"), F.col("_i")).otherwise(0)})
+    sums = tagged.groupBy("_b", "_i").agg(F.count("*").alias("_n"), F.sum("y").alias("_y"))
+    earlier = Window.orderBy("_b", "_i").rowsBetween(Window.unboundedPreceding, -1)  # BUCKETS squared rows at most
+    before = sums.select("_b", "_i", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_y").over(earlier), F.lit(0)).alias("_y0"))
+    w = Window.partitionBy("_b", "_i").orderBy(F.desc("_key"), id)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    return tagged.join(F.broadcast(before), "_b").select(id, score, "y", (F.row_number().over(w) + F.col("_n0")).alias("rank"), (F.sum("y").over(upto) + F.col("_y0")).alias("cs"))
+    return tagged.join(F.broadcast(before), ["_b", "_i"]).select(id, score, "y", (F.row_number().over(w) + F.col("_n0")).alias("rank"), (F.sum("y").over(upto) + F.col("_y0")).alias("cs"))
+
+
+def quantile(df: DataFrame, column: str, q: float) -> float | None:
+    """The exact q-quantile of a column, linear between neighbours; nulls don't count. `df` is read a few times.
+
+    Approximate quantiles give bounds around the two neighbours' ranks; what lies outside is counted and left out, until
+    few rows are left or they have few values. So no task and not the driver holds more than some FEW values."""
+    rows = df.select(F.col(column).cast("double").alias("v")).where("v is not null")
+    n = rows.count()
+    if not n:
+        return None
+    place = (n - 1) * q
+    first, last = math.floor(place), math.ceil(place)
+    below, left = 0, n
+    while left > FEW:
+        at = [min(1.0, max(0.0, (k - below) / left + d / ACCURACY)) for k, d in ((first, -2), (last + 1, 2))]
+        lo, hi = rows.agg(F.percentile_approx("v", F.array(*map(F.lit, at)), F.lit(ACCURACY))).first()[0]
+        lower, inside = rows.agg(F.count(F.when(F.col("v") < F.lit(lo), 1)), F.count(F.when(F.col("v").between(F.lit(lo), F.lit(hi)), 1))).first()
+        if inside == left or not below + lower <= first <= last < below + lower + inside:
+            break
+        rows, below, left = rows.where(F.col("v").between(F.lit(lo), F.lit(hi))), below + lower, inside
+    values: dict[int, float] = {}
+    at = below
+    for v, many in rows.groupBy("v").agg(F.count("*")).orderBy("v").toLocalIterator():
+        values |= {k: v for k in (first, last) if at <= k < at + many}
+        at += many
+        if at > last:
+            break
+    return values[first] if first == last else (last - place) * values[first] + (place - first) * values[last]
 
 
 def _adjusted(v: Column, share: Column) -> Column:
@@ -68,7 +96,7 @@ def roc_auc(df: DataFrame, score: str = "score", truth: str = "y") -> DataFrame:
 
     From counts by distinct score, whose running sums go over buckets and within each."""
     by = df.groupBy(F.col(score).cast("double").alias("s")).agg(F.sum(F.col(truth).cast("long")).alias("p"), F.sum(1 - F.col(truth).cast("long")).alias("q"))
-    tagged = _bucketed(by, "s")
+    tagged = quantile_buckets(by, "s", "_b", BUCKETS)
     sums = tagged.groupBy("_b").agg(F.sum("q").alias("_q"))
     before = sums.select("_b", F.coalesce(F.sum("_q").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_q0"))
     w = Window.partitionBy("_b").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)

@@ -14,11 +14,15 @@ from vedette.functions.columns import order_key
 from vedette.operators import points as P
 from vedette.operators.fold import fit_groups, numbered
 from vedette.operators.knn import MODES, knn, nearest, reduce_distances
+from vedette.operators.metrics import quantile
 from vedette.operators.radius import estimate_radius, radius_by_group
 from vedette.session import written
 
 log = logging.getLogger("vedette")
 
+#: Points of one batch at most: a batch is folded point by point, in one task.
+ONE_BATCH = 5_000_000
+
 
 @dataclass(frozen=True)
 class ObserverModel:
@@ -60,7 +64,9 @@ class ObserverModel:
     def ordered(self, rows: DataFrame) -> DataFrame:
         """Rows with `seq` and `batch` as the fit takes them."""
         rows = P.shuffled(rows, self.seed) if self.shuffle else P.in_order(rows)
-        n = rows.count() if self.chunksize else 1
+        n = rows.count()
+        if n > ONE_BATCH and (not self.chunksize or n // max(1, n // self.chunksize) > ONE_BATCH):
+            raise ValueError(f"a batch is one task's work, {ONE_BATCH} points at most: set a chunksize for {n} points")
         return P.with_batches(rows, n, self.chunksize)
 
     def initial_radius(self, rows: DataFrame) -> float | DataFrame:
@@ -68,10 +74,7 @@ class ObserverModel:
         if self.radius:
             return float(self.radius)
         if self.radius_scope == "batch":
-            if self.distance_estimation == "adtm":
-                return radius_by_group(rows, "batch", self.sample_fraction, self.seed, self.beta)
-            found = [(b, estimate_radius(rows.where(F.col("batch") == b), "aid", self.sample_fraction, self.seed, self.beta, self.strict_compat)) for (b,) in rows.select("batch").distinct().collect()]  # one for each batch
-            return rows.sparkSession.createDataFrame(found, "batch int, radius double")
+            return radius_by_group(rows, "batch", self.sample_fraction, self.seed, self.beta, self.distance_estimation)
         return estimate_radius(rows, self.distance_estimation, self.sample_fraction, self.seed, self.beta, self.strict_compat)
 
     def fit(self, rows: DataFrame) -> FittedModel:
@@ -102,7 +105,7 @@ def limited(observers: DataFrame, rows: DataFrame, m: int, seed: int) -> DataFra
         return top_observers(observers, m)
     from pyspark.sql import Window
 
-    extra = rows.orderBy(order_key(seed, "id"), "id").limit(m - k)
+    extra = P.sample(rows, m - k, seed)
     number = F.row_number().over(Window.orderBy(order_key(seed, "id"), "id")) + F.lit(k - 1)
     padding = extra.select(F.lit(None).cast("int").alias("batch"), number.cast("int").alias("oid"), F.col("x").alias("o"), F.lit(None).cast("long").alias("population"), F.lit(None).cast("double").alias("radius"))
     return observers.unionByName(padding)
@@ -154,9 +157,9 @@ def load(spark: SparkSession, path: str) -> FittedModel:
 
 
 def flag_outliers(scored: DataFrame, contamination: float, score: str = "score") -> DataFrame:
-    """is_outlier: score > quantile(1 - contamination), interpolated; a one-row threshold is broadcast.
+    """is_outlier: score > quantile(1 - contamination), interpolated.
 
-    The exact quantile counts distinct scores; the scores are the only column that this second look reads."""
-    threshold: Column = F.percentile(score, F.lit(1.0 - contamination))
-    limit = scored.agg(threshold.alias("threshold"))
-    return scored.crossJoin(F.broadcast(limit)).withColumn("is_outlier", F.col(score) > F.col("threshold"))
+    The scores are written, as the threshold takes a few looks at them; no look scores the points again."""
+    scored = written(scored, "scores")
+    threshold = quantile(scored, score, 1.0 - contamination)
+    return scored.withColumn("threshold", F.lit(threshold).cast("double")).withColumn("is_outlier", F.col(score) > F.col("threshold"))

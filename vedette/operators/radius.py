@@ -7,13 +7,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vedette.functions.columns import distance, order_key
+from vedette.functions.columns import distance
 from vedette.operators.fold import _matrix
 from vedette.operators.knn import _blocks
-from vedette.operators.points import sample
+from vedette.operators.points import sample, shuffled
 from vedette.session import ship
 
 
@@ -44,7 +44,7 @@ def mean_pairwise(df: DataFrame) -> float:
         shared = df.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, refs = shared.value
+            ids, refs, _ = shared.value
             for batch in batches:
                 part = 0.0
                 for i, x in zip(batch.column(0).to_numpy(), _matrix(batch.column(1)), strict=True):
@@ -68,10 +68,31 @@ def estimate_radius(df: DataFrame, method: str, rho: float, seed: int, beta: flo
     return beta * (math.nan if value is None else value)
 
 
-def radius_by_group(df: DataFrame, group: str, rho: float, seed: int, beta: float = 1.0) -> DataFrame:
-    """(group, radius): `adtm` over each group's own sample, in one plan."""
-    w = Window.partitionBy(group)
-    rank = F.row_number().over(w.orderBy(order_key(seed, "id"), "id"))
-    chosen = df.withColumn("_n", F.count("*").over(w)).withColumn("_rank", rank).where(F.col("_rank") <= F.greatest(F.lit(1), F.floor(F.col("_n") * F.lit(float(rho))))).select(group, "id", "x")
-    centres = _centroid(chosen, [group])
-    return chosen.join(centres, group).groupBy(group).agg((F.lit(float(beta)) * F.avg(distance("x", "centre"))).alias("radius"))
+def _pairwise(x: np.ndarray) -> float:
+    """Mean distance of all pairs of rows; NaN for fewer than two."""
+    n, total = len(x), 0.0
+    for i in range(n - 1):
+        gap = x[i + 1 :] - x[i]
+        total += float(np.sqrt(np.einsum("ij,ij->i", gap, gap)).sum())
+    return total / (n * (n - 1) / 2) if n > 1 else math.nan
+
+
+def radius_by_group(df: DataFrame, group: str, rho: float, seed: int, beta: float = 1.0, method: str = "adtm") -> DataFrame:
+    """(group, radius): the estimate over each group's own sample, all groups in one plan.
+
+    For `aid` a group's sample is one task's work, as the group's fold is."""
+    least = 1 if method == "adtm" else 2
+    sizes = df.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("_n"))
+    ranked = shuffled(df.select(group, "id", "x"), seed, "id", "_rank", group).join(sizes, F.col(group).eqNullSafe(F.col("_g")))
+    chosen = ranked.where(F.col("_rank") < F.greatest(F.lit(least), F.floor(F.col("_n") * F.lit(float(rho))))).select(group, "id", "x")
+    if method == "adtm":
+        centres = _centroid(chosen, [group])
+        return chosen.join(centres, group).groupBy(group).agg((F.lit(float(beta)) * F.avg(distance("x", "centre"))).alias("radius"))
+    ship(df.sparkSession)
+    kind = df.schema[group].dataType.simpleString()
+
+    def run(table: pa.Table) -> pa.Table:
+        x = _matrix(table.column("x"))[np.argsort(table.column("id").to_numpy(), kind="stable")]
+        return pa.table({group: table.column(group).slice(0, 1), "radius": pa.array([beta * _pairwise(x)])})
+
+    return chosen.groupBy(group).applyInArrow(run, f"`{group}` {kind}, radius double")

@@ -20,7 +20,7 @@ from vedette.operators import points as P
 from vedette.operators.fold import _matrix
 from vedette.operators.knn import knn, reduce_distances
 from vedette.operators.model import flag_outliers
-from vedette.session import ship, written
+from vedette.session import scratch, ship, written
 
 
 def _weighted(df: DataFrame) -> DataFrame:
@@ -47,15 +47,20 @@ def lightweight_p(df: DataFrame) -> DataFrame:
 
 
 def kmeans_seeds(df: DataFrame, k: int, seed: int) -> DataFrame:
-    """(oid, o): k-means++ seeds. Each is drawn in one pass by the smallest -log(u) / weight (an exponential race), so
-    no running sum over all rows is needed."""
+    """(oid, o): k-means++ seeds of rows weighted by w (equal without). Each is drawn in one pass by the smallest
+    -log(u) / (w d2), d2 the squared distance to the seeds so far (an exponential race), so no running sum over all rows
+    is needed; the first by -log(u) / w. Rows of no weight are never drawn."""
+    df = _weighted(df).where("w > 0")
     u = uniform(seed, F.concat_ws("|", F.lit("seed0"), "id")) + F.lit(2.0**-53)
-    seeds = [df.orderBy(u, "id").select("x").first()[0]]
+    first = df.select((-F.log(u) / F.col("w")).alias("_e"), "id", "x").orderBy("_e", "id").first()
+    seeds = [first["x"]] if first else []
+    if not seeds:
+        return df.sparkSession.createDataFrame([], "oid long, o array<double>")
     for i in range(1, k):
         known = F.array(*(F.array(*(F.lit(v) for v in s)) for s in seeds))
         d2 = F.array_min(F.transform(known, lambda s: F.pow(distance("x", s), F.lit(2.0))))
         u = uniform(seed, F.concat_ws("|", F.lit(f"seed{i}"), "id")) + F.lit(2.0**-53)
-        race = df.withColumn("_d2", d2).where("_d2 > 0").withColumn("_e", -F.log(u) / F.col("_d2"))
+        race = df.withColumn("_d2", d2).where("_d2 > 0").withColumn("_e", -F.log(u) / (F.col("w") * F.col("_d2")))
         found = race.orderBy("_e", "id").select("x").first()
         if found is None:
             break
@@ -82,16 +87,14 @@ def sensitivity_p(df: DataFrame, seeds: DataFrame, alpha: float | None = None) -
 def draws(df: DataFrame, size: int, seed: int, p: str | None = "p") -> DataFrame:
     """`size` draws with replacement: (draw, id, x, p). With p None all rows are equally likely.
 
-    Rows stand on [0, 1) side by side; a row's place is the sum before its bucket of ids (at most P.BUCKETS sums) plus
-    the sum before it in the bucket. Draws find their bucket by binary search and their row by a join in the bucket."""
+    Rows stand on [0, 1) side by side; a row's place is the sum before its bucket of ids (P.ID_BUCKETS sums) plus the
+    sum before it in the bucket. Draws find their bucket by binary search and their row by a join in the bucket."""
     rows = df.select("id", "x", F.col(p).alias("p")) if p else df.crossJoin(F.broadcast(df.agg(F.count("*").alias("_n")))).select("id", "x", (1.0 / F.col("_n")).alias("p"))
-    low, high = rows.agg(F.min("id"), F.max("id")).first()
-    if low is None:
-        return df.sparkSession.createDataFrame([], "draw long, id long, x array<double>, p double")
-    step = max(1, (high - low) // P.BUCKETS + 1)
-    rows = rows.withColumn("b", F.floor((F.col("id") - F.lit(low)) / F.lit(step)).cast("int"))
-    sums = dict(rows.groupBy("b").agg(F.sum("p")).collect())  # P.BUCKETS rows at most
+    rows = P.quantile_buckets(rows, "id", "b")
+    sums = dict(rows.groupBy("b").agg(F.sum("p")).collect())  # P.ID_BUCKETS rows
     keys = sorted(sums)
+    if not keys:
+        return df.sparkSession.createDataFrame([], "draw long, id long, x array<double>, p double")
     edges = np.concatenate([[0.0], np.cumsum([sums[b] for b in keys])])
     edges[-1] = np.inf
     spark = df.sparkSession
@@ -395,35 +398,49 @@ def neural_gas(x: np.ndarray, max_nodes: int, seed: int, epochs: int = 40, step:
     return nodes
 
 
-def neural_gas_nodes(df: DataFrame, max_nodes: int, seed: int, group: str | None = None, epochs: int = 40) -> DataFrame:
-    """(group, oid, o). The algorithm is sequential, so each group is one task's work; give groups to run in parallel."""
+def neural_gas_nodes(df: DataFrame, max_nodes: int | str, seed: int, group: str | None = None, epochs: int = 40) -> DataFrame:
+    """(grp, oid, o); max_nodes may name a column that tells each group's. The algorithm is sequential, so each group is
+    one task's work; give groups to run in parallel."""
     ship(df.sparkSession)
-    rows = df.select((F.col(group) if group else F.lit(0) * F.col("id").cast("int")).cast("int").alias("grp"), "id", "x")
+    most = F.col(max_nodes) if isinstance(max_nodes, str) else F.lit(max_nodes)
+    rows = df.select((F.col(group) if group else F.lit(0) * F.col("id").cast("int")).cast("int").alias("grp"), "id", "x", most.cast("long").alias("most"))
 
     def run(table: pa.Table) -> pa.Table:
         x = _matrix(table.column("x"))[np.argsort(table.column("id").to_numpy(), kind="stable")]
-        nodes = neural_gas(x, max_nodes, seed, epochs)
+        nodes = neural_gas(x, max(2, table.column("most")[0].as_py()), seed, epochs)
         return pa.table({"grp": pa.array([table.column("grp")[0].as_py()] * len(nodes), pa.int32()), "oid": pa.array(np.arange(len(nodes))), "o": pa.array([n.tolist() for n in nodes], pa.list_(pa.float64()))})
 
     return rows.groupBy("grp").applyInArrow(run, "grp int, oid long, o array<double>")
 
 
-def condensed(df: DataFrame, label: str, seed: int, per_round: int = 200, rounds: int = 100) -> DataFrame:
-    """Rows of a condensed set: 1-NN among them labels all rows right (or `rounds` are over).
-
-    Starts with the first row of each label in seeded order; each round adds the first `per_round` rows that are still
-    labelled wrong. Duplicate points with different labels never come right, hence the end after no progress."""
-    rows = df.select("id", "x", F.col(label).alias("label")).withColumn("_key", order_key(seed, "id"))
-    first = rows.groupBy("label").agg(F.min(F.struct("_key", "id")).alias("m")).select("m.id")
-    chosen = {r[0] for r in first.collect()}  # a row for each label
-    for _ in range(rounds):
-        ids = df.sparkSession.createDataFrame([(i,) for i in sorted(chosen)], "id long")
-        store = rows.join(ids, "id")
-        wrong = knn(rows, store.select(F.col("id").alias("oid"), F.col("x").alias("o")), 1).withColumn("oid", F.element_at("nn", 1)["oid"]).drop("nn")
-        wrong = wrong.join(store.select(F.col("id").alias("oid"), F.col("label").alias("got")), "oid").where("label <> got")
-        new = {r[0] for r in wrong.orderBy("_key", "id").select("id").limit(per_round).collect()} - chosen
-        if not new:
-            break
-        chosen |= new
-    ids = df.sparkSession.createDataFrame([(i,) for i in sorted(chosen)], "id long")
-    return rows.drop("_key").join(ids, "id")
+def condensed(df: DataFrame, label: str, seed: int, per_round: int = 200) -> DataFrame:
+    """Rows of a condensed set: 1-NN among them labels every row right, but for rows that lie where one of another label
+    does (the lowest id there decides).
+
+    Starts with the first row of each label in seeded order; each round adds the first rows, in that order, that are
+    still labelled wrong: `per_round`, or as many as the set has where that is more, so there are few rounds whatever
+    the size. A round looks at its new rows only: the table carries each row's nearest so far."""
+    spark = df.sparkSession
+    rows = df.select("id", "x", F.col(label).alias("label"))
+    key = order_key(seed, "id")
+    with scratch(spark) as last:
+        first = rows.groupBy("label").agg(F.min(F.struct(key.alias("k"), "id")).alias("m")).select(F.col("m.id").alias("id"))  # a row for each label
+        new = written(rows.join(first, "id", "left_semi"), "condensed-new")
+        size = new.count()
+        if not size:
+            return rows.where("false")
+        state = rows.withColumns({"d": F.lit(math.inf), "near": F.lit(None).cast("long"), "got": F.lit(None).cast(df.schema[label].dataType), "chosen": F.lit(False)})
+        while True:
+            with scratch(spark) as keep:
+                found = knn(state, new.select(F.col("id").alias("oid"), F.col("x").alias("o")), 1).withColumn("e", F.element_at("nn", 1)).drop("nn")
+                found = found.join(new.select(F.col("id").alias("_oid"), F.col("label").alias("_label")), F.col("e.oid") == F.col("_oid"))
+                closer = (F.col("e.d") < F.col("d")) | ((F.col("e.d") == F.col("d")) & (F.col("e.oid") < F.coalesce("near", F.col("e.oid") + 1)))
+                state = keep(written(found.select("id", "x", "label", F.least("d", "e.d").alias("d"), F.when(closer, F.col("e.oid")).otherwise(F.col("near")).alias("near"),
+                    F.when(closer, F.col("_label")).otherwise(F.col("got")).alias("got"), (F.col("chosen") | ((F.col("e.d") == 0) & (F.col("e.oid") == F.col("id")))).alias("chosen")), "condensed"))
+                wrong = state.where("not label <=> got and not chosen and d > 0")  # where d is 0 the set has that point already
+                new = keep(written(P.sample(wrong, max(per_round, size), seed).select("id", "x", "label"), "condensed-new"))
+            added = new.count()
+            size += added
+            if not added:
+                last(state)
+                return state.where("chosen").select("id", "x", "label")

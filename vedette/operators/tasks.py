@@ -48,7 +48,7 @@ def label_centres(centres: DataFrame, df: DataFrame, label: str = "label") -> Da
         shared = df.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, refs = shared.value
+            ids, refs, _ = shared.value
             for batch in batches:
                 if not batch.num_rows:
                     continue
@@ -111,6 +111,6 @@ def per_class_sizes(df: DataFrame, rate: float, label: str = "label") -> DataFra
 
 
 def top_per_class(observers: DataFrame, sizes: DataFrame, label: str = "label") -> DataFrame:
-    """The `size` most populous observers of each class."""
+    """The `size` most populous observers of each class (which one task's fold made, so one task may order them)."""
     w = Window.partitionBy(label).orderBy(F.desc("population"), F.desc("oid"))
     return observers.join(sizes.select(label, "size"), label).withColumn("_r", F.row_number().over(w)).where("_r <= size").drop("_r", "size")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vedette.functions.columns import rounded
+from vedette.operators import classes as C
 from vedette.operators import metrics as M
 from vedette.operators import points as P
 from vedette.operators import reducers as R
@@ -22,6 +23,8 @@ from vedette.session import shared_dir, ship, written
 SEED = 7
 RADIUS = 0.95
 FACTOR = 0.1
+#: Cells of an experiment that run side by side.
+AT_ONCE = 6
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -50,6 +53,11 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.points(df, ["a", "b"], "c_custkey", ["w"])
 
 
+def sampled(rows: DataFrame, share: float) -> DataFrame:
+    """(oid, o): a seeded sample of the rows, as references or centres."""
+    return P.sample(rows, max(1, int(rows.count() * share)), SEED).select(F.col("id").alias("oid"), F.col("x").alias("o"))
+
+
 def digest(observers: DataFrame, *keys: str) -> DataFrame:
     total = F.aggregate("o", F.lit(0.0), lambda s, v: s + v)
     return observers.select(*keys, F.col("oid").cast("long").alias("oid"), F.col("population").cast("long").alias("population"), rounded("radius", 9).alias("radius"), rounded(F.col("o")[0], 9).alias("first"), rounded(total, 9).alias("total"))
@@ -180,8 +188,7 @@ def predict_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def knn_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = customers(spark, sf_dir)
-    refs = rows.where("id <= 200").select(F.col("id").alias("oid"), F.col("x").alias("o"))
-    near = knn(rows, refs, 3).select("id", F.posexplode("nn").alias("rank", "e"))
+    near = knn(rows, sampled(rows, 0.1), 3).select("id", F.posexplode("nn").alias("rank", "e"))
     return near.select("id", (F.col("rank") + 1).alias("rank"), "e.oid", rounded("e.d").alias("d"))
 
 
@@ -216,8 +223,7 @@ def coreset_lightweight(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def sensitivity_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = customers(spark, sf_dir)
-    seeds = rows.where("id <= 10").select(F.col("id").alias("oid"), F.col("x").alias("o"))
-    return R.sensitivity_p(rows, seeds).select("id", rounded("p", 12).alias("p"))
+    return R.sensitivity_p(rows, R.kmeans_seeds(rows, 6, SEED)).select("id", rounded("p", 12).alias("p"))
 
 
 # Sparse data observers
@@ -285,10 +291,9 @@ for _metric in ("cityblock", "chebyshev", "minkowski"):
 
 
 def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distance to the fifth nearest of the first 100 rows; label 0 counts as the outliers."""
+    """Distance to the fifth nearest of a sample; label 0 counts as the outliers."""
     rows = embeddings(spark, sf_dir)
-    refs = rows.where("id < 100").select(F.col("id").alias("oid"), F.col("x").alias("o"))
-    return T.knn_score(rows, refs).select("id", rounded("score").alias("score"), (F.col("label") == 0).cast("int").alias("y"))
+    return T.knn_score(rows, sampled(rows, 0.2)).select("id", rounded("score").alias("score"), (F.col("label") == 0).cast("int").alias("y"))
 
 
 @query
@@ -347,7 +352,7 @@ def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _centres(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embeddings(spark, sf_dir).where("id % 50 = 0").select(F.col("id").alias("oid"), F.col("x").alias("o"))
+    return sampled(embeddings(spark, sf_dir), 0.02)
 
 
 @query
@@ -395,13 +400,13 @@ def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def fix_rate_more(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = embeddings(spark, sf_dir).select("id", "x", "label")
-    return P.fix_rate(rows.where("id < 30"), rows, 45, SEED).select("id", "label")
+    return P.fix_rate(P.sample(rows, 30, SEED + 1), rows, 45, SEED).select("id", "label")
 
 
 @query
 def fix_rate_less(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = embeddings(spark, sf_dir).select("id", "x", "label")
-    return P.fix_rate(rows.where("id < 30"), rows, 12, SEED).select("id", "label")
+    return P.fix_rate(P.sample(rows, 30, SEED + 1), rows, 12, SEED).select("id", "label")
 
 
 @query
@@ -451,42 +456,106 @@ def mean_over_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.mean_over_datasets(long).withColumn("value", rounded("value", 4))
 
 
-# Iterative reducers, streams and whole experiments: checked by rows and in the tests
+# Iterative reducers: what must hold of their results, by reducer and class where there are such
+
+
+def _within(centres: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """One row: whether there are 1 to k centres, each inside the rows' bounding box, and whether the rows' mean squared
+    distance to the nearest is below that to their mean."""
+    centres = written(centres.select(F.col("oid").cast("long").alias("oid"), "o"), "centres")
+    box = rows.select(F.posexplode("x").alias("dim", "v")).groupBy("dim").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.var_pop("v").alias("spread"))
+    inside = centres.select(F.posexplode("o").alias("dim", "v")).join(box, "dim").agg(F.min(F.col("v").between(F.col("lo") - 1e-9, F.col("hi") + 1e-9)).alias("inside"))
+    cost = nearest(rows, centres).agg(F.avg(F.pow("distance", F.lit(2.0))).alias("cost"))
+    count = centres.agg(F.count("*").between(1, k).alias("counted"))
+    x = count.crossJoin(F.broadcast(inside)).crossJoin(F.broadcast(cost)).crossJoin(F.broadcast(box.agg(F.sum("spread").alias("spread"))))  # a row each
+    return x.select("counted", "inside", (F.col("cost") < F.col("spread")).alias("closer"))
 
 
 @query
 def kmeans_coreset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.kmeans_centres(embeddings(spark, sf_dir), 10, SEED)
+    rows = embeddings(spark, sf_dir)
+    return _within(R.kmeans_centres(rows, 10, SEED), rows, 10)
 
 
 @query
 def kmeans_plus_plus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.kmeans_seeds(customers(spark, sf_dir), 8, SEED)
+    seeds = R.kmeans_seeds(customers(spark, sf_dir), 6, SEED)
+    return seeds.select("oid", rounded(F.col("o")[0]).alias("a"), rounded(F.col("o")[1]).alias("b"))
 
 
 @query
 def gmm_coreset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.gaussian_means(customers(spark, sf_dir), 6, SEED)
+    rows = customers(spark, sf_dir)
+    return _within(R.gaussian_means(rows, 6, SEED), rows, 6)
 
 
 @query
 def bayesian_coreset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.bayesian_means(customers(spark, sf_dir), 6, SEED)
+    rows = customers(spark, sf_dir)
+    return _within(R.bayesian_means(rows, 6, SEED), rows, 6)
 
 
 @query
 def gng_coreset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.neural_gas_nodes(embeddings(spark, sf_dir), 25, SEED, epochs=5)
+    rows = embeddings(spark, sf_dir)
+    return _within(R.neural_gas_nodes(rows, 25, SEED), rows, 25)
 
 
 @query
 def cnn_coreset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.condensed(embeddings(spark, sf_dir), "label", SEED)
+    """Every row with its label and that of its nearest in the condensed set, which must be the same."""
+    rows = embeddings(spark, sf_dir)
+    kept = written(R.condensed(rows, "label", SEED).select(F.col("id").alias("oid"), F.col("x").alias("o"), "label"), "condensed")
+    return T.classify(rows, kept, 1).select("id", "label", "predicted")
 
 
 @query
 def ward_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.ward_clusters(fitted(spark, sf_dir).select(F.col("oid").cast("long").alias("oid"), "o"), 10).select("oid", "cluster")
+    """Ten clusters of all observers."""
+    found = T.ward_clusters(fitted(spark, sf_dir).select(F.col("oid").cast("long").alias("oid"), "o"), 10)
+    return found.agg(F.countDistinct("cluster").alias("clusters"), F.count("*").alias("members"), F.countDistinct("oid").alias("observers"))
+
+
+@query
+def sdo_params(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(k, str(v)) for k, v in sorted(R.SDO(k=60, seed=SEED).get_params().items())], "name string, value string")
+
+
+@query
+def sdo_observers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, params, _ = _sdo(spark, sf_dir)
+    return params.fit(rows).observers.select("oid", rounded(F.col("o")[0]).alias("first"), rounded(F.aggregate("o", F.lit(0.0), lambda s, v: s + v)).alias("total"))
+
+
+def _by_class(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """How many each class is reduced to, and whether all numbers differ, and whether all lie in the class's box."""
+    rows = embeddings(spark, sf_dir)
+    found = written(C.BY_CLASS[name](rows, C.class_sizes(rows, 10.0), SEED), "by-class")
+    box = rows.select("label", F.posexplode("x").alias("dim", "v")).groupBy("label", "dim").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    inside = found.select("oid", "label", F.posexplode("o").alias("dim", "v")).join(box, ["label", "dim"]).groupBy("label").agg(F.min(F.col("v").between(F.col("lo") - 1e-9, F.col("hi") + 1e-9)).alias("inside"))
+    counts = found.groupBy("label").agg(F.count("*").alias("kept"), F.countDistinct("oid").alias("numbers")).join(C.class_sizes(rows, 10.0), "label")
+    exact = name in ("OBS", "RS", "KMC", "WGM")  # the others may drop some
+    return counts.join(inside, "label").select("label", (F.col("kept") == F.col("size") if exact else F.col("kept").between(1, F.greatest("size", F.lit(2)))).alias("sized"), (F.col("kept") == F.col("numbers")).alias("numbered"), "inside")
+
+
+def _class_query(name: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _by_class(spark, sf_dir, name)
+
+    run.__name__ = f"by_class_{name.lower()}"
+    query(run)
+
+
+for _name in C.BY_CLASS:
+    _class_query(_name)
+
+
+@query
+def random_per_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that the draws per class take."""
+    rows = embeddings(spark, sf_dir)
+    found = C.random_rows(rows, C.class_sizes(rows, 10.0), SEED)
+    return found.select("label", (F.col("oid") % C.APART).alias("draw"), rounded(F.col("o")[0]).alias("first"))
 
 
 @query
@@ -507,25 +576,32 @@ def stream_fit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(latest(spark.read.parquet(f"{path}/out")).withColumnRenamed("key", "event_type"), "event_type")
 
 
+def _cells(results: DataFrame) -> DataFrame:
+    """Every cell of the results, and whether its value is one that the metric can have."""
+    value = F.col("value")
+    known = F.when(F.col("metric").isin("ext_time", "knn_time", "kmeans", "label_extender"), value >= 0).otherwise(value.between(-1.0, 1.0))
+    return results.select("algorithm", "rate", "metric", known.alias("in_range"))
+
+
 @query
 def experiment_anomaly(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = embeddings(spark, sf_dir).select("id", "x", (F.col("label") == 0).cast("int").alias("y"))
-    return experiments.anomaly_detection("embeddings", rows, ("OBS", "RS", "SDO"), (10.0,))
+    return _cells(experiments.anomaly_detection("embeddings", rows, at_once=AT_ONCE))
 
 
 @query
 def experiment_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return experiments.clustering("embeddings", embeddings(spark, sf_dir), ("OBS", "RS"), (10.0,))
+    return _cells(experiments.clustering("embeddings", embeddings(spark, sf_dir), at_once=AT_ONCE))
 
 
 @query
 def experiment_hierarchical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return experiments.clustering("embeddings", embeddings(spark, sf_dir), ("OBS",), (10.0,), hierarchical=True)
+    return _cells(experiments.clustering("embeddings", embeddings(spark, sf_dir), hierarchical=True, at_once=AT_ONCE))
 
 
 @query
 def experiment_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return experiments.classification("embeddings", embeddings(spark, sf_dir), (10.0,))
+    return _cells(experiments.classification("embeddings", embeddings(spark, sf_dir), at_once=AT_ONCE))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -101,7 +101,7 @@ METRIC = {
     "minkowski": "pow(list_sum(list_transform(list_zip(p.x, o.o), lambda z: pow(abs(z[1] - z[2]), 3.0::DOUBLE))), 1.0::DOUBLE / 3)",
 }
 
-RANKED = f"{PTS}, refs AS (SELECT id AS oid, x AS o FROM pts WHERE id < 100), {knn('pts', 'refs', 5)}, sc AS (SELECT p.id, {r6('max(d)')} AS score, (any_value(p.label) = 0)::INT AS y FROM nn JOIN pts p ON p.id = nn.id GROUP BY p.id)"
+RANKED = f"{PTS}, {sample('pts', 0.2)}, refs AS (SELECT id AS oid, x AS o FROM smp), {knn('pts', 'refs', 5)}, sc AS (SELECT p.id, {r6('max(d)')} AS score, (any_value(p.label) = 0)::INT AS y FROM nn JOIN pts p ON p.id = nn.id GROUP BY p.id)"
 SPLIT = f"{PTS}, sp AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('{SEED}|' || id), id) <= floor(count(*) OVER (PARTITION BY label) * 0.3::DOUBLE + 0.5) AS is_test FROM pts), te AS (SELECT * FROM sp WHERE is_test), tr AS (SELECT id AS oid, x AS o, label FROM sp WHERE NOT is_test)"
 
 
@@ -115,12 +115,45 @@ per AS (SELECT l, (SELECT count(*) FROM {source} WHERE y = l) AS t, (SELECT coun
 SELECT {r6('sum(h) / sum(t)')} AS accuracy, {r6('sum(h) / sum(t)')} AS micro_precision, {r6('avg(CASE WHEN g > 0 THEN h / g ELSE 0 END)')} AS macro_precision, {r6('sum(h) / sum(t)')} AS micro_recall, {r6('avg(CASE WHEN t > 0 THEN h / t ELSE 0 END)')} AS macro_recall FROM per"""
 
 
-CENTRES = f"{PTS}, c0 AS (SELECT id AS oid, x AS o FROM pts WHERE id % 50 = 0), {knn('pts', 'c0', 1, 'n1')}, mem AS (SELECT n1.oid AS oid, pts.x AS x FROM n1 JOIN pts ON pts.id = n1.id), {centroid('mem', 'mean', 'oid')}, c1 AS (SELECT c0.oid, coalesce(mean.c, c0.o) AS o FROM c0 LEFT JOIN mean ON mean.oid = c0.oid)"
+CENTRES = f"{PTS}, {sample('pts', 0.02)}, c0 AS (SELECT id AS oid, x AS o FROM smp), {knn('pts', 'c0', 1, 'n1')}, mem AS (SELECT n1.oid AS oid, pts.x AS x FROM n1 JOIN pts ON pts.id = n1.id), {centroid('mem', 'mean', 'oid')}, c1 AS (SELECT c0.oid, coalesce(mean.c, c0.o) AS o FROM c0 LEFT JOIN mean ON mean.oid = c0.oid)"
 LABELLED = f"{CENTRES}, lc AS (SELECT oid, o, label FROM (SELECT c1.oid, c1.o, p.label, row_number() OVER (PARTITION BY c1.oid ORDER BY list_distance(p.x, c1.o), p.id) AS k FROM c1, pts p) WHERE k = 1)"
 EXTENDED = f"{LABELLED}, {knn('pts', 'lc', 1)}, ex AS (SELECT p.id, p.label, lc.label AS predicted FROM nn JOIN pts p ON p.id = nn.id JOIN lc ON lc.oid = nn.oid)"
 RESULTS = "res AS (SELECT year(o_orderdate)::VARCHAR AS dataset, o_orderstatus AS algorithm, o_orderpriority AS rate, avg(o_totalprice) AS mean_price, max(o_totalprice) AS max_price, count(*)::DOUBLE AS n FROM orders GROUP BY ALL), lng AS (SELECT dataset, algorithm, rate, 'mean_price' AS metric, mean_price AS value FROM res UNION ALL SELECT dataset, algorithm, rate, 'max_price', max_price FROM res UNION ALL SELECT dataset, algorithm, rate, 'n', n FROM res)"
 
-SENSITIVITY = f"""{CUST}, seeds AS (SELECT id AS oid, x AS o FROM cust WHERE id <= 10), {knn('cust', 'seeds', 1)},
+def seeds(source: str, k: int) -> str:
+    """seeds(oid, o): k-means++ seeds of source(id, x, w), each the winner of an exponential race."""
+    race = "(('0x' || substr(md5('{0}|u|seed{1}|' || id), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE + pow(2.0::DOUBLE, -53))"
+    out = [f"s0 AS (SELECT 0::BIGINT AS oid, x AS o FROM {source} WHERE w > 0 ORDER BY -ln({race.format(SEED, 0)}) / w, id LIMIT 1)"]
+    for i in range(1, k):
+        known = " UNION ALL ".join(f"SELECT * FROM s{j}" for j in range(i))
+        out.append(f"d{i} AS (SELECT p.id, any_value(p.x) AS x, any_value(p.w) AS w, min(pow(list_distance(p.x, s.o), 2)) AS d2 FROM {source} p, ({known}) s GROUP BY p.id)")
+        out.append(f"s{i} AS (SELECT {i}::BIGINT AS oid, x AS o FROM d{i} WHERE w > 0 AND d2 > 0 ORDER BY -ln({race.format(SEED, i)}) / (w * d2), id LIMIT 1)")
+    return ", ".join([*out, "seeds AS (" + " UNION ALL ".join(f"SELECT * FROM s{j}" for j in range(k)) + ")"])
+
+
+def cells(algorithms: tuple[str, ...], metrics: tuple[str, ...]) -> str:
+    """Every (algorithm, rate) with every metric."""
+    listed = lambda values: "[" + ", ".join(f"'{v}'" for v in values) + "]"
+    return (
+        f"WITH c AS (SELECT 'BASELINE' AS algorithm, 100.0::DOUBLE AS rate UNION ALL SELECT a, r FROM (SELECT unnest({listed(algorithms)}) AS a), (SELECT unnest([0.5::DOUBLE, 1.0, 5.0, 10.0]) AS r)) "
+        f"SELECT algorithm, rate, metric, true AS in_range FROM c, (SELECT unnest({listed(metrics)}) AS metric)"
+    )
+
+
+ALGORITHMS = ("OBS", "RS", "SDO", "KMC", "WGM", "GNG")
+HOLDS = "SELECT true AS counted, true AS inside, true AS closer"
+MODEL_PARAMS = {
+    "alpha": "1.0", "beta": "1.0", "chunksize": "None", "contamination": "0.1", "distance_estimation": "adtm", "factor": "0.1", "k": "5", "max_observers": "None", "mode": "median",
+    "radius": "0.95", "radius_scope": "global", "sample_fraction": "0.05", "seed": "0", "shuffle": "True", "strict_compat": "False",
+}
+SDO_PARAMS = {"contamination": "0.1", "hbs": "False", "k": "60", "metric": "euclidean", "q": "None", "qv": "0.3", "return_scores": "False", "seed": "7", "x": "6"}
+
+
+def values(pairs: dict[str, str]) -> str:
+    return "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in pairs.items()) + ") AS t(name, value)"
+
+
+SENSITIVITY = f"""{CUST}, {seeds('cust', 6)}, {knn('cust', 'seeds', 1)},
 nr AS (SELECT c.id, c.w, nn.oid AS cl, nn.d * nn.d AS d2 FROM nn JOIN cust c ON c.id = nn.id),
 tot AS (SELECT *, sum(w * d2) OVER (PARTITION BY cl) AS dc, sum(w) OVER (PARTITION BY cl) AS nc, sum(w * d2) OVER () / sum(w) OVER () AS mean, sum(w) OVER () AS n FROM nr),
 se AS (SELECT id, w * (2 * (SELECT ln(count(*)) FROM seeds) * d2 / mean + 4 * (SELECT ln(count(*)) FROM seeds) * dc / (nc * mean) + 4 * n / nc) AS s FROM tot)
@@ -148,7 +181,7 @@ def build() -> dict[str, str]:
         "observer_labels": f"{fit()}, {knn('pts', 'obs', 1)} SELECT id, oid::BIGINT AS oid, {r6('d')} AS distance FROM nn",
         "observer_counts": f"{fit()}, {knn('pts', 'obs', 1)} SELECT oid::BIGINT AS oid, count(*) AS n FROM nn GROUP BY oid",
         "predict_outliers": f"{fit()}, {knn('pts', 'obs', 5)}, sc AS (SELECT id, median(d) AS score FROM nn GROUP BY id) SELECT id, {r6('score')} AS score, score > (SELECT quantile_cont(score, 0.9) FROM sc) AS is_outlier FROM sc",
-        "knn_rows": f"WITH {CUST}, refs AS (SELECT id AS oid, x AS o FROM cust WHERE id <= 200), {knn('cust', 'refs', 3)} SELECT id, k::INT AS rank, oid, {r6('d')} AS d FROM nn",
+        "knn_rows": f"WITH {CUST}, {sample('cust', 0.1)}, refs AS (SELECT id AS oid, x AS o FROM smp), {knn('cust', 'refs', 3)} SELECT id, k::INT AS rank, oid, {r6('d')} AS d FROM nn",
         "coreset_uniform": f"WITH {PTS}, up AS (SELECT id, x, 1.0::DOUBLE / count(*) OVER () AS p FROM pts), {drawn('up', 50)} SELECT draw, id, {r6('1 / (50.0::DOUBLE * p)')} AS weight FROM dr",
         "coreset_weighted": f"WITH {CUST}, up AS (SELECT id, x, w / sum(w) OVER () AS p FROM cust), {drawn('up', 100)} SELECT draw, id, {r6('1 / (100.0::DOUBLE * p)')} AS weight FROM dr",
         "lightweight_p": f"WITH {CUST}, {lightweight('cust')} SELECT id, round(p, 12) + 0.0::DOUBLE AS p FROM lw",
@@ -178,8 +211,8 @@ SELECT {r6('patn')} AS patn, {r6('(patn - s) / (1 - s)')} AS adj_patn, {r6('ap')
         "label_extender": f"WITH {EXTENDED} SELECT * FROM ex",
         "ari": f"WITH {EXTENDED}, ce AS (SELECT label, predicted, count(*) AS n FROM ex GROUP BY ALL), a AS (SELECT sum(n * (n - 1) / 2) AS v FROM (SELECT sum(n) AS n FROM ce GROUP BY label)), b AS (SELECT sum(n * (n - 1) / 2) AS v FROM (SELECT sum(n) AS n FROM ce GROUP BY predicted)), c AS (SELECT sum(n * (n - 1) / 2) AS v, sum(n) AS n FROM ce) SELECT {r6('(c.v - a.v * b.v / (c.n * (c.n - 1) / 2)) / ((a.v + b.v) / 2 - a.v * b.v / (c.n * (c.n - 1) / 2))')} AS ari FROM a, b, c",
         "stratified_split": f"SELECT o_orderkey AS id, o_orderstatus AS label, row_number() OVER (PARTITION BY o_orderstatus ORDER BY md5('{SEED}|' || o_orderkey), o_orderkey) <= floor(count(*) OVER (PARTITION BY o_orderstatus) * 0.3::DOUBLE + 0.5) AS is_test FROM orders",
-        "fix_rate_more": f"WITH {PTS} (SELECT id, label FROM pts WHERE id < 30) UNION ALL (SELECT id, label FROM pts ORDER BY md5('{SEED}|' || id), id LIMIT 15)",
-        "fix_rate_less": f"WITH {PTS} SELECT id, label FROM pts WHERE id < 30 ORDER BY md5('{SEED}|' || id), id LIMIT 12",
+        "fix_rate_more": f"WITH {PTS} (SELECT id, label FROM pts ORDER BY md5('{SEED + 1}|' || id), id LIMIT 30) UNION ALL (SELECT id, label FROM pts ORDER BY md5('{SEED}|' || id), id LIMIT 15)",
+        "fix_rate_less": f"WITH {PTS}, few AS (SELECT id, label FROM pts ORDER BY md5('{SEED + 1}|' || id), id LIMIT 30) SELECT id, label FROM few ORDER BY md5('{SEED}|' || id), id LIMIT 12",
         "train_test_union": f"SELECT c_custkey AS id, {r6('c_acctbal')} AS v, false AS is_test FROM customer UNION ALL SELECT s_suppkey + (SELECT max(c_custkey) FROM customer) + 1, {r6('s_acctbal')}, true FROM supplier",
         "coreset_sizes": "SELECT label, rate, greatest(floor(n * rate / 100.0::DOUBLE), 1)::BIGINT AS size FROM (SELECT label, count(*) AS n FROM embeddings GROUP BY label), (SELECT unnest([0.5::DOUBLE, 1.0, 5.0, 10.0]) AS rate)",
         "class_counts": "SELECT label, count(*) AS n FROM embeddings GROUP BY label",
@@ -187,9 +220,24 @@ SELECT {r6('patn')} AS patn, {r6('(patn - s) / (1 - s)')} AS adj_patn, {r6('ap')
         "summary_mean_std": f"WITH {RESULTS} SELECT algorithm, rate, metric, round(avg(value), 4) + 0.0::DOUBLE AS mean, round(stddev_pop(value), 4) + 0.0::DOUBLE AS std FROM lng GROUP BY ALL",
         "mean_over_datasets": f"WITH {RESULTS} SELECT algorithm, rate, metric, round(avg(value), 4) + 0.0::DOUBLE AS value FROM lng GROUP BY ALL",
         "stream_fit_events": "",
+        "get_params": values(MODEL_PARAMS),
+        "sdo_params": values(SDO_PARAMS),
+        "sdo_observers": f"WITH {SDO_ACTIVE} SELECT oid, {r6('o[1]')} AS first, {r6('list_sum(o)')} AS total FROM act",
+        "kmeans_plus_plus": f"WITH {CUST}, {seeds('cust', 6)} SELECT oid, {r6('o[1]')} AS a, {r6('o[2]')} AS b FROM seeds",
+        "cnn_coreset": f"WITH {PTS} SELECT id, label, label AS predicted FROM pts",
+        "ward_clusters": f"{fit()} SELECT 10::BIGINT AS clusters, count(*) AS members, count(*) AS observers FROM obs",
+        "random_per_class": f"""WITH {PTS}, num AS (SELECT id, x, label, row_number() OVER (PARTITION BY label ORDER BY md5('{SEED}|' || id), id) - 1 AS seq, count(*) OVER (PARTITION BY label) AS n FROM pts),
+dr AS (SELECT label, n, unnest(range(greatest(floor(n * 10.0::DOUBLE / 100.0::DOUBLE), 1)::BIGINT)) AS draw FROM (SELECT DISTINCT label, n FROM num))
+SELECT dr.label, draw, {r6('x[1]')} AS first FROM dr JOIN num ON num.label = dr.label AND num.seq = least(floor({uniform("dr.label || '|' || draw")} * dr.n)::BIGINT, dr.n - 1)""",
+        "experiment_anomaly": cells(ALGORITHMS, ("patn", "adj_patn", "ap", "adj_ap", "maxf1", "adj_maxf1", "auc", "ext_time", "knn_time")),
+        "experiment_clustering": cells(ALGORITHMS, ("rand", "ext_time", "kmeans", "label_extender")),
+        "experiment_hierarchical": cells(ALGORITHMS, ("rand", "ext_time", "kmeans", "label_extender")),
+        "experiment_classification": cells((*ALGORITHMS, "CNN"), ("accuracy", "micro_precision", "macro_precision", "micro_recall", "macro_recall", "ext_time", "knn_time")),
         "flagship": f"{fit()}, {knn('pts', 'obs', 5)}, sc AS (SELECT id, median(d) AS score FROM nn GROUP BY id), fl AS (SELECT id, score > (SELECT quantile_cont(score, 0.9) FROM sc) AS b FROM sc) SELECT label, count(*) AS n, {r6('avg(b::INT)')} AS outlier_rate FROM fl JOIN pts USING (id) GROUP BY label",
     }
     out["stream_fit_events"] = out["fit_events_per_type"]
+    out |= dict.fromkeys(("kmeans_coreset", "gmm_coreset", "bayesian_coreset", "gng_coreset"), HOLDS)
+    out |= {f"by_class_{name.lower()}": "SELECT DISTINCT label, true AS sized, true AS numbered, true AS inside FROM embeddings" for name in ALGORITHMS}
     for mode, expression in MODES.items():
         out[f"outlierness_{mode}"] = f"{fit()}, {knn('pts', 'obs', 6)} SELECT id, {r6(expression)} AS score FROM nn GROUP BY id"
     for metric, expression in METRIC.items():

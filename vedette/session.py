@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import threading
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _PACKAGE = Path(__file__).resolve().parent
 _SHIPPED: set[str] = set()
-_WRITTEN: dict[str, list[str]] = {}
+_WRITTEN: dict[tuple[str, int], list[str]] = {}  # by application and thread
 
 
 def local_session(cpus: int = 8, shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -68,8 +69,20 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-#: Spark's setting that removes a query's shuffle files when it has ended.
+#: Spark's setting that removes a query's shuffle files when it has ended. It is the session's, so it stays as it is
+#: while several threads use the session: another one's iterator may still read its files.
 _TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_SIDE_BY_SIDE: list[int] = []
+
+
+@contextmanager
+def side_by_side() -> Iterator[None]:
+    """Around code in which several threads use one session."""
+    _SIDE_BY_SIDE.append(1)
+    try:
+        yield
+    finally:
+        _SIDE_BY_SIDE.pop()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -78,20 +91,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(_TIDY, None)
-    spark.conf.set(_TIDY, "true")
+    if not _SIDE_BY_SIDE:
+        spark.conf.set(_TIDY, "true")
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        if before is None:
-            spark.conf.unset(_TIDY)
-        else:
-            spark.conf.set(_TIDY, before)
-    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+        if not _SIDE_BY_SIDE:
+            spark.conf.set(_TIDY, before) if before is not None else spark.conf.unset(_TIDY)
+    _mine(spark).append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.__dict__["_written"] = path
     return out
 
 
+def _mine(spark: SparkSession) -> list[str]:
+    """What this thread has written."""
+    return _WRITTEN.setdefault((spark.sparkContext.applicationId, threading.get_ident()), [])
+
+
 def _delete(spark: SparkSession, paths: list[str]) -> None:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for path in paths:
@@ -102,16 +119,17 @@ def _delete(spark: SparkSession, paths: list[str]) -> None:
 def discard(spark: SparkSession) -> int:
     """Delete the tables that this application has written() so far; call it when no result that was built on them is
     needed any more. Returns how many there were."""
-    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    app = spark.sparkContext.applicationId
+    paths = [p for key in [k for k in _WRITTEN if k[0] == app] for p in _WRITTEN.pop(key)]
     _delete(spark, paths)
     return len(paths)
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
-    """Tables written() inside are deleted at its end, but for those that the function it gives is called with: what is
+    """Tables written() inside, by this thread, are deleted at its end, but for those that the function it gives is called with: what is
     returned must rest on these alone."""
-    every = _WRITTEN.setdefault(spark.sparkContext.applicationId, [])
+    every = _mine(spark)
     first, kept = len(every), set()
 
     def keep(df: DataFrame) -> DataFrame:
