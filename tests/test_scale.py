@@ -1,0 +1,140 @@
+"""What must not depend on how the data lie: ties, one label for all, far ids, and what small limits force."""
+
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from vedette.operators import classes as C
+from vedette.operators import metrics as M
+from vedette.operators import points as P
+from vedette.operators import reducers as R
+from vedette.operators.model import ONE_BATCH, ObserverModel, flag_outliers
+from vedette.operators.radius import radius_by_group
+from vedette.session import scratch, written
+
+
+def key(seed, i):
+    import hashlib
+
+    return hashlib.md5(f"{seed}|{i}".encode()).hexdigest()
+
+
+@pytest.mark.parametrize("kind", ["constant", "ties", "normal", "steep", "two"])
+@pytest.mark.parametrize("few", [10, 100_000])
+def test_exact_quantile(spark, monkeypatch, kind, few):
+    monkeypatch.setattr(M, "FEW", few)
+    rng = np.random.default_rng(3)
+    x = {"constant": np.full(500, 2.5), "ties": rng.integers(0, 5, 700).astype(float), "normal": rng.normal(size=901), "steep": 10.0 ** rng.integers(-200, 200, 400), "two": np.array([1.0, 2.0])}[kind]
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "v double")
+    for q in (0.0, 0.3, 0.9, 1.0):
+        assert M.quantile(df, "v", q) == pytest.approx(np.quantile(x, q), rel=1e-12)
+    assert M.quantile(df.where("false"), "v", 0.5) is None
+
+
+def test_flags_of_a_constant_score(spark):
+    scored = flag_outliers(spark.range(300).withColumn("score", F.lit(1.5)), 0.1)
+    assert scored.where("is_outlier").count() == 0 and scored.count() == 300
+
+
+@pytest.mark.parametrize("buckets", [4, 512])
+def test_ranks_of_tied_scores(spark, monkeypatch, buckets):
+    monkeypatch.setattr(M, "BUCKETS", buckets)
+    rng = np.random.default_rng(5)
+    for score in (np.full(400, 1.0), np.where(rng.random(400) < 0.7, 0.5, rng.random(400)), np.where(rng.random(400) < 0.3, np.nan, 1.0)):
+        ids = rng.permutation(400) * 7 + 2**60 * (np.arange(400) == 3)
+        df = spark.createDataFrame([(int(i), float(s), int(i % 3 == 0)) for i, s in zip(ids, score, strict=True)], "id long, score double, y long")
+        got = {r.id: (r["rank"], r.cs) for r in M._place(df, "score", "id").collect()}
+        order = sorted(range(400), key=lambda n: (-math.inf if math.isnan(score[n]) else -score[n], ids[n]))
+        total, want = 0, {}
+        for place, n in enumerate(order):
+            total += int(ids[n] % 3 == 0)
+            want[int(ids[n])] = (place + 1, total)
+        assert got == want
+
+
+def test_numbering_and_draws_with_a_far_id(spark):
+    ids = [*range(100, 160), 2**60, -(2**60)]
+    df = spark.createDataFrame([(i, [float(n)], 1) for n, i in enumerate(ids)], "id long, x array<double>, label int")
+    assert [r.id for r in P.in_order(df).orderBy("seq").collect()] == sorted(ids)
+    assert max(r["count"] for r in P.quantile_buckets(df, "id", "b").groupBy("b").count().collect()) <= 4
+    assert R.draws(df, 40, 3, None).count() == 40
+    by = {r.id: r.seq for r in P.shuffled(df, 5, by="label").collect()}
+    assert by == {i: n for n, i in enumerate(sorted(ids, key=lambda i: (key(5, i), i)))}
+
+
+def test_split_and_radius_of_one_label(spark):
+    df = spark.createDataFrame([(i, [float(i % 7), float(i % 3)], None if i % 10 == 0 else "a") for i in range(500)], "id long, x array<double>, label string")
+    rows = P.stratified_split(df, "label", 0.3, 9).collect()
+    assert len(rows) == 500
+    for label in ("a", None):
+        mine = sorted((r for r in rows if r.label == label), key=lambda r: (key(9, r.id), r.id))
+        assert [r.is_test for r in mine] == [n < int(len(mine) * 0.3 + 0.5) for n in range(len(mine))]
+    one = df.where("label = 'a'")
+    chosen = sorted(range(500), key=lambda i: (key(4, i), i))
+    chosen = [i for i in chosen if i % 10][: int(450 * 0.1)]
+    x = np.array([[i % 7, i % 3] for i in chosen], float)
+    assert radius_by_group(one, "label", 0.1, 4).first().radius == pytest.approx(np.sqrt(((x - x.mean(axis=0)) ** 2).sum(axis=1)).mean())
+    gaps = [math.dist(a, b) for n, a in enumerate(x) for b in x[n + 1 :]]
+    assert radius_by_group(one, "label", 0.1, 4, 2.0, "aid").first().radius == pytest.approx(2 * np.mean(gaps))
+
+
+@pytest.mark.parametrize("few", [5, 100_000])
+def test_samples_at_any_limit(spark, monkeypatch, few):
+    monkeypatch.setattr(P, "FEW", few)
+    df = spark.range(3000)
+    order = sorted(range(3000), key=lambda i: (key(2, i), i))
+    for size in (0, 1, 7, 1200, 3000, 9000):
+        assert sorted(r.id for r in P.sample(df, size, 2).collect()) == sorted(order[:size])
+
+
+def test_condensed_set_is_consistent(spark):
+    rng = np.random.default_rng(0)
+    x = np.round(rng.normal(size=(400, 2)), 1)
+    rows = [(i, [float(v) for v in p], int(rng.integers(0, 3))) for i, p in enumerate(x)]
+    df = spark.createDataFrame(rows, "id long, x array<double>, label int")
+    kept = {r.id: r for r in R.condensed(df, "label", 1, per_round=5).collect()}
+    where = {}
+    for i, p, label in rows:
+        where.setdefault(tuple(p), set()).add(label)
+    for i, p, label in rows:
+        near = min(kept.values(), key=lambda r: (math.dist(r.x, p), r.id))
+        assert near.label == label or len(where[tuple(p)]) > 1
+    assert 3 <= len(kept) < 400 and R.condensed(df.where("false"), "label", 1).count() == 0
+
+
+def test_weights_of_seeds(spark):
+    df = spark.createDataFrame([(i, [float(i)], 0.0 if i < 90 else 1.0) for i in range(100)], "id long, x array<double>, w double")
+    assert all(r.o[0] >= 90 for r in R.kmeans_seeds(df, 5, 3).collect()) and R.kmeans_seeds(df.where("w < 0"), 5, 3).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(C.BY_CLASS))
+def test_reducers_by_class(spark, name):
+    rng = np.random.default_rng(1)
+    rows = [(i, [float(v) for v in rng.normal(10 * (i % 2), 1, 3)], "ab"[i % 2]) for i in range(120)] + [(999, [50.0, 50.0, 50.0], "c")]
+    df = spark.createDataFrame(rows, "id long, x array<double>, label string")
+    got = C.BY_CLASS[name](df, C.class_sizes(df, 10.0), 3).collect()
+    sizes = {label: sum(r.label == label for r in got) for label in "abc"}
+    assert len({r.oid for r in got}) == len(got) and set(sizes.values()) - {0}
+    if name in ("OBS", "RS", "KMC", "WGM"):
+        assert sizes == {"a": 6, "b": 6, "c": 1}
+    for r in got:
+        assert abs(np.mean(r.o) - {"a": 0, "b": 10, "c": 50}[r.label]) < 4
+
+
+def test_a_batch_has_a_bound(spark, monkeypatch):
+    rows = P.points(spark.range(50).select(F.col("id"), F.array(F.col("id").cast("double")).alias("v")), "v", "id")
+    monkeypatch.setattr("vedette.operators.model.ONE_BATCH", 20)
+    with pytest.raises(ValueError):
+        ObserverModel(radius=1.0).fit(rows)
+    assert ObserverModel(radius=1.0, chunksize=10).fit(rows).observers.count() > 0 and ONE_BATCH > 10**6
+
+
+def test_scratch_keeps_what_it_is_told(spark):
+    with scratch(spark) as keep:
+        first = written(spark.range(5), "gone")
+        kept = keep(written(first.where("id > 2"), "kept"))
+    assert kept.count() == 2
+    with pytest.raises(Exception, match="(?i)not.?exist|not.?found"):
+        first.count()
