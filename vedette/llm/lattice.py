@@ -46,7 +46,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vedette.llm.common import bucket_count, prepare, slices, table
+from vedette.llm.common import bucket_count, prepare, release, slices, table
 from vedette.llm.textkit import BYTE_CODE, Words, prefix_hash, span_hash
 from vedette.llm.tokenise import vocabulary
 from vedette.session import written
@@ -55,7 +55,9 @@ VOCABULARY = "piece_bpe_32k.model"
 RANK_SHIFT = 10.0
 EM_STEPS = 4
 #: Text bytes and documents of a chunk at most, but for one document that is longer.
-CHUNK_BYTES, CHUNK_DOCS = 16_000_000, 60_000
+CHUNK_BYTES, CHUNK_DOCS = 8_000_000, 60_000
+#: Bytes that come and go for each byte of text, about.
+MOVED = 2
 #: Longest word that is looked at together with others; positions of a longer one that are looked at together.
 LONG, STRETCH = 64, 1 << 16
 #: What each piece is seen beyond its expected count, in all.
@@ -243,12 +245,13 @@ def expected_counts(pieces: Pieces, weights: np.ndarray, data: np.ndarray, start
 
 
 def _narrow(x: np.ndarray) -> np.ndarray:
-    """Counts in two bytes each where they fit, else in eight."""
-    return x.astype("<u2" if x.max(initial=0) < 65536 else "<u8")
+    """Counts in one or two bytes each where they fit, else in eight."""
+    most = x.max(initial=0)
+    return x.astype("<u1" if most < 256 else "<u2" if most < 65536 else "<u8")
 
 
 def _wide(raw: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(raw, "<u8" if n and len(raw) == 8 * n else "<u2")
+    return np.frombuffer(raw, f"<u{len(raw) // n if n else 1}")
 
 
 _CHUNK = "chunk long, text_bytes long, train_docs long, head binary, hashes binary, sizes binary, letters binary, seen binary, n_docs binary, docs binary, times binary"
@@ -436,6 +439,18 @@ def _answers(path: str, shared) -> object:
 _DOCUMENT = "doc_id long, held_out boolean, n_words long, n_known long, base double, model double, lattice double"
 
 
+def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's chunks, one by one, with the answers to them."""
+    held = list(batches)
+    if held:
+        table = pa.Table.from_batches(held)
+        chunk = table.column("chunk").to_numpy()
+        del held
+        for c in np.unique(chunk):
+            yield from _documents(table.filter(pa.array(chunk == c))).to_batches()
+    release()
+
+
 def _documents(parts: pa.Table) -> pa.Table:
     """A chunk and the answers to it, whose words follow each other by bucket as they do in the chunk."""
     bucket = parts.column("bucket").to_numpy()
@@ -462,8 +477,9 @@ def lattice_scores(docs: DataFrame, held_out: Column | None = None, vocabulary_f
     held = F.coalesce(held_out, F.lit(False)) if held_out is not None else F.lit(False)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held.alias("held_out"))
     chunks = written(rows.mapInArrow(_chunks, _CHUNK), "lattice-chunks")
-    text_bytes, train_docs = chunks.agg(F.coalesce(F.sum("text_bytes"), F.lit(0)), F.coalesce(F.sum("train_docs"), F.lit(0))).first()
-    n_buckets = bucket_count(text_bytes)
+    part, number = F.shiftright("chunk", 24), F.col("chunk").bitwiseAND(F.lit((1 << 24) - 1))
+    text_bytes, train_docs, parts, most = chunks.agg(*(F.coalesce(c, F.lit(0)) for c in (F.sum("text_bytes"), F.sum("train_docs"), F.max(part) + 1, F.max(number) + 1))).first()
+    n_buckets = bucket_count(MOVED * text_bytes)
     requests = chunks.select("chunk", "hashes", "sizes", "letters", "seen").mapInArrow(_requests(n_buckets), _REQUEST)
     merged = written(requests.repartitionById(n_buckets, "bucket").mapInArrow(_merge, _MERGED), "lattice-words")
     stats = merged.agg(*(F.coalesce(F.sum(F.col("stats")[i]), F.lit(0)) for i in range(4))).first()
@@ -471,7 +487,11 @@ def lattice_scores(docs: DataFrame, held_out: Column | None = None, vocabulary_f
     shared = spark.sparkContext.broadcast(model)
     answers = merged.select("sizes", "letters", "counts", "requests").mapInArrow(_answers(path, shared), _MEETING)
     own = chunks.select("chunk", F.lit(-1).alias("bucket"), "head", "n_docs", "docs", "times", *(F.lit(None).cast("binary").alias(c) for c in ("counts", "score", "lattice")))
-    found = own.union(answers).repartition(n_buckets, "chunk").groupBy("chunk").applyInArrow(_documents, _DOCUMENT)
+    # chunks meet their answers in equal shares of their order: no two big ones by chance of a hash
+    n_meetings = max(1, min(n_buckets, parts * most))
+    place = F.floor((part * F.lit(most) + number) * F.lit(n_meetings) / F.lit(max(1, parts * most))).cast("int")
+    met = own.union(answers).withColumn("place", place).repartitionById(n_meetings, "place").drop("place")
+    found = met.mapInArrow(_meetings, _DOCUMENT)
     train_tokens, distinct = model.words + model.docs, model.distinct + (model.docs > 0)
     last = float(np.log10(model.end()))
     return found.select(
