@@ -41,8 +41,8 @@ SELECT reach.doc_id, any_value(size.n)::BIGINT AS n_shingles, min(r) AS componen
 
 #: Every window of 100 bytes of every text (as hexadecimal digits), which of them come earlier too, their union.
 REPEATS = """WITH d AS (SELECT doc_id::BIGINT AS doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
-block AS (SELECT doc_id, 500 * b AS at, substr(x, 1000 * b + 1, 1200) AS y FROM (SELECT doc_id, x, unnest(range(0, len(x) // 1000 + 1)) AS b FROM d)),
-win AS (SELECT doc_id, at + j AS i, md5(substr(y, 2 * j + 1, 200)) AS h FROM (SELECT doc_id, at, y, unnest(range(0, least(500, len(y) // 2 - 99))) AS j FROM block)),
+block AS (SELECT doc_id, 500 * b AS head, substr(x, 1000 * b + 1, 1200) AS y FROM (SELECT doc_id, x, unnest(range(0, len(x) // 1000 + 1)) AS b FROM d)),
+win AS (SELECT doc_id, head + j AS i, md5(substr(y, 2 * j + 1, 200)) AS h FROM (SELECT doc_id, head, y, unnest(range(0, least(500, len(y) // 2 - 99))) AS j FROM block)),
 again AS (SELECT doc_id, i FROM win QUALIFY row_number() OVER (PARTITION BY h ORDER BY doc_id, i) > 1),
 run AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM (SELECT doc_id, i, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 1 ELSE 0 END AS new FROM again)),
 span AS (SELECT doc_id, min(i) AS b, max(i) + 100 AS e FROM run GROUP BY doc_id, k),
