@@ -16,7 +16,7 @@ import math
 import re
 import struct
 from dataclasses import dataclass, field
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 
@@ -70,10 +70,22 @@ class Frame:
     comment: bytes = b""
 
 
+class _Codes(dict):
+    """{(length, code): symbol} of a canonical table, and what any 16 bits begin with."""
+
+    @cached_property
+    def ahead(self) -> list[int]:
+        """Length in the high byte and symbol in the low one, by the next 16 bits; 0 where no code fits."""
+        out = np.zeros(1 << 16, np.int64)
+        for (length, code), symbol in self.items():
+            out[code << (16 - length) : (code + 1) << (16 - length)] = length << 8 | symbol
+        return out.tolist()
+
+
 @lru_cache(maxsize=256)
-def _table(lengths: bytes, symbols: bytes) -> tuple[dict[tuple[int, int], int], tuple[tuple[int, int], ...]]:
-    """{(length, code): symbol} and the list of (symbol, length) of a canonical table."""
-    codes, code, at, flat = {}, 0, 0, []
+def _table(lengths: bytes, symbols: bytes) -> tuple[_Codes, tuple[tuple[int, int], ...]]:
+    """The codes and the list of (symbol, length) of a canonical table."""
+    codes, code, at, flat = _Codes(), 0, 0, []
     for length in range(1, 17):
         for _ in range(lengths[length - 1]):
             codes[length, code] = symbols[at]
@@ -111,13 +123,14 @@ class _Bits:
         self.at += n
         return word
 
-    def symbol(self, codes: dict[tuple[int, int], int]) -> int:
-        code = 0
-        for length in range(1, 17):
-            code = code << 1 | self.take(1)
-            if (length, code) in codes:
-                return codes[length, code]
-        raise JpegError("no such code")
+    def symbol(self, codes: _Codes) -> int:
+        first = self.at >> 3
+        word = int.from_bytes(self.data[first : first + 3].ljust(3, b"\0"), "big")
+        found = codes.ahead[word >> (8 - (self.at & 7)) & 0xFFFF]
+        self.at += found >> 8
+        if not found or self.at > self.end:
+            raise JpegError("a scan ends too soon" if found else "no such code")
+        return found & 255
 
     def zeros(self, most: int) -> int:
         """How many zero bits come next, up to `most`."""
@@ -208,7 +221,7 @@ def _corrected(bits: _Bits, coefficients: np.ndarray, places: np.ndarray, start:
     coefficients[places, start : end + 1] = band
 
 
-def _ac_refine(bits: _Bits, coefficients: np.ndarray, places: np.ndarray, codes: dict, start: int, end: int, low: int) -> None:
+def _ac_refine(bits: _Bits, coefficients: np.ndarray, places: np.ndarray, codes: _Codes, start: int, end: int, low: int) -> None:
     at, n = 0, len(places)
     while at < n:
         k, row = start, coefficients[places[at]]
