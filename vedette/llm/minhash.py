@@ -214,9 +214,11 @@ def missed_by_stars(tested: DataFrame, labels: DataFrame) -> DataFrame:
     open_stars = known.groupBy("u").agg(F.max("apart").alias("open"), (F.max("salt") + 1).alias("salts")).where("open")
     spread = known.join(_of_salts(open_stars).select("u", "salt"), ["u", "salt"]).select("u", "v", "apart", "prefix", "component", F.explode("delta").alias("e"))
     spread = written(spread, "mh-differences")
-    often = spread.groupBy("u", "e").agg(F.count("*").alias("n")).where("n > 1")  # a difference of one member is in common with none
+    # a difference of one member is in common with none; one of members that are all together tells nothing new
+    often = spread.groupBy("u", "e").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("apart").alias("open")).where("n > 1")
     rare_first = Window.partitionBy("u", "v").orderBy(F.coalesce("n", F.lit(1)), "e")
     ranked = spread.join(often, ["u", "e"], "left").withColumn("rank", F.row_number().over(rare_first)).where("n is not null")
+    ranked = ranked.where("open and lo <> hi")
     left = ranked.where("apart").select("u", "e", F.col("v").alias("centre"), F.col("component").alias("a"))
     right = ranked.where("rank <= prefix").select("u", "e", F.col("v").alias("member"), F.col("component").alias("b"))
     return left.join(right, ["u", "e"]).where("a <> b").select(F.greatest("centre", "member").alias("centre"), F.least("centre", "member").alias("member"))
