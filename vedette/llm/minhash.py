@@ -270,7 +270,9 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     with scratch(docs.sparkSession) as keep:
         found = classed(docs, k, percent).where("component is not null")
         mine = (F.col("doc_id") == F.col("component.id")) & (F.col("k1") == F.col("component.k1"))
-        many = found.groupBy("doc_id", "k1", "k2").agg(F.count("*").alias("rows"), F.min(mine).alias("stays")).where("rows > 1 or not stays")
+        # written, so that the aggregate deals by doc_id too and a class of many copies is not one task's
+        found = written(found.select("doc_id", "k1", "k2", mine.alias("mine")), "mh-judged")
+        many = found.groupBy("doc_id", "k1", "k2").agg(F.count("*").alias("rows"), F.min("mine").alias("stays")).where("rows > 1 or not stays")
         many = keep(written(many.select("doc_id", "k1", "k2", "stays"), "mh-gone"))
     bits = F.broadcast(bitmap_words(many, "doc_id").select(F.struct("_w", "_b").alias("filter")))  # 2**(FILTER_BITS - 5) rows at most
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
