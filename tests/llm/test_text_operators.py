@@ -96,6 +96,19 @@ def test_both_encoders_agree():
     assert Encoder().encode(texts) == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+def test_both_encoders_agree_on_the_fixture_and_on_mixtures(spark):
+    from tokenizers import Tokenizer
+
+    from vedette.llm.tokenise import vocabulary
+
+    t = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+    rng = random.Random(12)
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    parts = [" ", "  ", "\n", "\t", "\r\n", "'s", "'LL", "don't", "<|endoftext|>", "\u00a0", "\u3000", "\u200b", "é", "ß", "ı", "Å", "漢字", "かな", "한글", "😀", "👩\u200d💻", "1234567", "٣", "½", "__", "--", "...", "a\u0301", "\x00", "\x7f", "word", "Word", "кот", "ὀδός", "עברית", "عربي", "नमस्ते"]
+    texts += ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 40))) for _ in range(400)]
+    assert Encoder().encode(texts) == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 ITEMS = ["what is the tallest mountain on earth today? mount everest in the himalaya range.", "name four rivers of old europe in order. rhine danube volga loire.", "short one here", "", None, "name four rivers of old europe in order. rhine danube volga loire."]
 
 
