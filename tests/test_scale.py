@@ -138,3 +138,21 @@ def test_scratch_keeps_what_it_is_told(spark):
     assert kept.count() == 2
     with pytest.raises(Exception, match="(?i)not.?exist|not.?found"):
         first.count()
+
+
+def test_folds_of_many_observers_are_those_point_by_point(monkeypatch):
+    """flagship, observer_labels, outlierness_*: blocks of points give the bits that single points give, ties included."""
+    import numpy as np
+
+    from vedette.operators import fold
+
+    rng = np.random.default_rng(0)
+    for d, radius in ((1, 0.01), (2, 0.3), (64, 9.0)):
+        x = np.round(rng.normal(size=(1500, d)) * 3, 1)
+        monkeypatch.setattr(fold, "DIRECT", 1 << 60)
+        want = fold.Fold(radius).feed(x).rows()
+        monkeypatch.setattr(fold, "DIRECT", 0)
+        calls = []
+        monkeypatch.setattr(fold, "squares", lambda *a, inner=fold.squares: calls.append(1) or inner(*a))
+        got = fold.Fold(radius).feed(x).rows()
+        assert calls and all(np.array_equal(a, b) for a, b in zip(want, got, strict=True))
