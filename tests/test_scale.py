@@ -156,3 +156,23 @@ def test_folds_of_many_observers_are_those_point_by_point(monkeypatch):
         monkeypatch.setattr(fold, "squares", lambda *a, inner=fold.squares: calls.append(1) or inner(*a))
         got = fold.Fold(radius).feed(x).rows()
         assert calls and all(np.array_equal(a, b) for a, b in zip(want, got, strict=True))
+
+
+def test_a_search_compares_few_pairs(monkeypatch):
+    """knn_rows: boxes and matrix products give what all pairs give, with equal distances and numbers in any order; the
+    exact distances of a small part of the pairs are worked out."""
+    import numpy as np
+
+    from vedette.operators import knn
+
+    rng = np.random.default_rng(1)
+    for d in (1, 2, 6):
+        refs, x, ids = np.round(rng.normal(size=(4000, d)) * 9, 1), np.round(rng.normal(size=(400, d)) * 9, 1), rng.permutation(4000)
+        full = knn.distances(x, refs, "euclidean", 2.0)
+        order = np.lexsort((np.broadcast_to(ids, full.shape), full), axis=1)[:, :3]
+        pairs, inner = [], knn.distances
+        monkeypatch.setattr(knn, "distances", lambda a, b, *more, inner=inner: pairs.append(len(a) * len(b)) or inner(a, b, *more))
+        got_d, got_o = knn.Search(ids, refs, "euclidean", 2.0).best(x, 3, np.full(400, np.inf))
+        monkeypatch.setattr(knn, "distances", inner)
+        assert np.array_equal(got_d, np.take_along_axis(full, order, 1)) and np.array_equal(got_o, ids[order])
+        assert sum(pairs) < 400 * 4000 / 2
