@@ -167,15 +167,15 @@ def test_a_search_compares_few_pairs(monkeypatch):
 
     rng = np.random.default_rng(1)
     for d in (1, 2, 6):
-        refs, x, ids = np.round(rng.normal(size=(4000, d)) * 9, 1), np.round(rng.normal(size=(400, d)) * 9, 1), rng.permutation(4000)
+        refs, x, ids = np.round(rng.normal(size=(4000, d)) * 9, 1), np.round(rng.normal(size=(3000, d)) * 9, 1), rng.permutation(4000)
         full = knn.distances(x, refs, "euclidean", 2.0)
         order = np.lexsort((np.broadcast_to(ids, full.shape), full), axis=1)[:, :3]
         pairs, inner = [], knn.distances
         monkeypatch.setattr(knn, "distances", lambda a, b, *more, inner=inner: pairs.append(len(a) * len(b)) or inner(a, b, *more))
-        got_d, got_o = knn.Search(ids, refs, "euclidean", 2.0).best(x, 3, np.full(400, np.inf))
+        got_d, got_o = knn.Search(ids, refs, "euclidean", 2.0).best(x, 3, np.full(3000, np.inf))
         monkeypatch.setattr(knn, "distances", inner)
         assert np.array_equal(got_d, np.take_along_axis(full, order, 1)) and np.array_equal(got_o, ids[order])
-        assert sum(pairs) < 400 * 4000 / 2
+        assert sum(pairs) < 3000 * 4000 / 2
 
 
 def test_a_neural_gas_looks_at_the_winner_s_edges_only(monkeypatch):
@@ -192,3 +192,37 @@ def test_a_neural_gas_looks_at_the_winner_s_edges_only(monkeypatch):
     monkeypatch.setattr(R, "slack", lambda *a: float("inf"))
     want = R.neural_gas(x, 80, 7, 20)
     assert len(got) == 80 and calls and np.array_equal(got, want)
+
+
+def test_nearest_centres_of_a_batch_take_no_table_of_all_differences():
+    """experiment_clustering, _hierarchical, _anomaly: 4,000 points and 500 centres took 1 GB, 10,000 and 1,025 5 GB."""
+    import tracemalloc
+
+    import numpy as np
+
+    from vedette.operators import reducers as R
+
+    rng = np.random.default_rng(5)
+    x, centres = rng.normal(size=(4000, 64)), rng.normal(size=(500, 64))
+    tracemalloc.start()
+    r = R.one_hot(x, centres, np.full(4000, 2.0))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6 and (r.sum(axis=1) == 2).all()
+    assert (r[:50].argmax(axis=1) == ((x[:50, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)).all()
+
+
+def test_mixtures_of_classes_one_by_one(spark, monkeypatch):
+    """by_class_wgm: the driver holds the sums of a bounded number of classes."""
+    import numpy as np
+
+    from vedette.operators import classes as C
+
+    rng = np.random.default_rng(6)
+    rows = spark.createDataFrame([(i, (rng.normal(size=2) + 20 * (i % 3)).tolist(), i % 3) for i in range(90)], "id long, x array<double>, label int")
+    calls, inner = [], C._mixture
+    monkeypatch.setattr(C, "_mixture", lambda *a: calls.append(1) or inner(*a))
+    monkeypatch.setattr(C, "AT_ONCE", 1)
+    found = C.mixture(rows, C.class_sizes(rows, 10.0), 7, steps=3).collect()
+    assert len(calls) == 3 and len({r.oid for r in found}) == len(found) == 9
+    assert all(abs(v - 20 * r.label) < 5 for r in found for v in r.o)
