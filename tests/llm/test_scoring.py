@@ -259,3 +259,24 @@ def test_held_out_quality_on_the_fixture(spark):
     sf = "/root/testdata/sf0.01"
     got = quality.op10_bradley_terry(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out")
     assert got.where("predicted = quality").count() >= 0.95 * got.count()
+
+
+def test_ranking_learns_from_every_labelled_document(spark):
+    """op10_bradley_terry: 20,000 labelled documents were the most; the last of them by hash counts now."""
+    docs = spark.range(31_000).select(F.col("id").alias("doc_id"), F.expr("repeat(if(id % 10 < 3, 'q!? ', 'word and '), 1 + int(id % 7))").alias("text"))
+    labels = docs.select("doc_id", F.expr("int(doc_id % 10 >= 3)").alias("quality"))
+    known = docs.where(~quality.held_out()).select("doc_id", F.length("text").alias("n")).collect()
+    ranking = quality.train(docs, labels)
+    assert len(known) > 20_000 and ranking.mean[2 * quality.N_KINDS] == pytest.approx(np.mean([np.log1p(r.n) for r in known]), abs=1e-9)
+    score = ranking.score(quality.features(pa.array(["q!? q!? ", "word and word and "])))
+    assert score[0] < 0.5 < score[1]
+
+
+def test_threshold_of_any_number_of_scores_is_that_in_memory(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    for y in (rng.integers(0, 2, 400), np.ones(50, int)):
+        raw = np.round(rng.normal(size=len(y)) + y, 2)
+        want = float(np.quantile(raw, quality.best_quantile(raw, y), method="hazen"))
+        got = quality._threshold(spark.createDataFrame([(float(r), int(q)) for r, q in zip(raw, y)], "raw double, quality int"))
+        wrong = lambda t: min(((raw >= t) != (y == 1)).sum(), ((raw > t) != (y == 1)).sum())
+        assert got == pytest.approx(want) or wrong(got) == wrong(want)
