@@ -285,3 +285,15 @@ def test_rounds_of_the_condensed_set(spark, monkeypatch):
     assert len(tables) > 3 and max(len(t) for t in tables) <= 2
     votes = T.classify(df.withColumn("label", F.lit(1)), df.select(F.col("id").alias("oid"), F.col("x").alias("o"), F.lit(1).alias("label")), 1)
     assert votes._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1 and votes.count() == 300
+
+
+def test_one_condensed_set_for_all_rates(spark, monkeypatch):
+    """experiment_classification: the set does not depend on the rate, so it is not built for each."""
+    from vedette.plans import experiments
+
+    df = spark.createDataFrame([(i, [float(i % 2) * 9, float(i % 5)], i % 2) for i in range(60)], "id long, x array<double>, label int")
+    calls = []
+    monkeypatch.setattr(R, "condensed", lambda rows, label, seed: calls.append(1) or rows.where("id % 3 = 0"))
+    cells = experiments.classification("few", df, ("CNN",), (20.0, 50.0)).collect()
+    assert calls == [1] and {(r.algorithm, r.rate) for r in cells} == {("BASELINE", 100.0), ("CNN", 20.0), ("CNN", 50.0)}
+    assert all(r.value == 1.0 for r in cells if r.metric == "accuracy")
