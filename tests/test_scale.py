@@ -1,6 +1,7 @@
 """What must not depend on how the data lie: ties, one label for all, far ids, and what small limits force."""
 
 import math
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -297,3 +298,34 @@ def test_one_condensed_set_for_all_rates(spark, monkeypatch):
     cells = experiments.classification("few", df, ("CNN",), (20.0, 50.0)).collect()
     assert calls == [1] and {(r.algorithm, r.rate) for r in cells} == {("BASELINE", 100.0), ("CNN", 20.0), ("CNN", 50.0)}
     assert all(r.value == 1.0 for r in cells if r.metric == "accuracy")
+
+
+def test_cells_side_by_side_find_whole_modules():
+    """experiment_anomaly, _clustering: where nothing had used pyspark.ml before, the first threads imported its modules at
+    once and found them half made."""
+    import subprocess
+    import sys
+
+    code = """
+import sys, threading
+from vedette.operators import points, reducers
+from vedette.session import side_by_side
+assert "pyspark.ml" not in sys.modules
+failed, at_once = [], threading.Barrier(6)
+def cell(i):
+    at_once.wait()
+    try:
+        if i % 2:
+            from pyspark.ml.feature import Bucketizer
+        else:
+            from pyspark.ml.clustering import KMeans
+            from pyspark.ml.functions import array_to_vector
+    except Exception as e:
+        failed.append(repr(e))
+with side_by_side():
+    ready = "pyspark.ml.clustering" in sys.modules
+    threads = [threading.Thread(target=cell, args=(i,)) for i in range(6)]
+    [t.start() for t in threads], [t.join() for t in threads]
+print(ready, failed)
+"""
+    assert subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[1]).stdout == "True []\n"
