@@ -329,3 +329,33 @@ with side_by_side():
 print(ready, failed)
 """
     assert subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[1]).stdout == "True []\n"
+
+
+def test_cells_of_one_task_begin_first(spark):
+    """experiment_clustering: the neural gas of the highest rate came last and ran on alone; the rows keep their order."""
+    from vedette.plans import experiments
+
+    begun = []
+    cell = lambda name, rate: begun.append((name, rate)) or {"rand": rate}
+    found = experiments._cells(spark.range(1), "d", ("RS", "GNG"), (1.0, 10.0), cell, 1).collect()
+    assert begun[:2] == [("GNG", 10.0), ("GNG", 1.0)] and begun[2:] == [("BASELINE", 100.0), ("RS", 1.0), ("RS", 10.0)]
+    assert [(r.algorithm, r.value) for r in found] == [("BASELINE", 100.0), ("RS", 1.0), ("GNG", 1.0), ("RS", 10.0), ("GNG", 10.0)]
+
+
+def test_a_mixture_is_updated_few_components_at_a_time():
+    """experiment_clustering, _anomaly: covariances of all components at once took five times their sums on the driver."""
+    import tracemalloc
+
+    d, k = 32, 400
+    x = np.random.default_rng(1).normal(size=(k, d))
+    mixture = R.VariationalMixture(x.mean(axis=0), np.cov(x.T), k)
+    second = np.ones(k)[:, None, None] * x[:, :, None] * x[:, None, :]
+    tracemalloc.start()
+    mixture.update(np.ones(k), x, second)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 * second.nbytes
+    for j in (0, 31, 32, 399):
+        gap = x[j] - mixture.prior_mean
+        covariance = (mixture.prior_covariance + 1e-6 * np.eye(d) + 0.5 * np.outer(gap, gap)) / (d + 1)
+        assert np.allclose(mixture.whiten[j] @ covariance @ mixture.whiten[j].T, np.eye(d))
