@@ -359,3 +359,29 @@ def test_a_mixture_is_updated_few_components_at_a_time():
         gap = x[j] - mixture.prior_mean
         covariance = (mixture.prior_covariance + 1e-6 * np.eye(d) + 0.5 * np.outer(gap, gap)) / (d + 1)
         assert np.allclose(mixture.whiten[j] @ covariance @ mixture.whiten[j].T, np.eye(d))
+
+
+@pytest.mark.parametrize("kind", ["normal", "grid", "copies"])
+def test_ward_remembers_the_nearest(monkeypatch, kind):
+    """experiment_hierarchical: every round compared half of the clusters with all; the clusters are those of merging the
+    cheapest pair again and again."""
+    from vedette.operators import tasks as T
+
+    rng = np.random.default_rng(3)
+    x = {"normal": rng.normal(size=(300, 4)), "grid": rng.integers(0, 5, size=(300, 3)) + 0.001 * rng.random((300, 3)), "copies": rng.normal(size=(40, 4))[rng.integers(0, 40, 300)]}[kind]
+    c, size, members = x.copy(), np.ones(300), [{i} for i in range(300)]
+    while len(c) > 7:
+        cost = (size[:, None] * size / (size[:, None] + size)) * ((c[:, None] - c[None]) ** 2).sum(axis=2)
+        np.fill_diagonal(cost, np.inf)
+        i, j = sorted(divmod(int(cost.argmin()), len(c)))
+        c[i], size[i], members[i] = (size[i] * c[i] + size[j] * c[j]) / (size[i] + size[j]), size[i] + size[j], members[i] | members[j]
+        c, size = np.delete(c, j, axis=0), np.delete(size, j)
+        del members[j]
+    monkeypatch.setattr(T, "FEW_CLUSTERS", 16)
+    monkeypatch.setattr(T, "MANY_OF_A_SIZE", 12)
+    monkeypatch.setattr(T, "REMEMBERED", 4)
+    searched, inner = [], T._nearest_clusters
+    monkeypatch.setattr(T, "_nearest_clusters", lambda rows, *a: searched.append(len(rows)) or inner(rows, *a))
+    labels = T.ward(x, 7)
+    assert {frozenset(np.flatnonzero(labels == v).tolist()) for v in range(7)} == {frozenset(m) for m in members}
+    assert sum(searched) < 3 * len(np.unique(x, axis=0))
